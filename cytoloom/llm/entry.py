@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, pii, quality_rules, sentencepiece_codec, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def public_model() -> bytes:
+    """The model that the query's contract names; operators take any model's bytes."""
+    import public_tokenizers
+
+    return sentencepiece_codec.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": lambda spark, d: simhash.op1_simhash(table(spark, d, "documents")),
         "op6_decontamination": lambda spark, d: decontaminate.op6_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op7_sentencepiece": lambda spark, d: sentencepiece_codec.op7_sentencepiece(table(spark, d, "documents"), public_model()),
+        "op8_pii": lambda spark, d: pii.op8_pii(table(spark, d, "documents")),
         "op10_quality_rules": lambda spark, d: quality_rules.op10_quality_rules(table(spark, d, "documents")),
     }
 

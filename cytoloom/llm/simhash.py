@@ -59,13 +59,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         prints = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        rest = [n for n in batch.schema.names if n not in ("text", "doc_id")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), *(batch.column(n) for n in rest)], names=["doc_id", "fp", *rest])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id long, fp long), one row for each row of ``docs``; fp holds the 64 bits as a signed number."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *extra: str) -> DataFrame:
+    """(doc_id long, fp long, extra...), one row for each row of ``docs``; fp holds the 64 bits as a signed number."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(f", {c} long" for c in extra))
 
 
 def _masks(pieces: int = PIECES) -> list[int]:
@@ -118,17 +119,36 @@ def components(edges: DataFrame) -> DataFrame:
     return tips.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each row of ``docs``."""
-    prints = stored(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, *extra: str) -> DataFrame:
+    """(doc_id, fp, comp, component_id, extra...), one row for each row of ``docs``; comp is the smallest fingerprint of
+    the component, extra are long columns to carry along."""
+    prints = stored(fingerprints(docs, *extra), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     labels = components(links(classes.select("fp")))
     linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     ids = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_print = linked.join(ids, "label").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = linked.join(ids, "label").select("fp", F.col("label").alias("comp"), "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "comp", "component_id", *extra)
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, all its columns kept: that of the smallest doc_id, and among texts that
+    share it that of the smallest text hash. Rows without doc_id stay only where a component has no other; of repeated
+    rows one stays."""
+    mark = F.xxhash64(F.col("text").cast("string"))
+    found = near_duplicates(docs.withColumn("_mark", mark), "_mark")
+    rows = found.groupBy("component_id", "comp", "doc_id", "_mark").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_mark", "n")).alias("b"))
+    keep = stored(best.select(F.col("b.doc_id").alias("_keep"), F.col("b._mark").alias("_mark"), F.col("b.n").alias("_n")), "kept-ids")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (mark == F.col("_mark"))
+    single = docs.join(keep.where("_n = 1"), same, "left_semi")
+    repeated = keep.where("_n > 1")
+    if repeated.isEmpty():
+        return single
+    again = docs.join(repeated, same).dropDuplicates(["_keep", "_mark"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return single.unionByName(again)

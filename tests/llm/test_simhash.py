@@ -72,3 +72,10 @@ def test_query_with_nulls_copies_and_extra_columns(spark):
 
 def test_empty_table(spark):
     assert simhash.op1_simhash(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_of_each_keeps_one_row_with_all_columns(spark):
+    rows = [(7, "one two three four", "a"), (3, "ONE two three four", "b"), (3, "ONE two three four", "b"), (5, "quite other words here", "c"), (5, "something else entirely now", "d"), (None, "quite other words here", "e"), (None, "alone in the world", "f")]
+    out = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
+    assert out.columns == ["doc_id", "text", "fp"]
+    assert sorted(r.fp for r in out.collect()) == ["b", "c", "d", "f"]
