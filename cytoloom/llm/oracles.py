@@ -1,6 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
 from .quality_rules import FENCE, FLOORS, GAMMA, LOG_GAMMA, MIN_ROWS, MIN_WORDS, ZERO_BUCKET
+from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -50,4 +51,45 @@ j AS (SELECT v.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words A
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM j
 """
 
-SQL = {"op6_decontamination": OP6, "op10_quality_rules": OP10}
+OP4 = r"""
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(v, h, p)),
+j AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC, v DESC) AS n
+  FROM (SELECT row_number() OVER () AS k, * FROM u) LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM j WHERE n = 1
+"""
+
+OP5 = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS s, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM p),
+d AS (SELECT *, list_transform(range(8), lambda g: ('0x' || s[g * 5 + 1:g * 5 + 5])::BIGINT) AS x FROM f)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+
+def _op3() -> str:
+    def spans(rank: int, pattern: str) -> str:
+        """(r, rank, s, e, f) of the matches: their starts are sums of the lengths of pieces and matches before."""
+        p = pattern.replace("'", "''")
+        return f"""SELECT r, {rank} AS rank, sum(length(q) + length(f)) OVER w - length(f) AS s, sum(length(q) + length(f)) OVER w AS e, f FROM
+  (SELECT r, i, m[i] AS f, q[i] AS q FROM (SELECT r, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS q, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d WHERE regexp_matches(t, '{p}'))) WINDOW w AS (PARTITION BY r ORDER BY i)"""
+
+    quote = lambda p: p.replace("'", "''")
+    limits = " ".join(f"WHEN regexp_matches(f, '{quote(p)}') THEN {'NULL' if limit is None else limit}" for p, limit in CLASSES.values())
+    kind = "CASE rank WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT * FROM ({spans(0, ASSIGN)}) WHERE length(regexp_extract(f, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8 UNION ALL {spans(1, ACCESS)} UNION ALL {spans(2, HEX)}),
+cand AS (SELECT c.*, CASE {limits} END AS lim FROM ({spans(3, CANDIDATE)}) c WHERE NOT regexp_matches(f, '{quote(ALLOWED)}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e)),
+win AS (SELECT r, s, i, substr(f, (i + k)::BIGINT, 1) AS ch FROM (SELECT r, s, f, unnest(range(1, length(f) - {WINDOW} + 2)) AS i FROM cand WHERE lim IS NOT NULL), range({WINDOW}) x(k)),
+ent AS (SELECT r, s, max(h) AS h FROM (SELECT r, s, i, sum(-n / {WINDOW}.0::DOUBLE * log2(n / {WINDOW}.0::DOUBLE)) AS h FROM (SELECT r, s, i, ch, count(*) AS n FROM win GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+every AS (SELECT r, rank, s, e FROM base UNION ALL SELECT r, rank, s, e FROM cand JOIN ent USING (r, s) WHERE round(h, 6) >= lim),
+g AS (SELECT r, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS c, count(*) FILTER (rank = 2) AS x,
+  string_agg({kind} || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) FILTER (rank < 3) AS b, string_agg({kind} || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) AS spans FROM every GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(x, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+SQL = {"op3_secret_scan": _op3(), "op4_url_filter": OP4, "op5_warc": OP5, "op6_decontamination": OP6, "op10_quality_rules": OP10}

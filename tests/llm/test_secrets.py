@@ -1,0 +1,49 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from cytoloom.llm import secrets
+
+SCHEMA = "doc_id long, text string, found string, _t int"
+
+
+def entropy(text):
+    return max(-sum(n / 20 * math.log2(n / 20) for n in Counter(text[i : i + 20]).values()) for i in range(len(text) - 19))
+
+
+def slow(text):
+    text = text or ""
+    rx = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = [(m.start(), 0, "assign", m.end()) for m in re.finditer(rx, text, re.I | re.A) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        if any(s < m.end() and m.start() < e for s, _, _, e in spans) or re.search(secrets.ALLOWED, m[0]):
+            continue
+        limit = next(v for p, v in secrets.CLASSES.values() if re.search(p, m[0]))
+        if limit is not None and round(entropy(m[0]), 6) >= limit:
+            more.append((m.start(), 3, "entropy", m.end()))
+    text_of = lambda xs: ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(xs))
+    n = Counter(k for _, _, k, _ in spans)
+    return n["assign"], n["access"], n["hex"], hashlib.sha256(text_of(spans).encode()).hexdigest(), text_of(spans + more)
+
+
+def texts():
+    rng = random.Random(8)
+    hexes, mixed = "0123456789abcdef", "ABCDEFabcdef0123456789+/_=-xyzXYZ"
+    parts = ["password", "Token", "API_KEY", "apikey", "secret", "'", '"', " ", "  ", ":", "=", "é", "🙂", "\n", "AKIA", "AKIAABCDEFGHIJKL", "abc", "12345678", "example", ".", "AKIA" * 5, "0" * 40, "e3b0c442-98fc-1c14-9afb-f4c8996fb924", "some-long-path-of/words"]
+    out = []
+    for _ in range(300):
+        out.append("".join(rng.choice(parts) if rng.random() < 0.8 else "".join(rng.choices(rng.choice([hexes, mixed]), k=rng.randrange(50))) for _ in range(rng.randrange(25))))
+    return out + [None, "", "password: secret: abcdefgh1234", "token=" + "a" * 5000, " ".join("password=12345678" for _ in range(300)), "".join(rng.choices(mixed, k=3000))]
+
+
+def test_against_brute_force(spark):
+    rows = [(k, t, "x", 1) for k, t in enumerate(texts())] + [(None, "token=abcdefgh", "x", 1), (2, texts()[2], "x", 1)]
+    out = secrets.op3_secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(repr(tuple(r)) for r in out) == sorted(repr((r[0], *slow(r[1]))) for r in rows)
+    assert any("entropy" in r.spans for r in out)
+    assert secrets.op3_secret_scan(spark.createDataFrame([], SCHEMA)).collect() == []
