@@ -1,0 +1,3 @@
+"""Marker gating and phenotyping over Spark DataFrames."""
+
+__version__ = "0.1.0"

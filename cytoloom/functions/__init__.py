@@ -1,0 +1 @@
+"""Column expressions, canonical JSON and digests."""

@@ -1,0 +1 @@
+"""Declarations: signal policy, panel, rule hierarchy, configuration."""
