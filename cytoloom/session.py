@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch: texts make rows large, and a worker holds a batch in several forms.
-ARROW_ROWS = 1_000
+ARROW_ROWS = 500
 
 
 def ready(spark: SparkSession) -> SparkSession:

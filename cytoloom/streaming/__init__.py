@@ -1,0 +1 @@
+"""Ledgers as streams."""
