@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ready
 from .common import fresh
 
 PAGES, EPOCHS, RATE, PENALTY = 300, 80, 0.1, 2e-4
@@ -378,6 +379,7 @@ def main_text(page: str, crf: Field, known: dict | None = None) -> str:
 
 def extract(pages: DataFrame, column: str = "html", crf: Field | None = None) -> DataFrame:
     """``pages`` without its html, with text string and n_chars long."""
+    ready(pages.sparkSession)
     crf = crf or model()
     kept = [c for c in pages.columns if c != column]
     names = fresh(pages.drop(column), "text", "n_chars")

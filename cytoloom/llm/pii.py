@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ready
 from .common import fresh
 
 ROUNDS = 8
@@ -266,6 +267,7 @@ def _merge(first: list, second: list) -> list:
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text", invert: bool = False) -> DataFrame:
     """``docs`` with the text changed, and n_<kind> int for every kind and n_pii long."""
     names = fresh(docs, *(f"n_{k}" for k in KINDS), "n_pii")
+    ready(docs.sparkSession)
     place = docs.columns.index(text)
     docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
 

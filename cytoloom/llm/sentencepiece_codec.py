@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ready
 from .common import fresh
 
 MARK, MEMORY, CHARS_AT_ONCE = "▁", 300_000, 1_000_000
@@ -220,6 +221,7 @@ def _texts(column: pa.Array) -> list[str]:
 
 def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """``docs`` with ids array<int>, n_tokens long, n_differing int and decoded string."""
+    ready(docs.sparkSession)
     names = fresh(docs, "ids", "n_tokens", "n_differing", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +245,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
 
 def op7_sentencepiece(docs: DataFrame, model: bytes) -> DataFrame:
     """The digests of the contract; ids and texts stay in the batch."""
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)

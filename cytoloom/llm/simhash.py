@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ready
 from .common import stored
 
 SHINGLE, SEED, MAX_BITS, PIECES, BLOCK_PAIRS = 3, 42, 2, 5, 32
@@ -65,6 +66,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, *extra: str) -> DataFrame:
     """(doc_id long, fp long, extra...), one row for each row of ``docs``; fp holds the 64 bits as a signed number."""
+    ready(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     return narrow.mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(f", {c} long" for c in extra))
 

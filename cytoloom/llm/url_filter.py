@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from ..session import ready
+from .common import ascii_lower
 
 SAMPLE, BATCH = 40, 4096
 #: The rules of the query's contract.
@@ -94,7 +95,7 @@ def judge(pages: DataFrame, rules: DataFrame, ids: list[str], url: str = "url",
 
     The columns ``ids`` travel as packed text; nothing else of the pages is moved.
     """
-    spark = pages.sparkSession
+    spark = ready(pages.sparkSession)
     ranges = ranges or max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     packed = F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(ids)), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path")))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ready
 from .common import new_path, stored
 
 ARCHIVE_BYTES, BLOCK, MIN_PAYLOAD = 64 << 20, 1 << 20, 0
@@ -227,6 +228,7 @@ def with_first(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, packed: bool = True) -> DataFrame:
     """Writes the archives of ``pages`` (page_id, url, html) into ``folder``; stored rows (path, n_records, n_bytes)."""
+    ready(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -270,6 +272,8 @@ def read(spark: SparkSession, archives: DataFrame, payload: bool = True) -> Data
     """Records and gaps of the archives named in column ``path``. A row is either a record or a quarantined gap (with
     gap_offset); html is the payload of responses, or null without ``payload``."""
 
+    ready(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
         names = [p.split(" ")[0] for p in SCHEMA.split(", ")]
