@@ -155,6 +155,15 @@ def density_modes(spark, d):
     return th.mode_table(th.density_table(_events(spark, d), "event_type", "value", 64), "event_type").select("event_type", "k", F.round("density", 8).alias("density"), "rank")
 
 
+def crossing(spark, d):
+    df = _events(spark, d).select("event_type", "value", (F.col("user_id") % 3 == 0).alias("third"))
+    return th.crossing_table(df, "event_type", "value", "third", 64).select("event_type", F.round("crossing", 6).alias("crossing"))
+
+
+def mixture_em_step(spark, d):
+    return th.mixture_step_table(_events(spark, d), "event_type", "value").select("event_type", *(F.round(c, 6).alias(c) for c in ("w1", "w2", "m1", "m2", "s1", "s2")))
+
+
 def threshold_manual(spark, d):
     return th.thresholds(lines(spark, d)).frame(spark).select("image_id", "marker", "role", "method", "status", "estimate", "rule", "args_json", "n_positive_pool")
 
@@ -387,6 +396,19 @@ def replay_states(spark, d):
     return s.groupBy("image_id", "marker", "parent", "enabled", "estimate").agg(F.count_if("in_parent").alias("n_in_parent"), F.count_if("positive").alias("n_positive"))
 
 
+def refinements(spark, d):
+    """Cells that a refinement relabelled."""
+    return review.replay(_review(spark, d)).cells.where("cell_type = 'Both taxed'").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def imported_cuts(spark, d):
+    """Cuts in bulk: one ledger row for each, and the labels that follow."""
+    p, cuts, c = _classified(spark, d)
+    rows = [{"image_id": i, "marker": "QTY", "estimate": e} for i, e in (("AF", 2.9), ("NF", 2.9), ("NO", 1.2))]
+    r = review.review(p, cuts, c).import_cuts(rows, "reviewer", "bulk import")
+    return cl.summary(review.replay(r).cells).select("image_id", "cell_type", "n")
+
+
 def dotplot_means(spark, d):
     p, _, c = _classified(spark, d)
     return views.dotplot(p, c.df).select("image_id", "marker", "cell_type", F.round("mean_score", 6).alias("mean_score"), "n_observed")
@@ -429,9 +451,9 @@ def support_of_events(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         signal_select, transform_scores, localization_ratio, image_filter, callability, callability_unavailable, callability_underpowered, support_of_events, frozen_apply, frozen_fit_params, correction_params, auc_rank,
-        density_grid, density_modes, threshold_manual, population_crossing, population_pools, threshold_coverage, effective_overrides, marker_calls, classify_cells, cell_flags, disabled_rules, classify_uncallable,
+        density_grid, density_modes, crossing, mixture_em_step, threshold_manual, population_crossing, population_pools, threshold_coverage, effective_overrides, marker_calls, classify_cells, cell_flags, disabled_rules, classify_uncallable,
         classification_summary, fixed_threshold_calls, fixed_signal_calls, candidate_rules, state_diagnostics, state_calls_manual, state_parent_crossing, state_calls_completeness, neighbour_counts, structure_eps,
-        structure_stats, spatial_structures, pca_scores, embedding_populations, basin_assign, active_ledger, effective_cuts, dispositions, structure_decisions, replay_cells, replay_states, dotplot_means, state_histogram,
+        structure_stats, spatial_structures, pca_scores, embedding_populations, basin_assign, active_ledger, effective_cuts, dispositions, structure_decisions, replay_cells, replay_states, refinements, imported_cuts, dotplot_means, state_histogram,
         density_view, map_view, verify_exceptall, source_digest,
     ]
     out = {f.__name__: f for f in found}

@@ -106,6 +106,18 @@ SELECT event_type, round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(
     "density_grid": f"WITH {density(_EVENTS, 64)} SELECT g AS event_type, k::INTEGER AS k, round(x, 6) AS x, round(density, 8) AS density FROM dens",
     "density_modes": f"""WITH {density(_EVENTS, 64)}, w AS (SELECT *, lag(density) OVER v AS a, lead(density) OVER v AS b, max(density) OVER (PARTITION BY g) AS top FROM dens WINDOW v AS (PARTITION BY g ORDER BY k))
 SELECT g AS event_type, k::INTEGER AS k, round(density, 8) AS density, row_number() OVER (PARTITION BY g ORDER BY density DESC, k)::INTEGER AS rank FROM w WHERE density > a AND density > b AND density >= 0.03 * top""",
+    "crossing": """WITH b AS (SELECT event_type AS g, user_id % 3 = 0 AS p, value AS v FROM events), q AS (SELECT g, p, count(*) AS n, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM b GROUP BY g, p),
+h AS (SELECT g, p, n, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) ELSE sd END * pow(n, -0.2) AS h FROM q), s AS (SELECT g, min(v) AS lo, max(v) AS hi FROM b GROUP BY g),
+x AS (SELECT g, k, lo + k * (hi - lo) / 63.0 AS x FROM s, range(64) r(k)), w AS (SELECT g, p, v, count(*) AS w FROM b GROUP BY ALL),
+d AS (SELECT x.g, x.k, x.x, w.p, sum(w * exp(-0.5 * ((x.x - v) / h) * ((x.x - v) / h)) / (n * h)) AS y FROM x JOIN w ON x.g = w.g JOIN h ON h.g = w.g AND h.p = w.p GROUP BY ALL),
+c AS (SELECT g, k, x, max(y) FILTER (p) AS t, max(y) FILTER (NOT p) AS f FROM d GROUP BY g, k, x), m AS (SELECT g, arg_max(k, f) AS top FROM c GROUP BY g)
+SELECT s.g AS event_type, round((SELECT min(x) FROM c JOIN m USING (g) WHERE c.g = s.g AND k > top AND t >= f), 6) AS crossing FROM s""",
+    "mixture_em_step": """WITH q AS (SELECT event_type AS g, quantile_cont(value, 0.25) AS a1, quantile_cont(value, 0.75) AS a2, stddev_samp(value) AS sd0 FROM events GROUP BY ALL),
+o AS (SELECT q.g, a1, a2, stddev_samp(value) FILTER (value <= a1) AS x1, stddev_samp(value) FILTER (value >= a2) AS x2, sd0 FROM events JOIN q ON event_type = g GROUP BY ALL),
+s AS (SELECT g, a1, a2, CASE WHEN x1 > 0 THEN x1 ELSE greatest(sd0 / 2, 1e-6) END AS d1, CASE WHEN x2 > 0 THEN x2 ELSE greatest(sd0 / 2, 1e-6) END AS d2 FROM o),
+r AS (SELECT g, value AS v, 1 / (1 + exp(-0.5 * pow((value - a2) / d2, 2) - ln(d2) + 0.5 * pow((value - a1) / d1, 2) + ln(d1))) AS r FROM events JOIN s ON event_type = g),
+m AS (SELECT g, avg(r) AS w1, avg(1 - r) AS w2, sum(r * v) / sum(r) AS m1, sum((1 - r) * v) / sum(1 - r) AS m2 FROM r GROUP BY g)
+SELECT r.g AS event_type, round(w1, 6) AS w1, round(w2, 6) AS w2, round(m1, 6) AS m1, round(m2, 6) AS m2, round(sqrt(sum(r * pow(v - m1, 2)) / sum(r)), 6) AS s1, round(sqrt(sum((1 - r) * pow(v - m2, 2)) / sum(1 - r)), 6) AS s2 FROM r JOIN m ON r.g = m.g GROUP BY r.g, w1, w2, m1, m2""",
     "threshold_manual": f"""WITH {S} SELECT image_id, marker, 'identity' AS role, 'manual' AS method, 'MANUAL' AS status, estimate, 'manual' AS rule, '{{"value":' || txt || '}}' AS args_json, 0::BIGINT AS n_positive_pool
 FROM (SELECT DISTINCT image_id FROM s) CROSS JOIN (VALUES ('QTY', 2.3::DOUBLE, '2.3'), ('PRICE', 9.2, '9.2'), ('DISC', 0.05, '0.05'), ('TAX', 0.04, '0.04')) v(marker, estimate, txt)""",
     "population_pools": """WITH e AS (SELECT label, embedding[1]::DOUBLE + 1 AS v FROM embeddings), a AS (SELECT avg(v) AS m, stddev_samp(v) AS s FROM e)
@@ -143,6 +155,9 @@ SELECT id, raw_population::INTEGER AS raw_population, population FROM r LEFT JOI
     "structure_decisions": f"WITH {boxes(300, str(['Tumor', 'Benign', 'Unresolved']))} SELECT image_id, coalesce(v, 'none') AS decision, count(*) AS n FROM h GROUP BY ALL",
     "replay_cells": f"""WITH {_REPLAY} SELECT k.image_id, k.cell_id, CASE WHEN t1 = 'Both' AND analysed AND enabled AND positive THEN 'Both taxed' ELSE t1 END AS cell_type, base_cell_type, rule_id, coalesce(pending_review, false) AS pending_review, structure_decision, disposition_effective, analysed FROM k JOIN rp ON k.image_id = rp.image_id AND k.cell_id = rp.cell_id AND parent = 'big'""",
     "replay_states": f"WITH {_REPLAY} SELECT image_id, 'TAX' AS marker, parent, enabled, estimate::DOUBLE AS estimate, count(*) FILTER (in_parent) AS n_in_parent, count(*) FILTER (positive) AS n_positive FROM rp GROUP BY ALL",
+    "refinements": f"WITH {_REPLAY} SELECT k.image_id, count(*) AS n FROM k JOIN rp ON k.image_id = rp.image_id AND k.cell_id = rp.cell_id AND parent = 'big' WHERE t1 = 'Both' AND analysed AND enabled AND positive GROUP BY ALL",
+    "imported_cuts": f"""WITH {S}, l AS (SELECT image_id, CASE WHEN d >= 0.05 AND t >= 0.04 THEN 'Unresolved' WHEN cq AND asinh(p / 5) >= 9.2 THEN 'Both' WHEN cq AND NOT d >= 0.05 THEN 'Pending' WHEN d >= 0.05 OR t >= 0.04 THEN 'Discounted' ELSE 'Undefined' END AS cell_type FROM (SELECT *, asinh(q / 5) >= CASE WHEN image_id IN ('AF', 'NF') THEN 2.9 WHEN image_id = 'NO' THEN 1.2 ELSE 2.3 END AS cq FROM s)),
+n AS (SELECT image_id, cell_type, count(*) AS k FROM l GROUP BY ALL) SELECT i.image_id, y.cell_type, coalesce(k, 0)::BIGINT AS n FROM (SELECT DISTINCT image_id FROM l) i CROSS JOIN (SELECT DISTINCT cell_type FROM l) y LEFT JOIN n USING (image_id, cell_type)""",
     "dotplot_means": f"WITH {C} SELECT image_id, marker, cell_type, round(avg(v), 6) AS mean_score, count(v) AS n_observed FROM (SELECT image_id, cell_type, unnest(['QTY', 'PRICE', 'DISC', 'TAX']) AS marker, unnest([asinh(q / 5), asinh(p / 5), d, t]) AS v FROM l) GROUP BY ALL",
     "state_histogram": f"""WITH {T}, r AS (SELECT min(score) AS lo, max(score) AS hi FROM st)
 SELECT marker, parent, in_parent AND ratio >= 1.0 AND score >= 0.04 AS positive, least(10, floor((score - lo) / (hi - lo) * 10)::INTEGER + 1) AS bin, count(*) AS n FROM st, r GROUP BY ALL""",

@@ -216,6 +216,35 @@ def density_table(df: DataFrame, group: str, value: str, n: int = 256, low: floa
     return summed.select(F.col("g").alias(group), "k", "x", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
 
 
+def crossing_table(df: DataFrame, group: str, value: str, positive: str, n: int = 256) -> DataFrame:
+    """(group, crossing): for each group the first of n places over the common range, behind the peak of the negative
+    pool's density, where the positive pool's density is at least as high; NULL without one."""
+    base = df.select(F.col(group).alias("g"), F.col(positive).alias("p"), F.col(value).cast("double").alias("v")).where("v is not null and p is not null and not isnan(v)")
+    stats = base.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    widths = stats.selectExpr("g", "p", "n", "0.9D * if(least(sd, (q[1] - q[0]) / 1.34D) > 0, least(sd, (q[1] - q[0]) / 1.34D), sd) * pow(n, -0.2D) as h")
+    spans = base.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("hi > lo")
+    grid = spans.select("g", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).selectExpr("g", "k", f"lo + k * (hi - lo) / {float(n - 1)}D as x").join(F.broadcast(widths), "g")
+    z = (F.col("x") - F.col("v")) / F.col("h")
+    curves = points(base, ["g", "p"]).join(F.broadcast(grid), ["g", "p"]).groupBy("g", "k", "x").pivot("p", [True, False]).agg(F.sum(F.col("w") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h"))))
+    peak = curves.groupBy("g").agg(F.max_by("k", F.struct(F.col("false"), -F.col("k"))).alias("top"))
+    hits = curves.join(F.broadcast(peak), "g").where((F.col("k") > F.col("top")) & (F.col("true") >= F.col("false"))).groupBy("g").agg(F.min("x").alias("crossing"))
+    return spans.select("g").join(hits, "g", "left").select(F.col("g").alias(group), "crossing")
+
+
+def mixture_step_table(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, w1, w2, m1, m2, s1, s2): one round of expectation and maximisation from the usual start, as aggregations;
+    for groups whose points do not fit one task's bound exactly, rounds of this kind can be iterated."""
+    base = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
+    wide = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_samp("v").alias("sd0"))
+    outer = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).join(F.broadcast(wide), "g").groupBy("g").agg(F.stddev_samp(F.when(F.col("v") <= F.col("q")[0], F.col("v"))).alias("a"), F.stddev_samp(F.when(F.col("v") >= F.col("q")[1], F.col("v"))).alias("b"))
+    start = wide.join(outer, "g").selectExpr("g", "q[0] as a1", "q[1] as a2", "if(a > 0, a, greatest(sd0 / 2, 1e-6D)) as d1", "if(b > 0, b, greatest(sd0 / 2, 1e-6D)) as d2")
+    shared = base.join(F.broadcast(start), "g").selectExpr("g", "v", "w", "1D / (1D + exp(-0.5D * pow((v - a2) / d2, 2) - ln(d2) + 0.5D * pow((v - a1) / d1, 2) + ln(d1))) as r")
+    sums = shared.groupBy("g").agg(F.sum("w").alias("n"), *(F.sum(e).alias(a) for a, e in (("r1", F.expr("w * r")), ("x1", F.expr("w * r * v")), ("r2", F.expr("w * (1 - r)")), ("x2", F.expr("w * (1 - r) * v")))))
+    means = sums.selectExpr("g", "r1", "r2", "r1 / n as w1", "r2 / n as w2", "x1 / r1 as m1", "x2 / r2 as m2")
+    spread = shared.join(F.broadcast(means), "g").groupBy("g", "w1", "w2", "m1", "m2", "r1", "r2").agg(F.sum(F.expr("w * r * pow(v - m1, 2)")).alias("q1"), F.sum(F.expr("w * (1 - r) * pow(v - m2, 2)")).alias("q2"))
+    return spread.selectExpr(f"g as `{group}`", "w1", "w2", "m1", "m2", "sqrt(q1 / r1) as s1", "sqrt(q2 / r2) as s2")
+
+
 def mode_table(curve: DataFrame, group: str, share: float = 0.03) -> DataFrame:
     """(group, k, x, density, rank): strict local maxima of at least ``share`` of the highest."""
     near = curve.selectExpr("*", f"lag(density) over (partition by {group} order by k) as before", f"lead(density) over (partition by {group} order by k) as after", f"max(density) over (partition by {group}) as top")
@@ -228,4 +257,4 @@ def evidence_frame(spark, cuts: Thresholds) -> DataFrame:
     return spark.createDataFrame(rows, "evidence_ref string, name string, values array<double>")
 
 
-__all__ = ["Thresholds", "auc_table", "density_table", "evidence_frame", "mode_table", "points", "thresholds", "validate_thresholds"]
+__all__ = ["Thresholds", "auc_table", "crossing_table", "density_table", "evidence_frame", "mixture_step_table", "mode_table", "points", "thresholds", "validate_thresholds"]
