@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, text_of
+from .common import SPACES, stored, text_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ALPHA, FENCE, MIN_ROWS = 0.01, 3.0, 50
@@ -110,22 +110,25 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     Columns of docs that have one of these names come out under it with underscores in front.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    kept_columns = docs.columns
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("_row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
-    limits = thresholds(sketches(inner, "_lang", "_source")).withColumnsRenamed({"_lang": "_l", "_source": "_s"})
-    measured = repeat_words(line_measures(inner)).select("_row", "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(F.expr(sql).alias(m) for m, sql in MEASURES.items()))
+    carried = [f"_c{k}" for k in range(len(docs.columns))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carried, strict=True)), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
+    # a few rows for each source; stored, their size is known, and Spark broadcasts them if it is small
+    limits = stored(thresholds(sketches(inner, "_lang", "_source")), "limits").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
+    numbers = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(F.expr(sql).alias(m) for m, sql in MEASURES.items()))
+    # the generator keeps later filters above it; pushed below, they would repeat the sort for every word
+    measured = repeat_words(line_measures(inner)).select(*carried, "_lang", "_source", F.inline(F.array(numbers)))
     joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within = [F.col(m) <= F.col(f"limit_{m}") for m in FLOORS]
     ruled = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within[0] & within[1] & within[2])
     taken = {c.lower() for c in added}
     names = []
-    for c in kept_columns:
+    for c, n in zip(docs.columns, carried, strict=True):
         out = c
         while out.lower() in taken:
             out = f"_{out}"
         taken.add(out.lower())
-        names.append(F.col("_row").getField(c).alias(out))
+        names.append(F.col(n).alias(out))
     return ruled.select(*names, *added)
 
 

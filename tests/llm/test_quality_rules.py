@@ -43,3 +43,11 @@ def test_extra_columns_pass_and_empty_table(spark):
     [row] = out.collect()
     assert (row["_kept"], row["_n_words"], row["n_words"], row["kept"]) == ("mine", 5, 1, False)
     assert quality_rules.op10_quality_rules(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_filter_on_the_verdict_stays_cheap(spark):
+    """A filter pushed below the sorted windows would sort again for each word."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(4000)), "en", "a", "", 0) for k in range(4)]
+    plan = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).where("kept").select("doc_id")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+    assert plan.count() == 4
