@@ -27,7 +27,7 @@ _MEASURES = {
 
 def _quantiles(level: int, keys: str) -> str:
     by = f"{keys}, m" if keys else "m"
-    value = f"CASE WHEN bucket = {ZERO_BUCKET} THEN 0 ELSE 2 * pow({GAMMA!r}::DOUBLE, bucket) / ({GAMMA!r}::DOUBLE + 1) END"
+    value = f"CASE WHEN bucket = {ZERO_BUCKET} THEN 0 ELSE pow({GAMMA!r}::DOUBLE, bucket) END"
     return f"""q{level} AS (SELECT {by}, max(total) AS total, min(CASE WHEN upto >= 0.25 * total THEN v END) AS q25, min(CASE WHEN upto >= 0.75 * total THEN v END) AS q75
 FROM (SELECT *, {value} AS v, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY {by}, bucket)) GROUP BY {by}),
 f{level} AS (SELECT {by}, total, q75 + {FENCE} * (q75 - q25) AS fence FROM q{level})"""

@@ -4,7 +4,7 @@ Fixed rules look at one text. The adaptive ones compare a text's measures with t
 a DDSketch (Masson, Rim, Lee 2019: counts of logarithmic buckets) of every measure is built for each (lang, source),
 merged by adding counts into one for each language and one for all, and a measure over the upper outer fence
 q75 + FENCE * (q75 - q25) of its group, and over the measure's floor, rejects. The sketches are groupBy counts: they
-merge in any order, always give the same result, and have relative error ALPHA. A group with fewer than MIN_ROWS rows
+merge in any order, always give the same result, and overstate a quantile by a share of 2 * ALPHA at most. A group with fewer than MIN_ROWS rows
 takes its language's sketch, then the one of all rows. Thresholds come back by a null-safe join.
 
 Nulls: a null text has no words (so it fails the base rules); a null lang or source is a group of its own. Repeated
@@ -25,7 +25,7 @@ ALPHA, FENCE, MIN_ROWS = 0.01, 3.0, 50
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 LOG_GAMMA = math.log(GAMMA)
 #: Measure -> floor: no threshold falls below it.
-FLOORS = {"symbols_per_word": 0.25, "dup_line_share": 0.3, "chars_per_word": 15.0}
+FLOORS = {"symbols_per_word": 0.25, "dup_line_share": 0.6, "chars_per_word": 15.0}
 ZERO_BUCKET = -1_000_000
 
 
@@ -82,7 +82,8 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     by = ", ".join([*keys, "measure"])
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     ranked = merged.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total")
-    value = f"if(bucket = {ZERO_BUCKET}, 0D, 2 * pow({GAMMA!r}D, bucket) / ({GAMMA!r}D + 1))"
+    # a bucket's upper edge, so that no value at a quantile lies above its estimate
+    value = f"if(bucket = {ZERO_BUCKET}, 0D, pow({GAMMA!r}D, bucket))"
     return ranked.groupBy(*keys, "measure").agg(
         F.max("total").alias("total"), *(F.expr(f"min(if(upto >= {q}D * total, {value}, null))").alias(name) for q, name in ((0.25, "q25"), (0.75, "q75")))
     )

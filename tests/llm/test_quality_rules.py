@@ -51,3 +51,11 @@ def test_filter_on_the_verdict_stays_cheap(spark):
     plan = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).where("kept").select("doc_id")
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
     assert plan.count() == 4
+
+
+def test_a_line_above_and_below_a_short_text_is_no_fault(spark):
+    """Clean texts with a head line that comes back, among texts without repeated lines."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(k, text(k), "en", "a", "", 0) for k in range(60)] + [(100, f"head line\n{text(100)}\nhead line", "en", "a", "", 0), (101, "head line\n" * 30 + text(101), "en", "a", "", 0)]
+    kept = {r.doc_id: r.kept for r in quality_rules.op10_quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept[100] and not kept[101] and all(kept[k] for k in range(60))
