@@ -27,7 +27,7 @@ def test_agenda_is_the_librarys_result():
 
 def test_a_differing_segment_is_found_and_the_library_prevails():
     own = codec.Codec(MODEL)
-    own.vocabulary.costs.pop("he")
+    own.vocabulary.costs.pop("▁the")
     [(ids, _, differing)] = own.encode(["the weather"])
     assert differing and ids == LIBRARY.encode("the weather")
 
