@@ -22,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """Of each group of near-duplicates the document with the smallest doc_id stays: near by fingerprint, or with a
+    similarity of 0.8 or more over 5-word shingles."""
+    return simhash.one_of_each(docs.select(*COLUMNS), similar=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,12 +121,23 @@ def components(edges: DataFrame) -> DataFrame:
     return tips.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, *extra: str) -> DataFrame:
+def near_duplicates(docs: DataFrame, *extra: str, similar: bool = False) -> DataFrame:
     """(doc_id, fp, comp, component_id, extra...), one row for each row of ``docs``; comp is the smallest fingerprint of
-    the component, extra are long columns to carry along."""
-    prints = stored(fingerprints(docs, *extra), "fingerprints")
+    the component, extra are long columns to carry along. With ``similar``, near copies by word similarity
+    (``near_copies``) link too, however many bits they differ in."""
+    from . import near_copies
+
+    prints = stored(near_copies.described(docs, *extra) if similar else fingerprints(docs, *extra), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = components(links(classes.select("fp")))
+    edges = links(classes.select("fp"))
+    if similar:
+        # a set of shingles stands at the smallest of its fingerprints
+        keyed = stored(prints.select("key", "fp").distinct(), "keys")
+        least = keyed.groupBy("key").agg(F.min("fp").alias("least"))
+        near = near_copies.links(prints)
+        pairs = near.join(least.selectExpr("key as a", "least as fa"), "a").join(least.selectExpr("key as b", "least as fb"), "b")
+        edges = edges.unionByName(pairs.selectExpr("fa as a", "fb as b")).unionByName(keyed.join(least, "key").selectExpr("least as a", "fp as b")).where("a <> b")
+    labels = components(edges)
     linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     ids = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     by_print = linked.join(ids, "label").select("fp", F.col("label").alias("comp"), "component_id")
@@ -138,12 +149,12 @@ def op1_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, similar: bool = False) -> DataFrame:
     """One row of each component of ``docs``, all its columns kept: that of the smallest doc_id, and among texts that
     share it that of the smallest text hash. Rows without doc_id stay only where a component has no other; of repeated
     rows one stays."""
     mark = F.xxhash64(F.col("text").cast("string"))
-    found = near_duplicates(docs.withColumn("_mark", mark), "_mark")
+    found = near_duplicates(docs.withColumn("_mark", mark), "_mark", similar=similar)
     rows = found.groupBy("component_id", "comp", "doc_id", "_mark").agg(F.count(F.lit(1)).alias("n"))
     best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_mark", "n")).alias("b"))
     keep = stored(best.select(F.col("b.doc_id").alias("_keep"), F.col("b._mark").alias("_mark"), F.col("b.n").alias("_n")), "kept-ids")
