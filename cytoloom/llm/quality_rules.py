@@ -3,7 +3,9 @@
 Fixed rules look at one text. The adaptive ones compare a text's measures with those of its language and source:
 a DDSketch (Masson, Rim, Lee 2019: counts of logarithmic buckets) of every measure is built for each (lang, source),
 merged by adding counts into one for each language and one for all, and a measure over the upper outer fence
-q75 + FENCE * (q75 - q25) of its group, and over the measure's floor, rejects. The sketches are groupBy counts: they
+q75 + FENCE * (q75 - q25) of its group rejects; the spread counts as SPREAD of q75 at least, as so much comes with the
+shortest texts. Where q75 is 0 there is no spread to measure, and the limit is half the 95 % quantile of the group's non-zero
+values, within the bounds of ZERO_LIMITS. The sketches are groupBy counts: they
 merge in any order, always give the same result, and overstate a quantile by a share of 2 * ALPHA at most. A group with fewer than MIN_ROWS rows
 takes its language's sketch, then the one of all rows. Thresholds come back by a null-safe join.
 
@@ -24,8 +26,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ALPHA, FENCE, MIN_ROWS = 0.01, 3.0, 50
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 LOG_GAMMA = math.log(GAMMA)
-#: Measure -> floor: no threshold falls below it.
-FLOORS = {"symbols_per_word": 0.25, "dup_line_share": 0.6, "chars_per_word": 15.0}
+#: SPREAD: the IQR of the mean of MIN_WORDS word lengths whose deviation is half their mean, as a share of it.
+SPREAD, TOP = 0.1, 0.95
+#: Measure -> lowest and highest limit of a group whose q75 is 0. A symbol in 50 words is no fault, and lines that come
+#: back in a short text make shares up to 0.5, so there the limit is fixed.
+ZERO_LIMITS = {"symbols_per_word": (0.02, 0.25), "dup_line_share": (0.6, 0.6), "chars_per_word": (0.0, 0.0)}
 ZERO_BUCKET = -1_000_000
 
 
@@ -78,20 +83,23 @@ def sketches(df: DataFrame, lang: str, source: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges the sketches of each ``keys`` by adding counts and gives rows, q25 and q75 of every measure."""
+    """Merges the sketches of each ``keys`` by adding counts and gives rows, q25, q75 and the TOP quantile of
+    the non-zero values of every measure."""
     by = ", ".join([*keys, "measure"])
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    ranked = merged.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total")
+    ranked = merged.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total", f"sum(if(bucket = {ZERO_BUCKET}, n, 0L)) over (partition by {by}) as zeros")
     # a bucket's upper edge, so that no value at a quantile lies above its estimate
     value = f"if(bucket = {ZERO_BUCKET}, 0D, pow({GAMMA!r}D, bucket))"
     return ranked.groupBy(*keys, "measure").agg(
-        F.max("total").alias("total"), *(F.expr(f"min(if(upto >= {q}D * total, {value}, null))").alias(name) for q, name in ((0.25, "q25"), (0.75, "q75")))
+        F.max("total").alias("total"), *(F.expr(f"min(if(upto >= {q}D * total, {value}, null))").alias(name) for q, name in ((0.25, "q25"), (0.75, "q75"))),
+        F.expr(f"coalesce(min(if(bucket <> {ZERO_BUCKET} and upto - zeros >= {TOP}D * (total - zeros), {value}, null)), 0D)").alias("top"),
     )
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row for each (_lang, _source): the limit of every measure as column limit_<measure>."""
-    fence = F.col("q75") + F.lit(FENCE) * (F.col("q75") - F.col("q25"))
+    zero = F.coalesce(*(F.when(F.col("measure") == m, F.least(F.lit(high), F.greatest(F.lit(low), F.col("top") / 2))) for m, (low, high) in ZERO_LIMITS.items()))
+    fence = F.when(F.col("q75") > 0, F.col("q75") + F.lit(FENCE) * F.greatest(F.col("q75") - F.col("q25"), F.lit(SPREAD) * F.col("q75"))).otherwise(zero)
     level = {}
     for k, keys in enumerate((["_lang", "_source"], ["_lang"], [])):
         level[k] = quantiles(sketch, keys).select(*(F.col(c).alias(f"{c}{k}") for c in keys), F.col("measure").alias(f"measure{k}"), F.col("total").alias(f"total{k}"), fence.alias(f"fence{k}"))
@@ -101,7 +109,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         .join(level[2], F.col("measure0") == F.col("measure2"))
         .withColumn("fence", F.when(F.col("total0") >= MIN_ROWS, F.col("fence0")).when(F.col("total1") >= MIN_ROWS, F.col("fence1")).otherwise(F.col("fence2")))
     )
-    limits = [F.max(F.when(F.col("measure0") == m, F.greatest(F.col("fence"), F.lit(floor)))).alias(f"limit_{m}") for m, floor in FLOORS.items()]
+    limits = [F.max(F.when(F.col("measure0") == m, F.col("fence"))).alias(f"limit_{m}") for m in MEASURES]
     return joined.groupBy(F.col("_lang0").alias("_lang"), F.col("_source0").alias("_source")).agg(*limits)
 
 
@@ -120,7 +128,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     measured = repeat_words(line_measures(inner)).select(*carried, "_lang", "_source", F.inline(F.array(numbers)))
     joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    within = [F.col(m) <= F.col(f"limit_{m}") for m in FLOORS]
+    within = [F.col(m) <= F.col(f"limit_{m}") for m in MEASURES]
     ruled = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within[0] & within[1] & within[2])
     taken = {c.lower() for c in added}
     names = []

@@ -59,3 +59,13 @@ def test_a_line_above_and_below_a_short_text_is_no_fault(spark):
     rows = [(k, text(k), "en", "a", "", 0) for k in range(60)] + [(100, f"head line\n{text(100)}\nhead line", "en", "a", "", 0), (101, "head line\n" * 30 + text(101), "en", "a", "", 0)]
     kept = {r.doc_id: r.kept for r in quality_rules.op10_quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert kept[100] and not kept[101] and all(kept[k] for k in range(60))
+
+
+def test_few_symbols_and_long_words_are_judged_by_their_group(spark):
+    """A source without symbols, one with texts of a symbol in five words, and texts of long words: no fixed cutoff."""
+    text = lambda k, word="w", n=60: " ".join(f"{word}{k % 10}x{j:02d}" for j in range(n))
+    some = lambda k: " ".join(f"w{k % 10}x{j:02d}{'#' if j % 5 == 0 else ''}" for j in range(60))
+    rows = [(k, text(k), "en", "plain", "", 0) for k in range(100)] + [(100 + k, some(k), "en", "marked", "", 0) for k in range(100)] + [(200 + k, text(k, "longwords"), "en", "long", "", 0) for k in range(100)]
+    rows += [(900, some(3), "en", "plain", "", 0), (901, text(3, "longwords"), "en", "plain", "", 0), (902, some(3).replace("#", "", 11), "en", "plain", "", 0)]
+    kept = {r.doc_id: r.kept for r in quality_rules.op10_quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [k for k, v in kept.items() if not v] == [900, 901]
