@@ -8,7 +8,7 @@ records stay linked; whoever has the key can invert it.
 
 What stays: separators, country and network codes, mail domains, the class of an address (private, public, ...), the
 checksum's validity. No value is mapped onto itself, but for restricted domains (addresses by class, phone and social
-security numbers, dates with slashes), where it happens as often as one in the size of the domain.
+security numbers, dates whose day and month could be swapped), where it happens as often as one in the size of the domain.
 
 Nulls: a null text stays null, with zero counts. Long texts are searched whole. Overlapping finds: the kind listed
 first in KINDS wins, then the leftmost. Repeated rows and extra columns pass through.
@@ -81,6 +81,27 @@ def iban_digits(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
 
 
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = dict(pair.split(":") for pair in "AT:20 BE:16 BG:22 CH:21 CY:28 CZ:24 DE:22 DK:18 EE:20 ES:24 FI:18 FR:27 GB:22 GR:27 HR:21 HU:28 IE:22 IS:26 IT:27 LI:21 LT:20 LU:20 LV:21 MC:27 MT:31 NL:18 NO:15 PL:28 PT:25 RO:24 SE:24 SI:19 SK:24 SM:27 TR:26 UA:29 AE:23 SA:24 IL:23".split())
+
+
+def _ibans(text: str) -> Iterator[tuple[int, str]]:
+    """(start, found) of valid IBANs: of a match the part that ends with a token, has a right checksum and the country's
+    length, else the longest with a right checksum; the search goes on behind it, or behind the match's country where
+    there is none."""
+    at = 0
+    while m := IBAN.search(text, at):
+        found, at, parts = m[0], m.start() + 4, []
+        while found:
+            bare = found.replace(" ", "")
+            if 15 <= len(bare) <= 34 and iban_valid(bare):
+                parts.append((len(bare) == int(IBAN_LENGTHS.get(bare[:2], 0)), len(found), found))
+            found = found[: max(found.rfind(" "), 0)]
+        if parts:
+            yield m.start(), max(parts)[2]
+            at = m.start() + max(parts)[1]
+
+
 def _refill(template: str, digits: str) -> str:
     """``template`` with its digits replaced, in order."""
     feed = iter(digits)
@@ -133,7 +154,23 @@ CARD = re.compile(r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7
 IP = re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)")
 PHONE = re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-DATE = re.compile(rf"(?<![\d./-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}})(?![\d/-])|\b(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}\b")
+NAMED = "|".join(f"{m}|{m[:3]}\\.?" for m in MONTHS) + r"|Sept\.?"
+DATE = re.compile(
+    r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])"
+    rf"|\b(?:{NAMED}) \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}\b|(?<![\w./-])\d{{1,2}}(?:st|nd|rd|th)?\.? (?:{NAMED}),? \d{{4}}\b"
+)
+
+
+def _named(text: str, name: re.Match, new: datetime.date, padded: bool) -> str:
+    """A date with a month's name in the form of ``text``: short or whole name, ordinal ending, order and signs."""
+    month = MONTHS[new.month - 1]
+    short = name[0] not in MONTHS or name[0] == "May" and text[name.end() : name.end() + 1] == "."
+    rest = text[: name.start()] + "@" + text[name.end() :]
+    ending = "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+    day = f"{new.day:02d}" if padded and re.search(r"(?<!\d)0\d(?!\d)", rest) else str(new.day)
+    rest = re.sub(r"\d{4}$", str(new.year), rest)
+    rest = re.sub(r"(?<!\d)\d{1,2}(?!\d)(st|nd|rd|th)?", lambda m: day + (ending if m[1] else ""), rest, count=1)
+    return rest.replace("@", month[:3] if short else month)
 
 
 class Pseudonyms:
@@ -199,12 +236,16 @@ class Pseudonyms:
 
     def date(self, text: str) -> str | None:
         numbers = [int(x) for x in re.findall(r"\d+", text)]
-        word = text.split(" ")[0] if text[0] in "JFMASOND" else ""
-        if word:
-            (d, y), m = numbers, MONTHS.index(word) + 1
-        elif text[4:5] == "-":
+        name = re.search("[JFMASOND][a-z]+", text)
+        sep = "" if name else re.search(r"\D", text)[0]
+        first = not name and text[:4].isdecimal()
+        # of two numbers apart by slashes or dashes, the second is the day where it can't be a month
+        american = not first and sep in ("/", "-") and numbers[1] > 12
+        if name:
+            (d, y), m = numbers, next(k for k, full in enumerate(MONTHS, 1) if full[:3] == name[0][:3])
+        elif first:
             y, m, d = numbers
-        elif "/" in text and numbers[1] > 12:
+        elif american:
             m, d, y = numbers
         else:
             d, m, y = numbers
@@ -216,14 +257,13 @@ class Pseudonyms:
             return None
         padded = all(len(p) == 2 for p in re.findall(r"\d+", text) if len(p) < 4)
         # the image keeps what tells day from month
-        american = "/" in text and numbers[1] > 12
-        fits = (lambda k: ((EPOCH + datetime.timedelta(k)).day > 12) == (d > 12)) if "/" in text else None
-        new = EPOCH + datetime.timedelta(self.moved(x, DAYS, f"date {'/' in text and d > 12}", fits))
-        if word:
-            return f"{MONTHS[new.month - 1]} {new.day}, {new.year}"
-        if text[4:5] == "-":
-            return new.isoformat()
-        sep = "/" if "/" in text else "."
+        twofold = not first and sep in ("/", "-")
+        fits = (lambda k: ((EPOCH + datetime.timedelta(k)).day > 12) == (d > 12)) if twofold else None
+        new = EPOCH + datetime.timedelta(self.moved(x, DAYS, f"date {twofold and d > 12}", fits))
+        if name:
+            return _named(text, name, new, padded)
+        if first:
+            return f"{new.year}{sep}" + sep.join(f"{p:02d}" if padded else str(p) for p in (new.month, new.day))
         pair = (new.month, new.day) if american else (new.day, new.month)
         return sep.join([*(f"{p:02d}" if padded else str(p) for p in pair), str(new.year)])
 
@@ -236,9 +276,9 @@ class Pseudonyms:
                 continue
             pattern, change = self.rules[kind]
             fresh_ones = []
-            for m in pattern.finditer(text):
-                if (new := change(m[0])) is not None:
-                    fresh_ones.append((m.start(), m.end(), kind, new))
+            for start, found in _ibans(text) if kind == "iban" else ((m.start(), m[0]) for m in pattern.finditer(text)):
+                if (new := change(found)) is not None:
+                    fresh_ones.append((start, start + len(found), kind, new))
             if fresh_ones:
                 taken = _merge(taken, fresh_ones)
         return taken

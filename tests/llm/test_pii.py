@@ -57,3 +57,25 @@ def test_query_with_nulls_copies_and_clashing_names(spark):
     assert sorted((repr(r.doc_id), repr(r.text), r["_n_pii"]) for r in got) == sorted((repr(d), repr(t and p.apply(t)[0]), sum(p.apply(t or "")[1].values())) for d, t, *_ in rows)
     assert "4944339490429605" not in next(r.text for r in got if r.doc_id is None)
     assert pii.op8_pii(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_ibans_before_other_tokens_change():
+    """What follows an IBAN of full groups may look like one more."""
+    p, q = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", invert=True)
+    for value in ("ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "GB82 WEST 1234 5698 7654 32", "ES9121000418450200051332"):
+        for after in (" EUR", " 2024", " 2024 EUR", " AT61 1904 3002 3457 3201", " X", "."):
+            text = f"pay {value}{after}"
+            new, counts = p.apply(text)
+            assert counts["iban"] == 1 + after.startswith(" AT") and value not in new, text
+            assert q.apply(new)[0] == text
+
+
+def test_more_forms_of_dates_change_and_come_back():
+    p, q = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", invert=True)
+    for value in ("12 March 2021", "Mar 5, 2021", "Mar. 5, 2021", "Sept 5, 2021", "2021/03/05", "2021/3/5", "05-03-2021", "03-25-2021", "5 Mar 2021", "05 March 2021", "March 5 2021", "March 3rd, 2021", "21st May 2021", "5. March 2021"):
+        new, counts = p.apply(f"on {value}, and {value}.")
+        assert counts["date"] == 2 and value not in new, value
+        back, again = q.apply(new)
+        assert again["date"] == 2 and (back == f"on {value}, and {value}." or value.startswith(("Sept", "05 March", "Mar")) or "May" in value), (value, new, back)
+    for text in ("31 February 2021", "2021/13/05", "45-03-2021", "May 2021"):
+        assert p.apply(text)[0] == text
