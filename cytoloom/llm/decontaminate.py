@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, text_of
+from .common import ascii_lower, fresh, stored, text_of
 
 WINDOW, ANCHORS, BROADCAST_ROWS = 10, 2, 500_000
 
@@ -137,8 +137,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without an occurrence of a benchmark window, all their columns kept."""
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_of("text")) == F.col("_mark")), "left_anti")
+    ident, mark = fresh(docs, "ident", "mark")
+    found = matches(docs, benchmark).select(F.col("doc_id").alias(ident), F.col("mark").alias(mark))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[ident]) & (F.xxhash64(text_of("text")) == found[mark]), "left_anti")
 
 
 def op6_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ from . import simhash
 from .common import stored
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 30, 5
-CHUNK = 1 << 13
-_DEALT = np.random.default_rng(42).integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64)
+CHUNK = 512
+_DEALT = np.random.default_rng(42).integers(0, 1 << 64, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 ADDED, FACTORS = _DEALT[0], _DEALT[1] | np.uint64(1)
 
 
@@ -48,37 +48,43 @@ def members(text: bytes) -> np.ndarray:
 
 
 def bands(found: np.ndarray) -> list[int]:
-    """A hash of each band of minima, as signed numbers."""
+    """A hash of each band of minima, as signed numbers; the band's number is part of the hash."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), CHUNK):
-        part = found[at : at + CHUNK]
-        for k in range(BANDS * ROWS):
-            least[k] = min(least[k], ((part ^ ADDED[k]) * FACTORS[k]).min())
-    octets = least.astype("<u8").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(octets)], dtype=np.uint64).view(np.int64).tolist()
+        np.minimum(least, ((found[None, at : at + CHUNK] ^ ADDED) * FACTORS).min(axis=1), out=least)
+    octets, width = least.astype("<u8").tobytes(), 8 * ROWS
+    return np.array([xxhash.xxh64_intdigest(octets[k * width : (k + 1) * width], k) for k in range(BANDS)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints, keys, signs, sets = [], [], [], []
+        prints, keys, signs = [], [], []
         for x in batch.column("text").cast(pa.binary()):
             text = x.as_py() or b""
             found = members(text)
             prints.append(simhash.fingerprint(text))
             keys.append(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), simhash.SEED))
             signs.append(bands(found))
-            sets.append(found.view(np.int64))
-        signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
         rest = [n for n in batch.schema.names if n not in ("text", "doc_id")]
-        columns = [batch.column("doc_id"), signed(prints), signed(keys), pa.array(signs, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), *(batch.column(n) for n in rest)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key", "bands", "members", *rest])
+        columns = [batch.column("doc_id"), _signed(prints), _signed(keys), pa.array(signs, pa.list_(pa.int64())), *(batch.column(n) for n in rest)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key", "bands", *rest])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [members(x.as_py() or b"").view(np.int64) for x in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["key", "members"])
 
 
 def described(docs: DataFrame, *extra: str) -> DataFrame:
-    """(doc_id, fp, key, bands, members, extra...), one row for each row of ``docs``; key stands for the set of shingles."""
+    """(doc_id, fp, key, bands, extra...), one row for each row of ``docs``; key stands for the set of shingles."""
     ready(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    return narrow.mapInArrow(_described, "doc_id long, fp long, key long, bands array<long>, members array<long>" + "".join(f", {c} long" for c in extra))
+    return narrow.mapInArrow(_described, "doc_id long, fp long, key long, bands array<long>" + "".join(f", {c} long" for c in extra))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -89,19 +95,27 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where(F.col("same") * of >= (F.col("both") - F.col("same")) * least).select("a", "b")
 
 
-def links(table: DataFrame) -> DataFrame:
-    """(a, b), a < b: links between keys that leave the components of all similar pairs as they are, of a stored table with
-    the columns of ``described``."""
-    spread = table.select("key", F.posexplode("bands").alias("k", "part")).distinct()
-    sizes = spread.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1")
-    full = stored(spread.join(sizes, ["k", "part"]), "near-bands")
-    wanted = full.select("key").distinct()
-    sets = stored(table.select("key", "members").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members")), "near-sets")
+def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
+    """(a, b), a < b: links between keys that leave the components of all similar pairs as they are. ``table``: the stored
+    result of ``described`` with the column ``mark`` carried along; ``docs``: its rows (doc_id, text, mark).
+
+    Sets of shingles are made again for the texts that share a band with another, one text for each key; no others are kept
+    or moved.
+    """
+    distinct = table.groupBy("key").agg(F.first("bands").alias("bands"))
+    spread = stored(distinct.select("key", F.explode("bands").alias("part")), "near-parts")
+    sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1").drop("n")
+    full = stored(spread.join(stored(sizes, "near-sizes"), "part"), "near-bands")
+    one = table.join(full.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", mark)).alias("one"))
+    one = stored(one.select("key", F.col("one.doc_id").alias("_id"), F.col(f"one.{mark}").alias("_text_hash")), "near-ones")
+    texts = docs.join(one, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs[mark] == F.col("_text_hash"))).select("key", "text")
+    # repeated rows have the same set
+    sets = stored(texts.mapInArrow(_sets, "key long, members array<long>").groupBy("key").agg(F.first("members").alias("members")), "near-sets")
     stars = full.selectExpr("low as a", "key as b").unionByName(full.selectExpr("key as a", "high as b")).where("a < b").distinct()
     first = stored(_similar(stars, sets), "near-stars")
     labels = simhash.components(first)
-    placed = full.join(labels, full.key == labels.node, "left").select("k", "part", "key", "low", "high", F.coalesce("label", "key").alias("label"))
-    mixed = placed.groupBy("k", "part").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("k", "part")
-    inner = stored(placed.where("key <> low and key <> high").join(mixed, ["k", "part"], "left_semi").select("k", "part", "key", "label"), "near-rest")
-    pairs = inner.selectExpr("k", "part", "key as a", "label as la").join(inner.selectExpr("k", "part", "key as b", "label as lb"), ["k", "part"]).where("a < b and la <> lb")
+    placed = full.join(labels, full.key == labels.node, "left").select("part", "key", "low", "high", F.coalesce("label", "key").alias("label"))
+    mixed = placed.groupBy("part").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("part")
+    inner = stored(placed.where("key <> low and key <> high").join(mixed, "part", "left_semi").select("part", "key", "label"), "near-rest")
+    pairs = inner.selectExpr("part", "key as a", "label as la").join(inner.selectExpr("part", "key as b", "label as lb"), "part").where("a < b and la <> lb")
     return first.unionByName(_similar(pairs.select("a", "b").distinct(), sets))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .common import stored
+from .common import fresh, stored
 
 SHINGLE, SEED, MAX_BITS, PIECES, BLOCK_PAIRS = 3, 42, 2, 5, 32
 CHUNK = 1 << 18
@@ -121,27 +121,29 @@ def components(edges: DataFrame) -> DataFrame:
     return tips.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, *extra: str, similar: bool = False) -> DataFrame:
-    """(doc_id, fp, comp, component_id, extra...), one row for each row of ``docs``; comp is the smallest fingerprint of
-    the component, extra are long columns to carry along. With ``similar``, near copies by word similarity
-    (``near_copies``) link too, however many bits they differ in."""
+def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
+    """(doc_id, mark, fp, comp, component_id), one row for each row of ``docs``; mark is a hash of the text, comp the
+    smallest fingerprint of the component. With ``similar``, near copies by word similarity (``near_copies``) link too,
+    however many bits they differ in."""
     from . import near_copies
 
-    prints = stored(near_copies.described(docs, *extra) if similar else fingerprints(docs, *extra), "fingerprints")
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    prints = stored(near_copies.described(narrow, "mark") if similar else fingerprints(narrow, "mark"), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     edges = links(classes.select("fp"))
     if similar:
         # a set of shingles stands at the smallest of its fingerprints
         keyed = stored(prints.select("key", "fp").distinct(), "keys")
         least = keyed.groupBy("key").agg(F.min("fp").alias("least"))
-        near = near_copies.links(prints)
+        near = near_copies.links(prints, narrow, "mark")
         pairs = near.join(least.selectExpr("key as a", "least as fa"), "a").join(least.selectExpr("key as b", "least as fb"), "b")
         edges = edges.unionByName(pairs.selectExpr("fa as a", "fb as b")).unionByName(keyed.join(least, "key").selectExpr("least as a", "fp as b")).where("a <> b")
     labels = components(edges)
     linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     ids = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     by_print = linked.join(ids, "label").select("fp", F.col("label").alias("comp"), "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "comp", "component_id", *extra)
+    return prints.join(by_print, "fp").select("doc_id", "mark", "fp", "comp", "component_id")
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:
@@ -153,15 +155,15 @@ def one_of_each(docs: DataFrame, similar: bool = False) -> DataFrame:
     """One row of each component of ``docs``, all its columns kept: that of the smallest doc_id, and among texts that
     share it that of the smallest text hash. Rows without doc_id stay only where a component has no other; of repeated
     rows one stays."""
-    mark = F.xxhash64(F.col("text").cast("string"))
-    found = near_duplicates(docs.withColumn("_mark", mark), "_mark", similar=similar)
-    rows = found.groupBy("component_id", "comp", "doc_id", "_mark").agg(F.count(F.lit(1)).alias("n"))
-    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_mark", "n")).alias("b"))
-    keep = stored(best.select(F.col("b.doc_id").alias("_keep"), F.col("b._mark").alias("_mark"), F.col("b.n").alias("_n")), "kept-ids")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (mark == F.col("_mark"))
-    single = docs.join(keep.where("_n = 1"), same, "left_semi")
-    repeated = keep.where("_n > 1")
+    found = near_duplicates(docs, similar)
+    rows = found.groupBy("comp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "n")).alias("b"))
+    chosen, mark, times = fresh(docs, "chosen", "mark", "times")
+    keep = stored(best.select(F.col("b.doc_id").alias(chosen), F.col("b.mark").alias(mark), F.col("b.n").alias(times)), "kept-ids")
+    same = docs["doc_id"].cast("long").eqNullSafe(keep[chosen]) & (F.xxhash64(docs["text"].cast("string")) == keep[mark])
+    single = docs.join(keep.where(F.col(times) == 1), same, "left_semi")
+    repeated = keep.where(F.col(times) > 1)
     if repeated.isEmpty():
         return single
-    again = docs.join(repeated, same).dropDuplicates(["_keep", "_mark"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    again = docs.join(repeated, same).dropDuplicates([chosen, mark]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return single.unionByName(again)
