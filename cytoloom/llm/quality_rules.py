@@ -1,16 +1,22 @@
 """Quality rules with adaptive thresholds [native].
 
-Fixed rules look at one text. The adaptive ones compare a text's measures with those of its language and source:
-a DDSketch (Masson, Rim, Lee 2019: counts of logarithmic buckets) of every measure is built for each (lang, source),
-merged by adding counts into one for each language and one for all, and a measure over the upper outer fence
-q75 + FENCE * (q75 - q25) of its group rejects; the spread counts as SPREAD of q75 at least, as so much comes with the
-shortest texts. Where q75 is 0 there is no spread to measure, and the limit is half the 95 % quantile of the group's non-zero
-values, within the bounds of ZERO_LIMITS. The sketches are groupBy counts: they
-merge in any order, always give the same result, and overstate a quantile by a share of 2 * ALPHA at most. A group with fewer than MIN_ROWS rows
-takes its language's sketch, then the one of all rows. Thresholds come back by a null-safe join.
+Fixed rules look at one text. The adaptive ones compare a text's measures with those of its language and source. A
+DDSketch (Masson, Rim, Lee 2019: counts of logarithmic buckets, of relative error ALPHA) of every measure is built for
+each (lang, source) and merged by adding counts into one for each language and one for all. A text is rejected where a
+measure lies beyond an outer fence of its group, on the logarithmic scale of the sketch: above q75 * (q75 / q25) ** FENCE,
+or for measures with a lower limit below q25 / (q75 / q25) ** FENCE. No limit is a fixed number: all follow the quartiles.
+
+Counts are smoothed (half an occurrence more), so texts without any occurrence differ by their length, and a group
+in which nearly no text has one still has quartiles. A spread can come out too small by chance or because all texts of
+a group are alike; it counts as the ratio of SPREADS at least, by which one occurrence or the shortest texts' noise moves
+a measure. Texts that fail the base rule on length are noise and no part of the sketches.
+
+The sketches are groupBy counts: they merge in any order and always give the same result, and everything after the
+buckets is whole-number arithmetic. A group with fewer than MIN_ROWS such texts takes its language's sketch, then the one
+of all rows; where that is empty too, no text has passed the base rules. Thresholds come back by a null-safe join.
 
 Nulls: a null text has no words (so it fails the base rules); a null lang or source is a group of its own. Repeated
-rows are judged alike, each for itself. Extra columns pass through.
+rows are judged alike, each for itself. Extra columns pass through. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,18 +26,24 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, text_of
+from .common import SPACES, UPPER, stored, text_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-ALPHA, FENCE, MIN_ROWS = 0.01, 3.0, 50
+ALPHA, FENCE, MIN_ROWS = 0.01, 3, 50
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 LOG_GAMMA = math.log(GAMMA)
-#: SPREAD: the IQR of the mean of MIN_WORDS word lengths whose deviation is half their mean, as a share of it.
-SPREAD, TOP = 0.1, 0.95
-#: Measure -> lowest and highest limit of a group whose q75 is 0. A symbol in 50 words is no fault, and lines that come
-#: back in a short text make shares up to 0.5, so there the limit is fixed.
-ZERO_LIMITS = {"symbols_per_word": (0.02, 0.25), "dup_line_share": (0.6, 0.6), "chars_per_word": (0.0, 0.0)}
-ZERO_BUCKET = -1_000_000
+#: Measure -> SQL; never zero where a text has words.
+MEASURES = {
+    "symbols_per_word": "(n_symbols + 0.5D) / (n_words + 1D)",
+    "repeated_line_odds": "(n_dup_lines + 0.5D) / (size(_lines) - n_dup_lines + 0.5D)",
+    "capitals_per_char": "(n_capitals + 0.5D) / (word_chars + 1D)",
+    "chars_per_word": "word_chars / cast(n_words as double)",
+}
+#: Measure -> least q75 / q25: a smoothed count of nothing is uncertain by a factor of two, that of the ten or so capitals
+#: of a short text by half; the mean of MIN_WORDS word lengths, whose deviation is half their mean, has an IQR of a tenth.
+SPREADS = {"symbols_per_word": 2.0, "repeated_line_odds": 2.0, "capitals_per_char": 1.5, "chars_per_word": 1.1}
+#: Measures that can be too low as well.
+LOWER = ("chars_per_word",)
 
 
 def _words(text: str) -> Column:
@@ -39,13 +51,14 @@ def _words(text: str) -> Column:
 
 
 def line_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with _t, _words, n_words, word_chars, n_symbols and n_dup_lines."""
+    """``df`` with _t, _words, _lines, n_words, word_chars, n_symbols, n_capitals and n_dup_lines."""
     return (
         df.withColumn("_t", text_of(text))
         .withColumn("_words", _words("_t"))
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("word_chars", F.char_length(F.translate("_t", SPACES, "")).cast("long"))
         .withColumn("n_symbols", (F.char_length("_t") - F.char_length(F.translate("_t", "#*$%&|<>", ""))).cast("long"))
+        .withColumn("n_capitals", (F.char_length("_t") - F.char_length(F.translate("_t", UPPER, ""))).cast("long"))
         .withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     )
@@ -63,54 +76,52 @@ def repeat_words(df: DataFrame) -> DataFrame:
     )
 
 
-MEASURES = {
-    "symbols_per_word": "if(n_words = 0, 0D, n_symbols / cast(n_words as double))",
-    "dup_line_share": "if(size(_lines) = 0, 0D, n_dup_lines / cast(size(_lines) as double))",
-    "chars_per_word": "if(n_words = 0, 0D, word_chars / cast(n_words as double))",
-}
+def buckets() -> dict[str, Column]:
+    """The sketch's bucket of each measure, over ``line_measures``: the whole number k of GAMMA ** (k - 1) < v <= GAMMA ** k."""
+    return {m: F.when(F.col("n_words") > 0, F.ceil(F.log(F.expr(sql)) / F.lit(LOG_GAMMA)).cast("int")) for m, sql in MEASURES.items()}
 
 
-def sketches(df: DataFrame, lang: str, source: str) -> DataFrame:
-    """(_lang, _source, measure, bucket, n): the sketch of each measure for each language and source."""
-    pairs = ", ".join(f"named_struct('measure', '{m}', 'v', {sql})" for m, sql in MEASURES.items())
-    return (
-        line_measures(df.select(F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"), F.col("`text`")))
-        .select("_lang", "_source", F.inline(F.expr(f"array({pairs})")))
-        .withColumn("bucket", F.when(F.col("v") > 0, F.ceil(F.log("v") / F.lit(LOG_GAMMA)).cast("int")).otherwise(ZERO_BUCKET))
-        .groupBy("_lang", "_source", "measure", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def sketches(df: DataFrame) -> DataFrame:
+    """(_lang, _source, measure, bucket, n): the sketch of each measure for each language and source of ``df`` (text,
+    _lang, _source)."""
+    pairs = [F.struct(F.lit(m).alias("measure"), c.alias("bucket")) for m, c in buckets().items()]
+    long = line_measures(df).where(F.col("n_words") >= MIN_WORDS).select("_lang", "_source", F.inline(F.array(*pairs)))
+    return long.groupBy("_lang", "_source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges the sketches of each ``keys`` by adding counts and gives rows, q25, q75 and the TOP quantile of
-    the non-zero values of every measure."""
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Merges the sketches of each ``keys`` by adding counts: total, and the buckets b25 and b75 of the quartiles."""
     by = ", ".join([*keys, "measure"])
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    ranked = merged.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total", f"sum(if(bucket = {ZERO_BUCKET}, n, 0L)) over (partition by {by}) as zeros")
-    # a bucket's upper edge, so that no value at a quantile lies above its estimate
-    value = f"if(bucket = {ZERO_BUCKET}, 0D, pow({GAMMA!r}D, bucket))"
-    return ranked.groupBy(*keys, "measure").agg(
-        F.max("total").alias("total"), *(F.expr(f"min(if(upto >= {q}D * total, {value}, null))").alias(name) for q, name in ((0.25, "q25"), (0.75, "q75"))),
-        F.expr(f"coalesce(min(if(bucket <> {ZERO_BUCKET} and upto - zeros >= {TOP}D * (total - zeros), {value}, null)), 0D)").alias("top"),
-    )
+    ranked = merged.selectExpr("*", f"sum(n) over (partition by {by} order by bucket) as upto", f"sum(n) over (partition by {by}) as total")
+    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("total"), *(F.expr(f"min(if({part} * upto >= {of} * total, bucket, null))").alias(name) for part, of, name in ((4, 1, "b25"), (4, 3, "b75"))))
+
+
+def least_spread(measure: str) -> int:
+    """SPREADS in buckets."""
+    return round(math.log(SPREADS[measure]) / LOG_GAMMA)
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each (_lang, _source): the limit of every measure as column limit_<measure>."""
-    zero = F.coalesce(*(F.when(F.col("measure") == m, F.least(F.lit(high), F.greatest(F.lit(low), F.col("top") / 2))) for m, (low, high) in ZERO_LIMITS.items()))
-    fence = F.when(F.col("q75") > 0, F.col("q75") + F.lit(FENCE) * F.greatest(F.col("q75") - F.col("q25"), F.lit(SPREAD) * F.col("q75"))).otherwise(zero)
-    level = {}
+def thresholds(sketch: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row for each of ``groups`` (_lang, _source): the highest bucket of every measure as column high_<measure>,
+    and the lowest as low_<measure>, NULL where no text at all was sketched."""
+    spread = F.greatest(F.col("b75") - F.col("b25"), F.coalesce(*(F.when(F.col("measure") == m, F.lit(least_spread(m))) for m in MEASURES)))
+    level = []
     for k, keys in enumerate((["_lang", "_source"], ["_lang"], [])):
-        level[k] = quantiles(sketch, keys).select(*(F.col(c).alias(f"{c}{k}") for c in keys), F.col("measure").alias(f"measure{k}"), F.col("total").alias(f"total{k}"), fence.alias(f"fence{k}"))
-    joined = (
-        level[0]
-        .join(level[1], F.col("_lang0").eqNullSafe(F.col("_lang1")) & (F.col("measure0") == F.col("measure1")))
-        .join(level[2], F.col("measure0") == F.col("measure2"))
-        .withColumn("fence", F.when(F.col("total0") >= MIN_ROWS, F.col("fence0")).when(F.col("total1") >= MIN_ROWS, F.col("fence1")).otherwise(F.col("fence2")))
-    )
-    limits = [F.max(F.when(F.col("measure0") == m, F.col("fence"))).alias(f"limit_{m}") for m in MEASURES]
-    return joined.groupBy(F.col("_lang0").alias("_lang"), F.col("_source0").alias("_source")).agg(*limits)
+        fences = quartiles(sketch, keys).where("true" if k == 2 else f"total >= {MIN_ROWS}").withColumn("spread", F.lit(FENCE) * spread)
+        wide = fences.groupBy(*keys).agg(F.lit(True).alias(f"is{k}"), *(F.max(F.when(F.col("measure") == m, F.col("b75") + F.col("spread"))).alias(f"high{k}_{m}") for m in MEASURES), *(F.max(F.when(F.col("measure") == m, F.col("b25") - F.col("spread"))).alias(f"low{k}_{m}") for m in LOWER))
+        level.append(wide.withColumnsRenamed({c: f"{c}{k}" for c in keys}))
+    same = lambda c, k: F.col(c).eqNullSafe(F.col(f"{c}{k}"))
+    joined = groups.join(level[0], same("_lang", 0) & same("_source", 0), "left").join(level[1], same("_lang", 1), "left").join(F.broadcast(level[2]), F.lit(True), "left")
+    first = lambda name: F.when(F.col("is0"), F.col(name.replace("_", "0_", 1))).when(F.col("is1"), F.col(name.replace("_", "1_", 1))).otherwise(F.col(name.replace("_", "2_", 1))).alias(name)
+    return joined.select("_lang", "_source", *(first(f"high_{m}") for m in MEASURES), *(first(f"low_{m}") for m in LOWER))
+
+
+def all_of(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -122,14 +133,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     carried = [f"_c{k}" for k in range(len(docs.columns))]
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carried, strict=True)), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
     # a few rows for each source; stored, their size is known, and Spark broadcasts them if it is small
-    limits = stored(thresholds(sketches(inner, "_lang", "_source")), "limits").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
-    numbers = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(F.expr(sql).alias(m) for m, sql in MEASURES.items()))
+    limits = stored(thresholds(stored(sketches(inner), "sketches"), inner.select("_lang", "_source").distinct()), "limits").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
+    numbers = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(c.alias(m) for m, c in buckets().items()))
     # the generator keeps later filters above it; pushed below, they would repeat the sort for every word
     measured = repeat_words(line_measures(inner)).select(*carried, "_lang", "_source", F.inline(F.array(numbers)))
     joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    within = [F.col(m) <= F.col(f"limit_{m}") for m in MEASURES]
-    ruled = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within[0] & within[1] & within[2])
+    within = [F.col(m) <= F.col(f"high_{m}") for m in MEASURES] + [F.col(m) >= F.col(f"low_{m}") for m in LOWER]
+    ruled = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(all_of(within), F.lit(False)))
     taken = {c.lower() for c in added}
     names = []
     for c, n in zip(docs.columns, carried, strict=True):

@@ -1,18 +1,24 @@
 """Secret scan [native].
 
-Base kinds are patterns (assign, access, hex). The method adds kind ``entropy``: candidate strings (runs of at least
-WINDOW token characters) are classed by their characters, a window of WINDOW characters slides over each, and its
-Shannon entropy is kept up to date by the counts of the character that enters and the one that leaves. A candidate
-whose highest window entropy reaches the limit of its class is a span, unless the allow-list suppresses it or it
-touches a base span. Everything is Spark SQL expressions within a row; positions come from the lengths of the pieces
-between matches.
+Base kinds are patterns (assign, access, hex). The method adds kind ``entropy``. Candidate strings are the runs of at
+least WINDOW token characters in what is left of a text when its assign, access and hex matches (in this order) and
+allow-listed pieces are blanked out; so a run loses what is known and the rest of it is judged for itself. A candidate
+is classed by its characters, a window of WINDOW characters slides over it, and the window's Shannon entropy follows
+from the counts of the character that enters and the one that leaves. Candidates whose highest window entropy
+reaches the limit of their class are spans, unless they are slugs (words and numbers joined by one kind of sign or another).
+
+Everything is Spark SQL expressions within a row. A window's counts are packed, twelve to a long; entropies are
+compared as whole numbers, so nothing drifts; positions are running sums by doubling. The work grows with the length of
+the text (the logarithm of its matches apart), also within one long token.
 
 Nulls: a null text is the empty text and has no spans. Long texts are scanned whole. Repeated rows come out as often as
-they come in; extra columns are ignored.
+they come in; extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,44 +32,74 @@ VALUE_CHARS, MIN_VALUE = "A-Za-z0-9+/_.=-", 8
 #: Kinds in the order that breaks ties of equal starts.
 KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Class -> (pattern of the whole candidate, entropy limit in bits), tried in this order. Letters alone and digits alone
 #: are words and numbers whatever their entropy.
 CLASSES = {"letters": (r"^[A-Za-z_=/-]*$", None), "digits": (r"^[0-9+/_=-]*$", None), "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 3.0), "token": (r"^[A-Za-z0-9]+$", 3.5), "base64": (r"^", 3.75)}
-#: Candidates that are no secrets: identifiers with a fixed shape, placeholders, runs of the alphabet, one repeated character.
-ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp]laceholder|PLACEHOLDER|[Cc]hangeme|[Xx]{6,}|0123456789|1234567890|abcdefgh|ABCDEFGH|^[a-z0-9]+([-_/][a-z0-9]+){3,}$"
+#: Pieces that are no secrets: identifiers with a fixed shape, placeholders, runs of the alphabet, one repeated character.
+ALLOWED = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp]laceholder|PLACEHOLDER|[Cc]hangeme|[Xx]{6,}|0123456789|1234567890|abcdefgh|ABCDEFGH"
+#: Whole candidates that are no secrets: at least four words or numbers; a part of letters and digits mixed is none.
+SLUG = r"^([a-z]+|[0-9]+)([-_/]([a-z]+|[0-9]+)){3,}$"
+FIRST_CHAR, PACKED, COUNT_BITS = ord("+"), 12, 5
+WORDS = (ord("z") - FIRST_CHAR) // PACKED + 1
+UNIT = 1 << 40
+#: Doublings of a running sum: a string of 2 GB holds fewer matches than 2 ** ROUNDS.
+ROUNDS = 27
+SPANS = "array<struct<start:int,end:int,found:string>>"
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` in which ``name`` stands for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(numbers: str) -> str:
+    """SQL: the running sums of an array, by doubling."""
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {numbers}, (a, r) -> if(size(a) <= shiftleft(1, r), a, transform(a, (x, i) -> x + if(i < shiftleft(1, r), 0, a[greatest(i - shiftleft(1, r), 0)]))))"
+
+
 def _starts(text: str, pattern: str) -> str:
     """SQL: array of (start, end, found) of the leftmost non-overlapping matches, in code points."""
     p = _quoted(pattern)
-    found, pieces = f"regexp_extract_all({text}, {p}, 0)", f"split({text}, {p}, -1)"
-    zero = "named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,found:string>>))"
-    step = "named_struct('at', a.at + char_length(x.piece) + char_length(x.found), 'spans', concat(a.spans, array(named_struct('start', a.at + char_length(x.piece), 'end', a.at + char_length(x.piece) + char_length(x.found), 'found', x.found))))"
-    pairs = f"zip_with({found}, {pieces}, (f, q) -> named_struct('found', f, 'piece', q))"
-    return f"if({text} rlike {p}, aggregate(filter({pairs}, x -> x.found is not null), {zero}, (a, x) -> {step}, a -> a.spans), cast(array() as array<struct<start:int,end:int,found:string>>))"
-
-
-def _highest(candidate: str) -> str:
-    """SQL: the highest entropy of a window. s is the sum of n * log2(n) over the counts n of the window's characters."""
-    g = lambda n: f"if({n} < 2, 0D, ({n}) * log2({n}))"
-    enters = f"instr('{ALPHABET}', substr({candidate}, i, 1))"
-    leaves = f"if(i > {WINDOW}, instr('{ALPHABET}', substr({candidate}, i - {WINDOW}, 1)), 0)"
-    n_in, n_out = "element_at(a.n, m.enters)", "element_at(a.n, greatest(m.leaves, 1))"
-    grown = f"if(m.enters = m.leaves, a.s, a.s + {g(f'{n_in} + 1')} - {g(n_in)} + if(m.leaves = 0, 0D, {g(f'{n_out} - 1')} - {g(n_out)}))"
-    counts = "transform(a.n, (v, k) -> v + if(k + 1 = m.enters, 1, 0) - if(k + 1 = m.leaves, 1, 0))"
-    moves = f"transform(sequence(1, char_length({candidate})), i -> named_struct('i', i, 'enters', {enters}, 'leaves', {leaves}))"
-    step = f"named_struct('n', {counts}, 's', {grown}, 'best', if(m.i < {WINDOW}, a.best, greatest(a.best, log2({WINDOW}D) - ({grown}) / {WINDOW}D)))"
-    return f"aggregate({moves}, named_struct('n', array_repeat(0, {len(ALPHABET)}), 's', 0D, 'best', 0D), (a, m) -> {step}, a -> a.best)"
+    lengths = "zip_with(f, q, (x, y) -> char_length(y) + char_length(x))"
+    # there is one more piece than matches
+    spans = f"zip_with({_running(lengths)}, f, (e, x) -> named_struct('start', e - char_length(x), 'end', e, 'found', x))"
+    spans = _let(f"slice(split({text}, {p}, -1), 1, size(f))", "q", spans)
+    return f"if({text} rlike {p}, {_let(f'regexp_extract_all({text}, {p}, 0)', 'f', spans)}, cast(array() as {SPANS}))"
+
+
+def _blanked(text: str, pattern: str, where: str = "true") -> str:
+    """SQL: ``text`` with the matches f that fulfil ``where`` replaced by as many blanks."""
+    p = _quoted(pattern)
+    pieces = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (q, f) -> concat(q, coalesce(if({where}, repeat(' ', char_length(f)), f), '')))"
+    return f"if({text} rlike {p}, array_join({pieces}, ''), {text})"
+
+
+def _weight(n: int) -> int:
+    """n * log2(n) as a whole number of 1 / UNIT."""
+    return round(n * math.log2(n) * UNIT) if n else 0
+
+
+def _lightest(candidate: str) -> str:
+    """SQL: the least sum of weights of the counts of a window's characters; the entropy is log2(WINDOW) less WINDOW-th of it."""
+    rise = "array(" + ", ".join(f"{_weight(n + 1) - _weight(n)}L" for n in range(WINDOW)) + ")"
+    chars = f"transform(filter(split({candidate}, ''), c -> c <> ''), c -> ascii(c) - {FIRST_CHAR})"
+    places = f"transform({chars}, c -> named_struct('word', c div {PACKED}, 'shift', cast({COUNT_BITS} * (c % {PACKED}) as int)))"
+    moves = f"transform(k, (x, i) -> named_struct('i', i, 'in', x, 'out', if(i < {WINDOW}, named_struct('word', -1L, 'shift', 0), k[greatest(i - {WINDOW}, 0)])))"
+    held = lambda side: f"cast(shiftright(a.n[greatest(m.{side}.word, 0)], m.{side}.shift) & {(1 << COUNT_BITS) - 1} as int)"
+    s = f"if(m.in = m.out, a.s, a.s + {rise}[{held('in')}] - if(m.out.word < 0, 0L, {rise}[greatest({held('out')} - 1, 0)]))"
+    n = "transform(a.n, (v, j) -> v + if(j = m.in.word, shiftleft(1L, m.in.shift), 0L) - if(j = m.out.word, shiftleft(1L, m.out.shift), 0L))"
+    step = f"named_struct('n', {n}, 's', {s}, 'least', if(m.i < {WINDOW - 1}, a.least, least(a.least, {s})))"
+    return _let(places, "k", f"aggregate({moves}, named_struct('n', array_repeat(0L, {WORDS}), 's', 0L, 'least', {_weight(WINDOW)}L), (a, m) -> {step}, a -> a.least)")
 
 
 def _suspicious(found: str) -> str:
-    cases = " ".join(f"when {found} rlike {_quoted(p)} then " + ("false" if limit is None else f"round({_highest(found)}, 6) >= {limit}D") for p, limit in CLASSES.values())
-    return f"not {found} rlike {_quoted(ALLOWED)} and case {cases} end"
+    most = lambda limit: math.floor((math.log2(WINDOW) - limit) * WINDOW * UNIT)
+    cases = " ".join(f"when {found} rlike {_quoted(p)} then {'-1L' if limit is None else f'{most(limit)}L'}" for p, limit in CLASSES.values())
+    return f"not {found} rlike {_quoted(SLUG)} and {_let(f'case {cases} end', 'most', f'most >= 0 and {_lightest(found)} <= most')}"
 
 
 def scan(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
@@ -71,16 +107,18 @@ def scan(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     spans = lambda column, kind: F.expr(f"transform({column}, x -> named_struct('start', x.start, 'rank', {KINDS.index(kind)}, 'end', x.end, 'kind', '{kind}'))")
     # group 2 is what follows the sign, as its characters are all that may follow
     value = _quoted(rf"^.*?[:=]\x20*[\"']?([{VALUE_CHARS}]+)$")
+    long_enough = lambda f: f"char_length(regexp_extract({f}, {value}, 1)) >= {MIN_VALUE}"
     base = (
         docs.select(*keep, text_of(text).alias("_t"))
-        .withColumn("_assign", F.expr(f"filter({_starts('_t', ASSIGN)}, x -> char_length(regexp_extract(x.found, {value}, 1)) >= {MIN_VALUE})"))
+        .withColumn("_assign", F.expr(f"filter({_starts('_t', ASSIGN)}, x -> {long_enough('x.found')})"))
         .withColumn("_access", F.expr(_starts("_t", ACCESS)))
         .withColumn("_hex", F.expr(_starts("_t", HEX)))
         .withColumn("_base", F.concat(spans("_assign", "assign"), spans("_access", "access"), spans("_hex", "hex")))
-        .withColumn("_candidates", F.expr(_starts("_t", CANDIDATE)))
+        .withColumn("_left", F.expr(_blanked("_t", ASSIGN, long_enough("f"))))
     )
-    apart = "not exists(_base, b -> b.start < x.end and x.start < b.end)"
-    return base.withColumn("_entropy", F.expr(f"filter(_candidates, x -> {apart} and {_suspicious('x.found')})")).select(
+    for pattern in (ACCESS, HEX, ALLOWED):
+        base = base.withColumn("_left", F.expr(_blanked("_left", pattern)))
+    return base.withColumn("_entropy", F.expr(f"filter({_starts('_left', CANDIDATE)}, x -> {_suspicious('x.found')})")).select(
         *keep, F.sort_array(F.concat("_base", spans("_entropy", "entropy"))).alias("found")
     )
 
