@@ -6,8 +6,13 @@ blocks that promise a meeting at that distance hold a few bits each. So candidat
 ROWS minima, and a pair that shares a band is compared exactly on its shingles (64-bit hashes). A pair at 0.8 shares none
 with a probability of 0.672 ** 30, about 1 in 150,000; more similar pairs are missed more rarely still.
 
-A band's members never form all their pairs at once. First each meets the smallest and the largest of its band; then only
-members that are not yet in one component meet, so a large family of near copies costs two comparisons for a member and band.
+A band's members never form all their pairs at once. First each meets the smallest and the largest of its band, so a
+large family of near copies costs two comparisons for a member and band. Then the members that are still in other
+components than most of their band meet its members: directly where they are FEW at most. Where they are more (texts that
+share a long passage and little else) the search goes by prefixes instead: of n shingles two similar texts of a crowd
+have one in common among each one's n - ceil(0.8 n) + 1 rarest (Bayardo, Ma, Srikant 2007), which is exact, and a passage that many share is not rare.
+Before the exact comparison pairs go that cannot be similar by their numbers of shingles, or whose minima agree in less
+than ROUGH of BANDS * ROWS places (six deviations below 0.8).
 
 Words are those of the fingerprints. A text with fewer words than SHINGLE is one shingle, and one without words has none;
 texts of equal sets are similar.
@@ -27,7 +32,7 @@ from ..session import ready
 from . import simhash
 from .common import stored
 
-SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 30, 5
+SHINGLE, SIMILAR, BANDS, ROWS, ROUGH, FEW = 5, (4, 5), 30, 5, 0.6, 32
 CHUNK = 512
 _DEALT = np.random.default_rng(42).integers(0, 1 << 64, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 ADDED, FACTORS = _DEALT[0], _DEALT[1] | np.uint64(1)
@@ -47,11 +52,15 @@ def members(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], simhash.SEED) for s, e in zip(starts[:last].tolist(), ends[width - 1 :].tolist(), strict=True)), dtype=np.uint64, count=last))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """A hash of each band of minima, as signed numbers; the band's number is part of the hash."""
+def minima(found: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), CHUNK):
         np.minimum(least, ((found[None, at : at + CHUNK] ^ ADDED) * FACTORS).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """A hash of each band of minima, as signed numbers; the band's number is part of the hash."""
     octets, width = least.astype("<u8").tobytes(), 8 * ROWS
     return np.array([xxhash.xxh64_intdigest(octets[k * width : (k + 1) * width], k) for k in range(BANDS)], dtype=np.uint64).view(np.int64).tolist()
 
@@ -68,16 +77,21 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = members(text)
             prints.append(simhash.fingerprint(text))
             keys.append(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), simhash.SEED))
-            signs.append(bands(found))
+            signs.append(bands(minima(found)))
         rest = [n for n in batch.schema.names if n not in ("text", "doc_id")]
         columns = [batch.column("doc_id"), _signed(prints), _signed(keys), pa.array(signs, pa.list_(pa.int64())), *(batch.column(n) for n in rest)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key", "bands", *rest])
 
 
+SETS = "key long, n int, sketch array<smallint>, members array<long>"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [members(x.as_py() or b"").view(np.int64) for x in batch.column("text").cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["key", "members"])
+        found = [members(x.as_py() or b"") for x in batch.column("text").cast(pa.binary())]
+        # of each minimum 15 bits
+        sketches = [(minima(x) & np.uint64(0x7FFF)).astype(np.int16) for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(len, found), pa.int32()), pa.array(sketches, pa.list_(pa.int16())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["key", "n", "sketch", "members"])
 
 
 def described(docs: DataFrame, *extra: str) -> DataFrame:
@@ -90,11 +104,38 @@ def described(docs: DataFrame, *extra: str) -> DataFrame:
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     least, of = SIMILAR
-    near = pairs.join(sets.selectExpr("key as a", "members as ma"), "a").join(sets.selectExpr("key as b", "members as mb"), "b")
+    rough = pairs.join(sets.selectExpr("key as a", "n as na", "sketch as ka"), "a").join(sets.selectExpr("key as b", "n as nb", "sketch as kb"), "b")
+    agree = F.expr(f"size(filter(zip_with(ka, kb, (x, y) -> x = y), z -> z)) >= {round(ROUGH * BANDS * ROWS)}")
+    rough = rough.where((F.least("na", "nb") * of >= F.greatest("na", "nb") * least) & agree).select("a", "b")
+    near = rough.join(sets.selectExpr("key as a", "members as ma"), "a").join(sets.selectExpr("key as b", "members as mb"), "b")
     shared = near.select("a", "b", F.expr("size(ma) + size(mb)").alias("both"), F.expr("size(array_intersect(ma, mb))").alias("same"))
     return shared.where(F.col("same") * of >= (F.col("both") - F.col("same")) * least).select("a", "b")
 
 
+def _mixed(groups: DataFrame) -> DataFrame:
+    """``groups`` (part, key, label) of which not all members have one label, with minor (whether the label isn't the
+    part's most frequent) and minors (how many such members the part has)."""
+    tallies = groups.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = tallies.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"), (F.sum("n") - F.max("n")).alias("minors")).where("labels > 1")
+    return groups.join(major, "part").select("part", "key", "label", (F.col("label") != F.col("major")).alias("minor"), "minors")
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of members of a part with different labels: each minor member with all others."""
+    minor = mixed.where("minor").selectExpr("part", "key as x", "label as lx")
+    pairs = minor.join(mixed.selectExpr("part", "key as y", "label as ly"), "part").where("lx <> ly")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _rarest(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """(part, key, label): the rarest shingles of each of ``crowd`` (key, label), as many as similar texts must share one of."""
+    least, of = SIMILAR
+    spread = crowd.join(sets.select("key", "n", "members"), "key").select("key", "label", "n", F.explode("members").alias("part"))
+    counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("times"))
+    ranked = spread.join(counts, "part").selectExpr("*", "row_number() over (partition by key order by times, part) as place")
+    return ranked.where(f"place <= n - (({least} * n + {of - 1}) div {of}) + 1 and times > 1").select("part", "key", "label")
+
+
 def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
     """(a, b), a < b: links between keys that leave the components of all similar pairs as they are. ``table``: the stored
     result of ``described`` with the column ``mark`` carried along; ``docs``: its rows (doc_id, text, mark).
@@ -110,12 +151,14 @@ def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
     one = stored(one.select("key", F.col("one.doc_id").alias("_id"), F.col(f"one.{mark}").alias("_text_hash")), "near-ones")
     texts = docs.join(one, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs[mark] == F.col("_text_hash"))).select("key", "text")
     # repeated rows have the same set
-    sets = stored(texts.mapInArrow(_sets, "key long, members array<long>").groupBy("key").agg(F.first("members").alias("members")), "near-sets")
+    sets = stored(texts.mapInArrow(_sets, SETS).groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "members"))), "near-sets")
     stars = full.selectExpr("low as a", "key as b").unionByName(full.selectExpr("key as a", "high as b")).where("a < b").distinct()
     first = stored(_similar(stars, sets), "near-stars")
     labels = simhash.components(first)
-    placed = full.join(labels, full.key == labels.node, "left").select("part", "key", "low", "high", F.coalesce("label", "key").alias("label"))
-    mixed = placed.groupBy("part").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("part")
-    inner = stored(placed.where("key <> low and key <> high").join(mixed, "part", "left_semi").select("part", "key", "label"), "near-rest")
-    pairs = inner.selectExpr("part", "key as a", "label as la").join(inner.selectExpr("part", "key as b", "label as lb"), "part").where("a < b and la <> lb")
-    return first.unionByName(_similar(pairs.select("a", "b").distinct(), sets))
+    placed = full.where("key <> low and key <> high").join(labels, full.key == labels.node, "left").select("part", "key", F.coalesce("label", "key").alias("label"))
+    mixed = stored(_mixed(placed), "near-mixed")
+    pairs = _across(mixed.where(F.col("minors") <= FEW))
+    crowd = mixed.where(F.col("minors") > FEW).select("key", "label").distinct()
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(_across(stored(_mixed(_rarest(crowd, sets)), "near-rarest"))).distinct()
+    return first.unionByName(_similar(pairs, sets))

@@ -57,3 +57,34 @@ def test_one_of_each_drops_a_near_copy_many_bits_apart(spark):
     assert simhash.one_of_each(df).count() == 2
     assert [r.doc_id for r in simhash.one_of_each(df, similar=True).collect()] == [2]
     assert near_copies.described(df).count() == 2
+
+
+def components_of(spark, texts):
+    out = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similar=True).collect()
+    return {r.doc_id: r.component_id for r in out}
+
+
+def test_a_crowd_that_shares_a_passage_is_searched_by_rare_shingles(spark, monkeypatch):
+    """Texts of a common passage and a little of their own, some in similar pairs: no pair is lost, none is made up, and
+    far fewer pairs are compared than the crowd has."""
+    monkeypatch.setattr(near_copies, "FEW", 4)
+    seen = []
+    similar_pairs = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, sets: (seen.append(pairs.count()), similar_pairs(pairs, sets))[1])
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(150))
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for k in range(150):
+        mine = own(60)
+        texts.append(f"{mine} {passage}")
+        if k % 10 == 0:
+            texts.append(f"{mine} {passage} {own(20)}")
+    found = components_of(spark, texts)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(texts[i], texts[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    assert [found[k] for k in range(len(texts))] == label and len(set(label)) == 150
+    assert seen[-1] < 150 * 149 / 8
