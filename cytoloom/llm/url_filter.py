@@ -1,17 +1,22 @@
 """URL rules by a sort-merge range join.
 
-A url is reduced to host and path. The canonical key of a host is its labels in reverse, each closed by a blank
-("com example www "), so that a host with all its subdomains is one interval of keys, and rules' intervals are nested or
-apart. Both sides are cut into the same key ranges, sorted, and swept once: a stack holds the rules whose interval is
-open at the url's key, outermost first; of those whose path starts the url's path the longest (host and path together)
-wins, then the one with the longer host, then block before allow.
+A url is reduced to host and path. The canonical key of a host is its labels in reverse, each closed by U+0000 (which is
+escaped within labels), so that a host with all its subdomains is one interval of keys, and rules' intervals are nested
+or apart. Both sides are cut into the same key ranges, sorted, and swept once: a stack holds the rules whose interval is
+open at the url's key, outermost first. The path rules of an open host are intervals as well: sorted, each with a link to
+the one that it is nested in, so the longest that starts a path is found by bisection and a walk up its nesting, never by
+trying rules in turn. Over the open hosts the longest rule (host and path together) wins, then the one with the longer
+host, then block before allow.
 
 Ranges: boundaries come from a bounded sample of url keys (SAMPLE for each range; it only sets how even ranges are). A
 rule enters every range that its interval touches. A key that fills several ranges (a hot host) is dealt over them by
-page, and its rules enter all of them. Within a range everything streams; the stack is as deep as rules are nested.
+page, and its rules enter all of them. Within a range everything streams but the path rules of the hosts open at a time.
 
 Nulls: a url that is null or has no :// has empty host and path, fits no rule and gets the default verdict. A rule with
-null host is ignored, a null path is empty. Repeated pages come out as often as they come in; extra columns pass.
+null or empty host is ignored, a null path is empty, and of equal rules with both verdicts block counts. Hosts may hold
+blanks, control characters, empty labels and dots at their ends: only whole labels are compared. Repeated pages come out
+as often as they come in. The columns ``ids`` of any type pass; host, path, rule and verdict get underscores where an id
+has such a name. Empty tables give no rows, or the default verdict for all.
 """
 
 from __future__ import annotations
@@ -22,14 +27,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ready
-from .common import ascii_lower
+from .common import ascii_lower, fresh
 
-SAMPLE, BATCH = 40, 4096
+SAMPLE = 40
 #: The rules of the query's contract.
 CONTRACT_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-LABEL_END, ABOVE = " ", "!"
+LABEL_END, ABOVE, ESCAPED = "\x00", "\x01", "\x02"
 
 
 def host_of(url: Column) -> Column:
@@ -41,8 +47,9 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(host: Column) -> Column:
-    """Labels from the last to the first, each followed by a blank; a host may hold no blank, so they are removed."""
-    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(F.translate(host, LABEL_END, ""), r"\.")), LABEL_END), F.lit(LABEL_END)))
+    """Labels from the last to the first, each followed by LABEL_END, which labels hold in another form only."""
+    free = F.replace(F.replace(host, F.lit(ABOVE), F.lit(ABOVE + ESCAPED)), F.lit(LABEL_END), F.lit(ABOVE + ABOVE))
+    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(free, r"\.")), LABEL_END), F.lit(LABEL_END)))
 
 
 def _boundaries(urls: DataFrame, ranges: int) -> list[str]:
@@ -53,54 +60,73 @@ def _boundaries(urls: DataFrame, ranges: int) -> list[str]:
     return [chosen[len(chosen) * k // ranges] for k in range(1, ranges)] if chosen else []
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
-    """Rows of a task sorted by range, key and side (rules first)."""
-    stack: list[tuple[str, list[tuple]]] = []  # (key, rules) of open intervals
-    here = None
-    out: list[tuple] = []
+class OpenHost:
+    """The path rules of a host whose interval is open, in ascending order of their paths, and for each the one that it is
+    nested in."""
+
+    def __init__(self, key: str):
+        self.key, self.paths, self.rules, self.within = key, [], [], []
+
+    def add(self, path: str, verdict: str, text: str) -> None:
+        if self.paths and self.paths[-1] == path:
+            if verdict == "block":
+                self.rules[-1] = (verdict, text)
+            return
+        k = len(self.paths) - 1
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.within[k]
+        self.paths.append(path)
+        self.rules.append((verdict, text))
+        self.within.append(k)
 
-    def flush() -> pa.RecordBatch:
-        names = ["id", "rule", "verdict"]
-        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    def longest(self, path: str) -> int:
+        """The number of the longest rule that starts ``path``, or -1. What sorts between a prefix of a text and the text
+        starts with that prefix, so all candidates are among those that the last one not above it is nested in."""
+        k = bisect_right(self.paths, path) - 1
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.within[k]
+        return k
 
+
+def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a task sorted by range, key, side (rules first) and path; the pages' rows leave with rule and verdict."""
+    stack: list[OpenHost] = []  # hosts with open intervals
+    here = None
     for batch in batches:
-        for area, key, side, ident, path, verdict, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        pages, found = [], []
+        for at, (area, key, side, path, verdict, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("area", "key", "side", "path", "verdict", "text")), strict=True)):
             if area != here:
                 here, stack = area, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if side == 0:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((path, verdict, text, key))
+                if not stack or stack[-1].key != key:
+                    stack.append(OpenHost(key))
+                stack[-1].add(path, verdict, text)
                 continue
             best = None
-            for _, rules in stack:
-                for rule_path, rule_verdict, rule_text, rule_key in rules:
-                    if path.startswith(rule_path):
-                        rank = (len(rule_key) + len(rule_path), len(rule_key), rule_verdict == "block")
-                        if best is None or rank > best[0]:
-                            best = (rank, rule_text, rule_verdict)
-            out.append((ident, best[1], best[2]) if best else (ident, None, default))
-            if len(out) >= BATCH:
-                yield flush()
-                out = []
-    if out:
-        yield flush()
+            for host in stack:
+                k = host.longest(path)
+                # an inner host's rule wins a tie
+                if k >= 0 and (best is None or len(host.key) + len(host.paths[k]) >= best[0]):
+                    best = (len(host.key) + len(host.paths[k]), host.rules[k])
+            pages.append(at)
+            found.append(best[1] if best else (default, None))
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(pages, pa.int64())), pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.string())], names=["row", "rule", "verdict"])
 
 
 def judge(pages: DataFrame, rules: DataFrame, ids: list[str], url: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
-    """ids..., host, path, rule, verdict for each row of ``pages``. rules: (verdict, host, path).
-
-    The columns ``ids`` travel as packed text; nothing else of the pages is moved.
-    """
+    """ids..., host, path, rule, verdict for each row of ``pages``. rules: (verdict, host, path)."""
     spark = ready(pages.sparkSession)
     ranges = ranges or max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    packed = F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(ids)), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path")))
-    urls = pages.select(key_of(host_of(F.col(f"`{url}`"))).alias("key"), packed.cast("binary").alias("id"), path_of(F.col(f"`{url}`")).alias("path"))
-    bounds = _boundaries(urls, ranges)
+    chosen = pages.select(*(F.col(f"`{c}`") for c in ids))
+    names = [*chosen.columns, *fresh(chosen, "host", "path", "rule", "verdict")]
+    address = F.col(f"`{url}`").cast("string")
+    # ids under numbers, so that no two names clash
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(ids)), host_of(address).alias("host"), path_of(address).alias("path"))
+    spread = [F.col(f"`{c}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{c}`") for c, f in zip(ids, chosen.schema.fields, strict=True)]
+    urls = pages.select(key_of(host_of(address)).alias("key"), row.alias("row"), path_of(address).alias("path"), F.xxhash64(address, *spread).alias("id"))
+    bounds = _boundaries(urls.select("key", "id"), ranges)
     hot = {b for b in bounds if bounds.count(b) > 1}
 
     @F.arrow_udf("int")
@@ -116,14 +142,16 @@ def judge(pages: DataFrame, rules: DataFrame, ids: list[str], url: str = "url",
         spans = ((bisect_left(bounds, k), bisect_right(bounds, k[:-1] + ABOVE)) for k in key.to_pylist())
         return pa.array([list(range(a, b + 1)) for a, b in spans], pa.list_(pa.int32()))
 
-    left = urls.withColumn("area", area_of("key", F.pmod(F.xxhash64("id"), F.lit(1_000_003)))).select("area", "key", F.lit(1).alias("side"), "id", "path", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("text"))
+    none = F.lit(None).cast("string")
+    left = urls.withColumn("area", area_of("key", F.pmod(F.col("id"), F.lit(1_000_003)))).select("area", "key", F.lit(1).alias("side"), "path", none.alias("verdict"), none.alias("text"), "row")
     named = rules.where(F.col("host").isNotNull() & (F.col("host") != "")).select(key_of(ascii_lower(F.col("host"))).alias("key"), F.coalesce("path", F.lit("")).alias("path"), "verdict", F.concat(ascii_lower(F.col("host")), F.coalesce("path", F.lit(""))).alias("text"))
-    right = named.withColumn("area", F.explode(areas_of("key"))).select("area", "key", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("id"), "path", "verdict", "text")
-    dealt = left.unionByName(right).repartition(ranges, "area").sortWithinPartitions("area", "key", "side")
-    swept = dealt.mapInArrow(lambda batches: _sweep(batches, default), "id binary, rule string, verdict string")
-    shape = ", ".join([*(f"c{k} string" for k in range(len(ids))), "host string", "path string"])
-    row = F.from_json(F.col("id").cast("string"), shape)
-    return swept.select(*(row.getField(f"c{k}").cast(kinds[c]).alias(c) for k, c in enumerate(ids)), row.getField("host").alias("host"), row.getField("path").alias("path"), "rule", "verdict")
+    right = named.withColumn("area", F.explode(areas_of("key"))).select("area", "key", F.lit(0).alias("side"), "path", "verdict", "text", F.lit(None).cast(left.schema["row"].dataType).alias("row"))
+    # a partition for each range, by its number; the batches of Arrow are small, so a task holds little besides the rules
+    dealt = left.unionByName(right).repartition(ranges, "area").sortWithinPartitions("area", "key", "side", "path")
+    shape = StructType([StructField("row", left.schema["row"].dataType), StructField("rule", StringType()), StructField("verdict", StringType())])
+    swept = dealt.mapInArrow(lambda batches: _sweep(batches, default), shape)
+    values = [F.col("row").getField(f"c{k}") for k in range(len(ids))] + [F.col("row").getField("host"), F.col("row").getField("path"), F.col("rule"), F.col("verdict")]
+    return swept.select(*(v.alias(n) for v, n in zip(values, names, strict=True)))
 
 
 def op4_url_filter(pages: DataFrame) -> DataFrame:

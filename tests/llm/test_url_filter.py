@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -18,7 +19,7 @@ def slow(url, rules, default="allow"):
     return host, m[2], best and best[3], best[4] if best else default
 
 
-URLS = ["http://a.example.com/en/7x?q=1", "https://example.net/de/8", "HTTP://WWW.Example.NET/de/9#x", "ftp://org/es/", "//x", None, "", "://", "http://notexample.com/en/71", "http://x.org", "http://user@h.com:80/en/?", "http://com/en/", "http://.com/en/1", "a://b.net/de/\n8", "x://ÄB.net/de/8"]
+URLS = ["http://a.example.com/en/7x?q=1", "https://example.net/de/8", "HTTP://WWW.Example.NET/de/9#x", "ftp://org/es/", "//x", None, "", "://", "http://notexample.com/en/71", "http://x.org", "http://user@h.com:80/en/?", "http://com/en/", "http://.com/en/1", "a://b.net/de/\n8", "x://ÄB.net/de/8", "http://ex ample.com/en/7", "http://exam ple.net/de/8z", "http://example.com /en/7x", "http://example\x01.com/en/7", "http://example\x00.net/de/8", "http://example.com./en/7", "http://example..com/en/7", "http://..net/de/", "http:// com/en/", "http://\x00com/en/"]
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 40])
@@ -42,3 +43,19 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "http://a.com/en/", "", "")], SCHEMA)
     [row] = url_filter.judge(some, spark.createDataFrame([], RULES), ["page_id"]).collect()
     assert tuple(row) == (1, "a.com", "/en/", None, "allow")
+
+
+def test_many_path_rules_on_one_host(spark):
+    """Nested and repeated rules; hosts with blanks and control characters in the rules too; ids of any type and name."""
+    rng = random.Random(9)
+    path = lambda n: "/" + "/".join(rng.choice("abcdef") for _ in range(n))
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in [(rng.choice(["big.com", "www.big.com", "b ig.com", "b\x01ig.com"]), path(rng.randrange(9))[: rng.randrange(1, 18)]) for _ in range(40_000)]}.values())
+    assert len(rules) > 9_000
+    rows = [(bytearray(b"%d" % k), [k], {"k": k}, f"http://{rng.choice(['', 'www.', 'a.www.'])}{rng.choice(['big.com', 'b ig.com', 'b\x01ig.com', 'b\x02ig.com'])}{path(9)}") for k in range(400)]
+    df = spark.createDataFrame(rows, "host binary, rule array<long>, path map<string,long>, url string")
+    began = time.time()
+    got = url_filter.judge(df, spark.createDataFrame(rules, RULES), ["host", "rule", "path"], ranges=3)
+    assert got.columns == ["host", "rule", "path", "_host", "_path", "_rule", "verdict"]
+    out = {tuple(r[1]): tuple(r[3:]) for r in got.collect()}
+    assert time.time() - began < 30
+    assert out == {tuple(r[1]): slow(r[3], rules) for r in rows}
