@@ -10,7 +10,8 @@ so nothing is written twice, and reading starts from that list.
 Reading: archives are streamed in blocks, member by member. A member whose checks fail (header, deflate stream, CRC,
 length, record syntax, block or payload digest) is left: the reader searches for the next gzip magic that begins a valid
 member, or in plain archives for the next version line that begins a valid record, goes on from there, and logs the gap
-(archive, offset, length, reason) as quarantined. Memory holds one record and a block at a time.
+(archive, offset, length, reason) as quarantined. Memory holds one record, as long as its header says, and a block at a
+time; a record is called broken as soon as its bytes are there and do not fit. A header is HEADER bytes long at most.
 
 Nulls: a null html is the empty payload; a null url is an empty target. A null page_id is written and read as null; it
 is chosen as first only where all page_ids of a payload are null, and then no revisit is made. Rows that share the first
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import ready
 from .common import new_path, stored
 
-ARCHIVE_BYTES, BLOCK, MIN_PAYLOAD = 64 << 20, 1 << 20, 0
+ARCHIVE_BYTES, BLOCK, MIN_PAYLOAD, HEADER = 64 << 20, 1 << 20, 0, 1 << 16
 #: Fixed values of the WARC 1.1 format.
 VERSION, REVISIT_PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -83,25 +84,32 @@ class Broken(ValueError):
     pass
 
 
-def parse(data: bytes, at: int = 0, whole: bool = False) -> Parsed:
-    """The record that begins at ``at``; Broken if it isn't valid. ``whole``: data is known to hold all of it."""
+class Short(Broken):
+    """The data end before the record does."""
+
+
+def parse(data: bytes | bytearray, at: int = 0, whole: bool = False) -> Parsed:
+    """The record that begins at ``at``; Broken if it isn't valid, Short if ``data`` may go on. ``whole``: data is known to
+    hold all of it."""
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
-        raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", at)
+        raise (Short if len(data) - at < 10 else Broken)("no version line")
+    stop = data.find(b"\r\n\r\n", at, at + HEADER)
     if stop < 0:
-        raise Broken("header without end")
+        raise (Short if len(data) - at < HEADER else Broken)("header without end")
     fields = {}
-    for line in data[at + 10 : stop].split(b"\r\n"):
+    for line in bytes(data[at + 10 : stop]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon or not name:
             raise Broken("bad header line")
         fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    if not (length := fields.get("content-length", "")).isascii() or not length.isdigit():
+    if not (length := fields.get("content-length", "")).isascii() or not length.isdigit() or len(length) > 18:
         raise Broken("no length")
-    block = data[stop + 4 : stop + 4 + int(length)]
     end = stop + 4 + int(length) + 4
+    if end > len(data):
+        raise Short("wrong length")
     if data[end - 4 : end] != b"\r\n\r\n" or whole and end != len(data):
         raise Broken("wrong length")
+    block = bytes(data[stop + 4 : end - 4])
     for kind in ("block", "payload"):
         said = fields.get(f"warc-{kind}-digest", "")
         if said.startswith("sha1:") and (kind == "block" or fields.get("warc-type") == "response" and fields.get("content-type", "").startswith("text/html")) and said[5:] != digest_of(block):
@@ -110,72 +118,80 @@ def parse(data: bytes, at: int = 0, whole: bool = False) -> Parsed:
 
 
 class Source:
-    """A window over a stream: bytes from ``base`` on that are not used up yet."""
+    """A window over a stream: ``data`` from ``at`` on is not used up yet; ``at`` lies at offset ``base`` of the stream."""
 
     def __init__(self, stream):
-        self.stream, self.data, self.base, self.ended = stream, b"", 0, False
+        self.stream, self.data, self.at, self.base, self.ended = stream, bytearray(), 0, 0, False
+
+    def __len__(self) -> int:
+        return len(self.data) - self.at
 
     def more(self) -> bool:
         got = b"" if self.ended else self.stream.read(BLOCK)
         self.ended = not got
+        if 2 * self.at > len(self.data):  # what is used up goes once it is the larger part
+            del self.data[: self.at]
+            self.at = 0
         self.data += got
         return bool(got)
 
     def drop(self, n: int) -> None:
-        self.data = self.data[n:]
+        self.at += n
         self.base += n
 
 
-def _inflate(source: Source, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` of the window, unpacked, and its length; Broken if a check fails."""
-    unpacker, out, fed = zlib.decompressobj(31), [], at
+def _inflate(source: Source) -> tuple[bytes, int]:
+    """The member at the window's begin, unpacked, and its length; Broken if a check fails."""
+    unpacker, out, fed = zlib.decompressobj(31), [], 0
     try:
         while not unpacker.eof:
-            if fed == len(source.data) and not source.more():
+            if fed == len(source) and not source.more():
                 raise Broken("member without end")
-            out.append(unpacker.decompress(source.data[fed : fed + BLOCK]))
-            fed = min(len(source.data), fed + BLOCK)
+            part = bytes(source.data[source.at + fed : source.at + fed + BLOCK])
+            out.append(unpacker.decompress(part))
+            fed += len(part)
     except zlib.error as e:
         raise Broken(f"member: {e}"[:60]) from None
-    return b"".join(out), fed - len(unpacker.unused_data) - at
+    return b"".join(out), fed - len(unpacker.unused_data)
 
 
-def _begins_record(source: Source, at: int) -> bool:
-    """Whether the member at ``at`` unpacks to a version line; looks at its first bytes only."""
+def _begins_record(source: Source, ahead: int) -> bool:
+    """Whether the member ``ahead`` bytes on unpacks to a version line; looks at its first bytes only."""
     try:
-        return zlib.decompressobj(31).decompress(source.data[at : at + 4096], 16).startswith(b"WARC/1.")
+        return zlib.decompressobj(31).decompress(bytes(source.data[source.at + ahead : source.at + ahead + 4096]), 16).startswith(b"WARC/1.")
     except zlib.error:
         return False
 
 
+def _next_record(source: Source) -> tuple[Parsed, int]:
+    """The record at the window's begin, and the bytes that it takes there."""
+    if source.data.startswith(MAGIC, source.at):
+        data, size = _inflate(source)
+        return parse(data, whole=True), size
+    while True:
+        try:
+            found = parse(source.data, source.at)
+            return found, found.end - source.at
+        except Short:
+            if not source.more():
+                raise
+
+
 def salvage(stream, lost: list[tuple[int, int, str]]) -> Iterator[Parsed]:
     """Every valid record of an archive, gzipped by record or plain; gaps (offset, length, reason) go to ``lost``."""
     source = Source(stream)
     gap_at, reason = None, ""
     while True:
-        while len(source.data) < 16 and source.more():
+        while len(source) < 16 and source.more():
             pass
-        if not source.data:
+        if not len(source):
             break
-        packed = source.data.startswith(MAGIC)
         try:
-            if packed:
-                data, size = _inflate(source, 0)
-                found = parse(data, whole=True)
-            else:
-                while True:
-                    try:
-                        found = parse(source.data)
-                        break
-                    except Broken as e:
-                        # the record may go on behind the window
-                        if str(e) not in ("wrong length", "header without end") or not source.more():
-                            raise
-                size = found.end
+            found, size = _next_record(source)
         except Broken as e:
             if gap_at is None:
                 gap_at, reason = source.base, str(e)
-            _seek(source, 1)
+            _seek(source)
             continue
         if gap_at is not None:
             lost.append((gap_at, source.base - gap_at, reason))
@@ -186,25 +202,27 @@ def salvage(stream, lost: list[tuple[int, int, str]]) -> Iterator[Parsed]:
         lost.append((gap_at, source.base - gap_at, reason))
 
 
-def _seek(source: Source, skip: int) -> None:
-    """Moves on to the next place, ``skip`` bytes on or later, where a member or a record seems to begin."""
+BEGINS = re.compile(re.escape(MAGIC) + rb"|WARC/1\.[01]\r\n")
+
+
+def _seek(source: Source) -> None:
+    """Moves on to the next place, one byte on or later, where a member or a record seems to begin."""
+    source.drop(1)
     while True:
-        for m in re.finditer(re.escape(MAGIC) + rb"|WARC/1\.[01]\r\n", source.data[skip:]):
-            at = skip + m.start()
-            if source.data[at : at + 4] == b"WARC":
-                source.drop(at)
+        while m := BEGINS.search(source.data, source.at):
+            source.drop(m.start() - source.at)
+            if m[0][:4] == b"WARC":
                 return
-            while len(source.data) - at < 4096 and source.more():
+            m = None  # a match holds the window, which could not grow then
+            while len(source) < 4096 and source.more():
                 pass
-            if _begins_record(source, at):
-                source.drop(at)
+            if _begins_record(source, 0):
                 return
-        keep = 16
-        if len(source.data) > skip + keep:
-            source.drop(len(source.data) - keep)
-            skip = 0
+            source.drop(1)
+        if len(source) > 16:  # a place may begin in the last bytes
+            source.drop(len(source) - 16)
         if not source.more():
-            source.drop(len(source.data))
+            source.drop(len(source))
             return
 
 

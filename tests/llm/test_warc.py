@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import io
 import os
+import re
+import time
 
 from cytoloom.llm import warc
 from cytoloom.llm.common import new_path
@@ -77,3 +79,34 @@ def test_reader_logs_gaps(spark, tmp_path):
     assert [r.page_id for r in out if r.gap_offset is None] == [0, 1]
     [gap] = [r for r in out if r.gap_offset is not None]
     assert (gap.gap_offset, gap.gap_bytes) == (len(members[0]), 9)
+
+
+def test_a_plain_archive_with_wrong_lengths_is_read_in_bounded_memory_and_linear_time():
+    """A length that is too small or too large by a little, far from the end of a long archive."""
+    plain = records(9) * 4000
+    for wrong in (b"Content-Length: 7\r\n", b"Content-Length: 1900\r\n"):
+        data = b"".join([re.sub(rb"Content-Length: \d+\r\n", wrong, plain[0]), *plain[1:]])
+        stream, lost, n = Counting(data), [], 0
+        began = time.time()
+        for r in warc.salvage(stream, lost):
+            n += 1
+            stream.most = max(stream.most, stream.given - stream.passed)
+            stream.passed += r.end
+        assert n in (len(plain) - 1, len(plain) - 2) and lost[0][0] == 0 and time.time() - began < 30
+        assert stream.first < 4 * warc.BLOCK
+    data = b"WARC/1.0\r\n" * 60_000 + plain[0]  # version lines without headers
+    began = time.time()
+    assert found(data)[0] == [0] and time.time() - began < 60
+
+
+class Counting(io.BytesIO):
+    """Counts the bytes that were read before the first record came."""
+
+    given = passed = most = first = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.given += len(got)
+        if not self.passed:
+            self.first = self.given
+        return got
