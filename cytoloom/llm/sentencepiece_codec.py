@@ -9,8 +9,10 @@ through the agenda once in a worker. Whatever enters that memory is compared, in
 sentencepiece library makes of it; a text with a segment that differs is encoded by the library instead and counted
 in ``n_differing``. Texts are decoded with the library.
 
-Nulls: a null text is the empty text, with no ids. Long texts are worked through whole; the memory keeps the
-segments in use, about MEMORY to twice as many. Repeated rows come out as often as they come in.
+Nulls: a null text is the empty text, with no ids. Long texts are worked through whole. The memory holds MEMORY to twice
+as many bytes (as ``weight`` reckons them); segments over LONG characters, as in scripts without blanks, are worked out anew in
+each chunk and not remembered. Repeated rows come out as often as they come in; extra columns pass through ``encode``. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import ready
 from .common import fresh
 
-MARK, MEMORY, CHARS_AT_ONCE = "▁", 300_000, 1_000_000
+MARK, MEMORY, LONG, CHARS_AT_ONCE = "▁", 96 << 20, 200, 1_000_000
 #: Fixed values of the model format.
 BPE, NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 1, 2, 3, 4, 5, 6
 
@@ -140,6 +142,14 @@ class Vocabulary:
         return out
 
 
+Known = tuple[tuple[int, ...], str] | None  # ids and their digits joined by commas; None where the agenda differs
+
+
+def weight(segment: str, known: Known) -> int:
+    """Bytes of a remembered segment, reckoned high: texts of up to four bytes a character, numbers as objects of their own."""
+    return 400 + 4 * len(segment) + (40 * len(known[0]) + len(known[1]) if known else 0)
+
+
 class Codec:
     """The agenda with a memory of segments, and the library beside it."""
 
@@ -148,43 +158,55 @@ class Codec:
 
         self.vocabulary = Vocabulary(model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.memory: dict[str, tuple[tuple[int, ...], str] | None] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str] | None] = {}
+        self.memory: dict[str, Known] = {}
+        self.older: dict[str, Known] = {}
+        self.held = 0  # bytes of self.memory
         self.line = self.library.encode("\n")
 
-    def learn(self, segments: set[str]) -> None:
-        """Takes new segments into the memory, each compared with the library."""
+    def work_out(self, segments: list[str]) -> Iterator[tuple[str, Known]]:
+        """Ids of segments, each compared with the library."""
+        asked = [s[1:].replace(MARK, " ") if s[0] == MARK else "\n" + s for s in segments]
+        for s, theirs in zip(segments, self.library.encode(asked, num_threads=1) if segments else (), strict=True):
+            own = self.vocabulary.encode(s)
+            if s == MARK:  # the library sees an empty text, which has no ids
+                theirs = own
+            elif s[0] != MARK:
+                theirs = theirs[len(self.line) :]
+            yield s, (tuple(own), ",".join(map(str, own))) if own == theirs else None
+
+    def learn(self, segments: set[str]) -> dict[str, Known]:
+        """Takes new segments into the memory; those too long for it are returned."""
         memory, older = self.memory, self.older
-        new = []
+        new, long = [], []
         for s in segments:
-            if s not in memory:
+            if len(s) > LONG:
+                long.append(s)
+            elif s not in memory:
                 if s in older:
                     memory[s] = older[s]
+                    self.held += weight(s, older[s])
                 else:
                     new.append(s)
-        asked = [s[1:].replace(MARK, " ") if s[0] == MARK else "\n" + s for s in new]
-        for s, theirs in zip(new, self.library.encode(asked, num_threads=1) if new else (), strict=True):
-            own = self.vocabulary.encode(s)
-            if s == MARK:  # the library sees an empty text, which has no ids
-                theirs = own
-            elif s[0] != MARK:
-                theirs = theirs[len(self.line) :]
-            memory[s] = (tuple(own), ",".join(map(str, own))) if own == theirs else None
+        for s, known in self.work_out(new):
+            memory[s] = known
+            self.held += weight(s, known)
+        return dict(self.work_out(long))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
         """For each text its ids, their decimal digits joined by commas, and whether the agenda differed."""
         cut = [self.vocabulary.segment(t) for t in texts]
-        self.learn(set().union(*cut))
+        long = self.learn(set().union(*cut))
+        memory = self.memory
         out = []
         for text, segments in zip(texts, cut, strict=True):
-            found = [self.memory[s] for s in segments]
+            found = [long[s] if s in long else memory[s] for s in segments] if long else [memory[s] for s in segments]
             if None in found:
                 ids = self.library.encode(text)
                 out.append((ids, ",".join(map(str, ids)), True))
             else:
                 out.append(([i for x in found for i in x[0]], ",".join([x[1] for x in found]), False))
-        if len(self.memory) > MEMORY:  # what is used again moves on, the rest is forgotten
-            self.memory, self.older = {}, self.memory
+        if self.held > MEMORY:  # what is used again moves on, the rest is forgotten
+            self.memory, self.older, self.held = {}, memory, 0
         return out
 
 

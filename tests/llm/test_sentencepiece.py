@@ -33,10 +33,21 @@ def test_a_differing_segment_is_found_and_the_library_prevails():
 
 
 def test_small_memory_changes_nothing(monkeypatch):
-    monkeypatch.setattr(codec, "MEMORY", 3)
+    monkeypatch.setattr(codec, "MEMORY", 3000)
     own = codec.Codec(MODEL)
     for text in texts()[:60]:
         assert own.encode([text])[0][0] == LIBRARY.encode(text)
+        assert own.held <= 3000 + sum(codec.weight(s, k) for s, k in own.older.items())
+
+
+def test_long_segments_are_not_remembered_and_the_memory_counts_bytes(monkeypatch):
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("天地玄黄宇宙洪荒日月盈昃辰宿列张", k=1000)) for _ in range(40)]
+    own = codec.Codec(MODEL)
+    for text, (ids, _, differing) in zip(lines, own.encode(lines), strict=True):
+        assert ids == LIBRARY.encode(text) and not differing
+    assert own.held < 10_000 and not any(len(s) > codec.LONG for s in own.memory)
+    assert own.held == sum(codec.weight(s, k) for s, k in own.memory.items())
 
 
 def test_query_and_operator(spark):
