@@ -9,8 +9,13 @@ takes some seconds on the driver. The model is a small dictionary that travels w
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line feed. Scripts,
 styles, comments and what is in the head never form blocks.
 
+Reading takes time and memory in proportion to a page, whatever its nesting, open quotes and unclosed tags: blocks share
+their ancestors, which know what they add to the scores, and the search for the ends of tags never starts twice from
+one place.
+
 Nulls: a null html is the empty page, with empty text. Long pages are read whole. Repeated rows come out as often as
-they come in; extra columns pass through ``extract``.
+they come in; extra columns pass through ``extract``, whose text and n_chars get underscores where they clash. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -39,25 +45,131 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style template noscript iframe object svg canvas textarea title select".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
+#: What ends the search for an open element of the same kind, and the kinds that are searched for.
+BARRIERS = set("div ul ol table article section body".split())
+SIBLINGS = {"li": {"p", "li"}, "tr": {"p", "tr"}, "td": {"p", "td"}, "th": {"p", "th"}, "option": {"p", "option"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}}
+CLOSED_BY_OTHERS = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
+
+TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+class Node:
+    """An open element: its tag, what it is nested in, and the features that it brings which no ancestor has."""
+
+    __slots__ = ("above", "added", "depth", "in_body", "in_head", "places", "scores", "tag", "words")
+
+    def __init__(self, tag: str, words: tuple[str, ...], above: Node | None, depth: int, added: tuple[str, ...]):
+        self.tag, self.words, self.above, self.depth, self.added = tag, words, above, depth, added
+        self.in_head = tag == "head" or above is not None and above.in_head
+        self.in_body = tag == "body" or above is not None and above.in_body
+        # (tag, depth) of the open elements up to the next barrier that others may close, one for each tag
+        around = () if above is None or tag in BARRIERS else above.places
+        self.places = (*(x for x in around if x[0] != tag), (tag, depth)) if tag in CLOSED_BY_OTHERS else around
+        self.scores: tuple[float, float] | None = None  # of the features of the whole path
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, str], ...]  # (tag, words of class, id and role) of the ancestors, outermost first
+    path: Node | None  # the innermost ancestor
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    text: str = ""
+
+
+class Ends:
+    """Finds where tags end in one page. Asked for rising places, it looks at no stretch of the page twice."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.angle_at = self.sign_at = -1
+        self.sign = re.compile("[>\"']")
+        self.known: dict[int, int] = {}  # place of an opening quote -> the end of its tag, -1 for none
+
+    def angle(self, at: int) -> int:
+        """The first > from ``at`` on, or -1."""
+        if self.angle_at < at and self.angle_at != len(self.page):
+            found = self.page.find(">", at)
+            self.angle_at = len(self.page) if found < 0 else found
+        return -1 if self.angle_at == len(self.page) else self.angle_at
+
+    def outside(self, at: int) -> int:
+        """The first > from ``at`` on that stands outside quotes, or -1."""
+        if self.sign_at < at:
+            found = self.sign.search(self.page, at)
+            self.sign_at = found.start() if found else len(self.page)
+        here, walked = self.sign_at, []
+        while True:
+            if here >= len(self.page):
+                end = -1
+                break
+            if self.page[here] == ">":
+                end = here
+                break
+            if here in self.known:
+                end = self.known[here]
+                break
+            walked.append(here)
+            shut = self.page.find(self.page[here], here + 1)
+            found = self.sign.search(self.page, shut + 1) if shut >= 0 else None
+            here = found.start() if found else len(self.page)
+        self.known.update(dict.fromkeys(walked, end))
+        return end
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of the tags, comments and declarations of a page (the latter two without a
+    name). The caller may send a place from which to go on. A < that begins none of them is text."""
+    ends, at = Ends(page), 0
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            shut = page.find("-->", start + 4)
+            end = len(page) if shut < 0 else shut + 3
+            found = (start, end, "", False, "")
+        else:
+            shut = ends.angle(start)
+            if shut < 0:  # only a comment without end may follow
+                at = page.find("<!--", at)
+                if at < 0:
+                    return
+                continue
+            closing = page.startswith("/", at)
+            if page[at : at + 1] in ("!", "?"):
+                found = (start, shut + 1, "", False, "")
+            elif name := TAG_NAME.match(page, at + closing):
+                end = ends.outside(name.end())
+                # with an odd quote the tag ends at the next >
+                end = end if end >= 0 else ends.angle(name.end())
+                found = (start, end + 1, name[0].lower(), closing, page[name.end() : end])
+            else:
+                continue
+        go_on = yield found
+        at = found[1]
+        if go_on is not None:
+            at = go_on
+            yield found  # what send() returns; the next one follows
+
+
+@lru_cache(maxsize=20_000)
+def _words(names: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(re.findall(r"[a-z]+", names)))
+
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+def words_of(attributes: str) -> tuple[str, ...]:
+    """The distinct words of class, id and role."""
+    if "=" not in attributes:
+        return ()
+    names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
+    return _words(names) if len(names) < 200 else _words.__wrapped__(names)
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Node] = []
+    open_tags: Counter[str] = Counter()
+    active: Counter[str] = Counter()  # features of the open elements
     now: Block | None = None
     links = at = 0
 
@@ -66,42 +178,60 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            now = Block(tuple(stack))
+            now = Block(stack[-1] if stack else None)
         now.parts.append(text)
         if links:
             now.linked += len(text)
 
     def end() -> None:
         nonlocal now
-        if now is not None and now.text:
-            out.append(now)
+        if now is not None:
+            now.text = " ".join("".join(now.parts).split())
+            now.parts = []
+            if now.text and (now.path is None or not now.path.in_head or now.path.in_body):
+                out.append(now)
         now = None
 
-    while True:
-        m = TOKEN.search(page, at)
-        if text := page[at : m.start() if m else len(page)]:
+    def push(tag: str, words: tuple[str, ...]) -> None:
+        found = (f"in:{tag}", *(f"word:{w}" for w in words))
+        stack.append(Node(tag, words, stack[-1] if stack else None, len(stack), tuple(f for f in found if not active[f])))
+        open_tags[tag] += 1
+        active.update(found)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            node = stack.pop()
+            open_tags[node.tag] -= 1
+            for f in (f"in:{node.tag}", *(f"word:{w}" for w in node.words)):
+                active[f] -= 1
+                if not active[f]:
+                    del active[f]
+
+    found_tags = tags(page)
+    for start, stop, tag, closing, rest in found_tags:
+        if start > at:
+            text = page[at:start]
             add(html.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        at = stop
         if not tag:
             continue
-        closing, rest = m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in INLINE:
                 continue
             end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                cut(depth)
             continue
         if tag in RAW:
-            over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = over.end() if over else len(page)
+            over = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+            shut = page.find(">", over.end()) if over else -1
+            at = shut + 1 if shut >= 0 else len(page)
+            found_tags.send(at)
             continue
         if tag == "br":
             add(" ")
@@ -111,27 +241,23 @@ def blocks(page: str) -> list[Block]:
             continue
         end()
         links = 0
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            closes = {"p", tag} if tag in ("li", "tr", "td", "th", "option") else {"p", "dt", "dd"} if tag in ("dt", "dd") else {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("div", "ul", "ol", "table", "article", "section", "body"):
-                    break
+        if stack and (tag in CLOSES_P or tag in SIBLINGS):
+            closes = SIBLINGS.get(tag, {"p"})
+            cut(max((depth for t, depth in stack[-1].places if t in closes), default=len(stack)))
         if tag not in VOID and not rest.endswith("/"):
-            words = " ".join(a or b or c for a, b, c in NAMES.findall(rest)).lower() if "=" in rest else ""
-            stack.append((tag, words))
+            push(tag, words_of(rest))
+    if at < len(page):
+        text = page[at:]
+        add(html.unescape(text) if "&" in text else text)
     end()
-    return [b for b in out if not any(t == "head" for t, _ in b.path) or any(t == "body" for t, _ in b.path)]
+    return out
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    found = {f"in:{t}" for t, _ in path}
-    for tag, words in path:
-        found |= {f"word:{w}" for w in re.findall(r"[a-z]+", words)}
-    if path:
-        found.add(f"leaf:{path[-1][0]}")
+def path_features(path: Node | None) -> list[str]:
+    found = {f"leaf:{path.tag}"} if path else set()
+    while path:
+        found |= set(path.added)
+        path = path.above
     return sorted(found)
 
 
@@ -277,8 +403,27 @@ class Field:
     starts: np.ndarray
     ends: np.ndarray
 
-    def decode(self, found: list[Block], known: dict) -> list[int]:
-        """Viterbi labels; ``known`` remembers the scores of paths."""
+    def of_path(self, path: Node | None) -> tuple[float, float]:
+        """Scores of the features of a path, kept at its elements."""
+        todo = []
+        node = path
+        while node is not None and node.scores is None:
+            todo.append(node)
+            node = node.above
+        get = self.weights.get
+        for node in reversed(todo):
+            x, y = node.above.scores if node.above is not None else (0.0, 0.0)
+            for f in node.added:
+                if w := get(f):
+                    x, y = x + w[0], y + w[1]
+            node.scores = (x, y)
+        if path is None:
+            return 0.0, 0.0
+        leaf = get(f"leaf:{path.tag}", (0.0, 0.0))
+        return path.scores[0] + leaf[0], path.scores[1] + leaf[1]
+
+    def decode(self, found: list[Block]) -> list[int]:
+        """Viterbi labels of the blocks of one page."""
         if not found:
             return []
         get = self.weights.get
@@ -286,11 +431,7 @@ class Field:
         back: list[tuple[int, int]] = []
         a, b = self.starts.tolist()
         for k, block in enumerate(found):
-            base = known.get(block.path)
-            if base is None:
-                ws = [w for f in path_features(block.path) if (w := get(f))]
-                base = known[block.path] = (sum(w[0] for w in ws), sum(w[1] for w in ws))
-            x, y = base
+            x, y = self.of_path(block.path)
             for f in text_features(block.text, block.linked):
                 if w := get(f):
                     x, y = x + w[0], y + w[1]
@@ -371,9 +512,9 @@ def model(pages: int = PAGES, seed: int = 11) -> Field:
     return train(data)
 
 
-def main_text(page: str, crf: Field, known: dict | None = None) -> str:
+def main_text(page: str, crf: Field) -> str:
     found = blocks(page)
-    labels = crf.decode(found, {} if known is None else known)
+    labels = crf.decode(found)
     return "\n".join(b.text for b, y in zip(found, labels, strict=True) if y == MAIN)
 
 
@@ -385,11 +526,8 @@ def extract(pages: DataFrame, column: str = "html", crf: Field | None = None) ->
     names = fresh(pages.drop(column), "text", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in batches:
-            if len(known) > 50_000:
-                known.clear()
-            texts = [main_text(p.as_py() or "", crf, known) for p in batch.column(len(kept))]
+            texts = [main_text(p.as_py() or "", crf) for p in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != column]
