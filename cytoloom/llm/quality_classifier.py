@@ -6,8 +6,9 @@ node is a conjunctive rule over statistics. A logistic regression with an L1 pen
 one Spark expression, so scoring is a projection over the whole table without Python.
 
 Nulls: a null text has the statistics of the empty text and is scored like it; rows without label are never learned
-from. A table without usable labels gives the score 0.5; with one label only, that label's smoothed share. Texts are
-measured whole. Repeated rows and extra columns pass through ``score``.
+from; of several labels of an id the lower counts, and of several texts the one with the smallest hash. A table without
+usable labels gives the score 0.5; with one label only, that label's smoothed share. Texts are measured whole. Repeated
+rows and extra columns of any name pass through ``score``; score and predicted get underscores where they clash.
 """
 
 from __future__ import annotations
@@ -42,15 +43,16 @@ STATISTICS = {
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one double column s_<name> for each statistic."""
+    """``df`` with its columns as c0, c1, ... in their order, and one double column s_<name> for each statistic."""
+    kept = [f"c{k}" for k in range(len(df.columns))]
     base = (
-        df.withColumn("_t", text_of(text))
+        df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(df.columns, kept, strict=True)), text_of(text).alias("_t"))
         .withColumn("_words", F.expr(r"regexp_extract_all(_t, '[^\\x20\\x09-\\x0D]+', 0)"))
         .withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
         .withColumn("_n", F.size("_words").cast("double"))
         .withColumn("_chars", F.char_length(F.translate("_t", SPACES, "")).cast("double"))
     )
-    return base.select(*df.columns, *(F.expr(f"cast({sql} as double)").alias(f"s_{name}") for name, sql in STATISTICS.items()))
+    return base.select(*kept, *(F.expr(f"cast({sql} as double)").alias(f"s_{name}") for name, sql in STATISTICS.items()))
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, whether it must exceed, bound), all of them
@@ -156,23 +158,26 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     """Learns from labelled rows that aren't held out, ``sample`` of them at most, chosen by hash of the id."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0.0, 1.0) & ~held_out())
+    ident, label = F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("_y")
+    usable = labels.select(ident, label).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0.0, 1.0) & ~held_out()).groupBy("doc_id").agg(F.min("_y").alias("_y"))
     n = usable.count()
     part = usable
     if n > sample:
         part = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / n)))
-    part = stored(part.limit(2 * sample), "labelled")
-    # at most 2 * sample rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(part), "doc_id")
-    rows = statistics(texts.select("text", "_y")).drop("text").toPandas().sort_values([*(f"s_{s}" for s in STATISTICS), "_y"])
+    # the bound holds whatever the hashes; it is reached where they are far from even only
+    part = stored(part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample), "labelled")
+    # at most 2 * sample rows of two numbers, and one text for each
+    texts = docs.select(ident, F.col("text").cast("string").alias("text")).join(F.broadcast(part), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("_y").alias("_y"))
+    rows = statistics(texts.select("text", "_y")).drop("c0").withColumnRenamed("c1", "_y").toPandas().sort_values([*(f"s_{s}" for s in STATISTICS), "_y"])
     return fit_table({s: rows[f"s_{s}"].to_numpy(float) for s in STATISTICS}, rows["_y"].to_numpy(float))
 
 
 def score(docs: DataFrame, ensemble: Ensemble, text: str = "text") -> DataFrame:
     """``docs`` with score double and predicted int."""
     names = fresh(docs, "score", "predicted")
-    with_stats = statistics(docs, text)
-    return with_stats.withColumn(names[0], ensemble.column()).select(*docs.columns, names[0]).withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
+    scored = statistics(docs, text).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)), ensemble.column().alias(names[0]))
+    return scored.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
 
 
 def op2_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def test_column_is_the_ensemble(spark):
     ensemble = qc.fit(df, spark.createDataFrame(labels, LABELS))
     assert 0 < len(ensemble.rules) < 60
     stats = qc.statistics(df).toPandas()
-    want = dict(zip(stats.doc_id, ensemble.predict({s: stats[f"s_{s}"].to_numpy() for s in qc.STATISTICS}), strict=True))
+    want = dict(zip(stats.c0, ensemble.predict({s: stats[f"s_{s}"].to_numpy() for s in qc.STATISTICS}), strict=True))
     got = qc.score(df, ensemble)
     assert got.columns == ["doc_id", "text", "score", "_score", "predicted"]
     assert all(np.isclose(r["_score"], want[r.doc_id], atol=1e-12) for r in got.collect())
@@ -67,3 +67,39 @@ def test_held_out_accuracy_on_the_tables(spark):
     assert (rows.predicted == rows.quality).mean() >= 0.98
     good, bad = rows.score[rows.quality == 1].to_numpy(), rows.score[rows.quality == 0].to_numpy()
     assert (good[:, None] > bad[None, :]).mean() >= 0.99
+
+
+def test_columns_of_any_name_pass_and_repeated_ids_are_learned_once(spark):
+    docs, labels = corpus(300)
+    df = spark.createDataFrame([(*d[:2], 7, 8, 9, 10) for d in docs], "doc_id long, text string, _n int, _t int, _words int, s_log_words int")
+    plain = qc.fit(df, spark.createDataFrame(labels, LABELS))
+    again = qc.fit(df.unionByName(df).unionByName(df), spark.createDataFrame(labels * 2, LABELS))
+    assert again == plain
+    out = qc.score(df, plain)
+    assert out.columns == [*df.columns, "score", "predicted"]
+    assert {tuple(r)[2:6] for r in out.collect()} == {(7, 8, 9, 10)}
+
+
+def test_weights_meet_the_conditions_of_the_l1_optimum():
+    """At the optimum the gradient of the log-loss is -PENALTY * sign(w) where w is not 0, and within PENALTY else."""
+    rng = np.random.default_rng(4)
+    table = {f"f{k}": rng.normal(size=900) for k in range(4)}
+    y = (rng.random(900) < 1 / (1 + np.exp(-2 * table["f0"] + (table["f1"] > 0.5)))).astype(float)
+    ensemble = qc.fit_table(table, y)
+    p = ensemble.predict(table)
+    for rule, weight in ensemble.rules:
+        slope = float((qc.rule_holds(rule, table) * (p - y)).mean())
+        assert abs(slope + np.sign(weight) * qc.PENALTY) < 2e-4
+    assert abs(float((p - y).mean())) < 2e-4 and 0 < len(ensemble.rules) < 100
+
+
+def test_trees_split_where_the_gain_is_highest():
+    """The first split against all splits, tried one by one."""
+    rng = np.random.default_rng(5)
+    x = {"a": rng.integers(0, 9, 300).astype(float), "b": rng.normal(size=300)}
+    y = (x["a"] > 4).astype(float)
+    y[:20] = 1 - y[:20]
+    rules = [r for r, _ in qc.fit_table(x, y).rules]
+    gain = lambda m: (y[m] - y.mean()).sum() ** 2 / (m.sum() * y.var() + 1) + (y[~m] - y.mean()).sum() ** 2 / ((~m).sum() * y.var() + 1)
+    best = max(((n, c) for n, v in x.items() for c in np.unique(v)[:-1] if min((v <= c).sum(), (v > c).sum()) >= qc.LEAF), key=lambda k: gain(x[k[0]] <= k[1]))
+    assert best[0] == "a" and any(r[0][0] == "a" and r[0][2] == best[1] for r in rules)
