@@ -19,11 +19,12 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready
@@ -31,7 +32,7 @@ from .common import fresh
 
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date")
-DEFAULT_KEY = b"replace this key in production"
+KEY_SETTING, DEFAULT_KEY = "spark.cytoloom.pii.key", b"replace this key in production"
 
 
 class Feistel:
@@ -308,7 +309,9 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text",
     """``docs`` with the text changed, and n_<kind> int for every kind and n_pii long."""
     names = fresh(docs, *(f"n_{k}" for k in KINDS), "n_pii")
     ready(docs.sparkSession)
-    place = docs.columns.index(text)
+    # as Spark resolves names, whatever their letters' case
+    place = docs.columns.index(text) if text in docs.columns else [c.lower() for c in docs.columns].index(text.lower())
+    text = docs.columns[place]
     docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +330,16 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text",
     return docs.mapInArrow(run, ", ".join(fields))
 
 
-def op8_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting KEY_SETTING. Without it the queries work with DEFAULT_KEY, which is public: whoever
+    reads this file can invert such pseudonyms, and a warning says so."""
+    key = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    if key:
+        return key.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: pseudonyms made with the public default key can be inverted by anyone", stacklevel=2)
+    return DEFAULT_KEY
+
+
+def op8_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, the text with pseudonyms, and the counts, one row for each row of ``docs``."""
-    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
+    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key or session_key(docs.sparkSession))

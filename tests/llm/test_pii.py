@@ -1,6 +1,10 @@
+import hashlib
+import math
 import random
 import re
 
+import pytest
+
 from cytoloom.llm import pii
 
 SCHEMA = "doc_id long, text string, n_email string, n_pii int"
@@ -79,3 +83,61 @@ def test_more_forms_of_dates_change_and_come_back():
         assert again["date"] == 2 and (back == f"on {value}, and {value}." or value.startswith(("Sept", "05 March", "Mar")) or "May" in value), (value, new, back)
     for text in ("31 February 2021", "2021/13/05", "45-03-2021", "May 2021"):
         assert p.apply(text)[0] == text
+
+
+def test_the_text_column_is_found_as_spark_finds_it(spark):
+    [row] = pii.pseudonymise(spark.createDataFrame([(1, "call 212-555-0143")], "doc_id long, Text string"), b"k").collect()
+    assert row.Text == pii.Pseudonyms(b"k").apply("call 212-555-0143")[0] != "call 212-555-0143"
+
+
+def test_the_key_comes_from_the_session(spark):
+    with pytest.warns(UserWarning, match="public default key"):
+        assert pii.session_key(spark) == pii.DEFAULT_KEY
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        df = spark.createDataFrame([(1, "call 212-555-0143")], "doc_id long, text string")
+        assert pii.op8_pii(df).first().text == pii.Pseudonyms(b"own").apply("call 212-555-0143")[0]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def plain_feistel(key, x, size, tweak):
+    """Eight rounds on the two digits of x to the base of the least whole number whose square reaches size, walked until
+    the image is below size."""
+    key = hashlib.sha256(key).digest()
+    base = next(n for n in range(math.isqrt(size), math.isqrt(size) + 2) if n * n >= size)
+    while True:
+        a, b = x // base, x % base
+        for k in range(8):
+            mixed = int(hashlib.blake2b(f"{k}|{b}|{tweak}".encode(), key=key, digest_size=16).hexdigest(), 16)
+            a, b = b, (a + mixed) % base
+        x = a * base + b
+        if x < size:
+            return x
+
+
+def luhn_ok(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pseudonyms_against_a_plain_construction():
+    """Restricted kinds are one permutation, walked on into the kind's domain; of the others the checksums and formats."""
+    p = pii.Pseudonyms(b"k")
+    rng = random.Random(3)
+    for _ in range(30):
+        x = rng.randrange(1, 666) * 10**6 + rng.randrange(1, 100) * 10**4 + rng.randrange(1, 10**4)
+        y = x
+        while True:
+            y = plain_feistel(b"k", y, 10**9, "ssn")
+            if y // 10**6 not in (0, 666) and y // 10**6 < 900 and y // 10**4 % 100 and y % 10**4:
+                break
+        form = lambda v: f"{v // 10**6:03d}-{v // 10**4 % 100:02d}-{v % 10**4:04d}"
+        assert p.apply(f"no {form(x)}.")[0] == f"no {form(y)}."
+        payload = "4" + "".join(rng.choices("0123456789", k=14))
+        card = next(payload + d for d in "0123456789" if luhn_ok(payload + d))
+        new = p.apply(card)[0]
+        assert new != card and len(new) == 16 and new[0] == "4" and luhn_ok(new)
+        account = "".join(rng.choices("0123456789", k=18))
+        iban = next(f"DE{k:02d}{account}" for k in range(2, 99) if int(account + "1314" + f"{k:02d}") % 97 == 1)
+        new = p.apply(iban)[0]
+        assert new != iban and new[:2] == "DE" and int(new[4:] + "1314" + new[2:4]) % 97 == 1
