@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoloom.llm import decontaminate, pii, quality_rules, sentencepiece_codec, simhash
-from cytoloom.llm.common import new_path, table
+from cytoloom.llm.common import new_path, remove, table
 from cytoloom.llm.entry import public_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars counts the new text."""
-    changed = pii.pseudonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
+    changed = pii.pseudonymise(docs.select(*COLUMNS), pii.session_key(spark)).withColumn("n_chars", F.char_length("text").cast("long"))
     return changed.select(*COLUMNS)
 
 
@@ -51,12 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each stored in the shared folder before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents, each stored in the shared folder before the next. A stage's input goes when its
+    output is whole; ``common.clear`` deletes what is left when the result has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = new_path(spark, f"stage-{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs

@@ -26,17 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cytoloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/cytoloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and lost executors cost no recomputation."""
+    """``df`` written to the shared folder and read again: lineage ends there, and lost executors cost no recomputation.
+    The tables stay for whoever reads the result, until ``release`` or ``clear``."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes everything that the operators of this application stored; call it when their results have been written."""
+    remove(spark, f"{shared_dir(spark)}/cytoloom/{spark.sparkContext.applicationId}")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with those of ``df``, one for each of ``names``."""
     taken = {c.lower() for c in df.columns}

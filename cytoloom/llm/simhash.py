@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .common import fresh, stored
+from .common import fresh, release, stored
 
 SHINGLE, SEED, MAX_BITS, PIECES, BLOCK_PAIRS = 3, 42, 2, 5, 32
 CHUNK = 1 << 18
@@ -112,7 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
-        edges = stored(small, "stars")
+        before, edges = edges, stored(small, "stars")
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -69,3 +69,9 @@ def test_empty_tables(spark):
     assert decontaminate.op6_decontamination(none, nothing).collect() == []
     [row] = decontaminate.op6_decontamination(spark.createDataFrame([(1, "a b", "", 0)], DOCS), nothing).collect()
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
+
+
+def test_clean_keeps_columns_with_the_names_of_helpers(spark):
+    docs = spark.createDataFrame([(1, "a b c", 3, 4, 5), (2, "x y z", 3, 4, 5)], "doc_id long, text string, _mark int, _doc int, ident int")
+    out = decontaminate.clean(docs, spark.createDataFrame([(1, "x y")], "item_id long, text string"))
+    assert [tuple(r) for r in out.collect()] == [(1, "a b c", 3, 4, 5)]

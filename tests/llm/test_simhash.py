@@ -79,3 +79,9 @@ def test_one_of_each_keeps_one_row_with_all_columns(spark):
     out = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
     assert out.columns == ["doc_id", "text", "fp"]
     assert sorted(r.fp for r in out.collect()) == ["b", "c", "d", "f"]
+
+
+def test_columns_with_the_names_of_helpers_pass(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6, 7, 8, 9), (1, "a b c d", 5, 6, 7, 8, 9), (2, "A b c d", 1, 1, 1, 1, 1)], "doc_id long, text string, _mark int, _keep int, chosen int, times int, mark int")
+    [row] = simhash.one_of_each(df).collect()
+    assert tuple(row) == (1, "a b c d", 5, 6, 7, 8, 9)
