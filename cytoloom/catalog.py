@@ -411,7 +411,7 @@ def imported_cuts(spark, d):
 
 def dotplot_means(spark, d):
     p, _, c = _classified(spark, d)
-    return views.dotplot(p, c.df).select("image_id", "marker", "cell_type", F.round("mean_score", 6).alias("mean_score"), "n_observed")
+    return views.dotplot(p, c).select("image_id", "marker", "cell_type", F.round("mean_score", 6).alias("mean_score"), "n_observed")
 
 
 def state_histogram(spark, d):

@@ -16,19 +16,23 @@ from pyspark.sql import functions as F
 from ..errors import DisabledRules, StateError, require
 from ..functions.columns import all_true, any_true, col, finite, none_true
 from ..plans.config import Config, Rule, Terms
+from ..storage import small
 from .prepare import Prepared, available, support_map, with_support
 from .thresholds import Thresholds, validate_thresholds
 
 
 @dataclass(frozen=True)
 class Classification:
-    """df: keys, cell_type, rule_id, pending_review, flag columns, excluded; calls: keys and call_<marker>.
-    disabled: rows on the driver."""
+    """df: keys, cell_type, rule_id, pending_review, flag columns, excluded; calls: keys and call_<marker>; full: both
+    with all prepared columns, so that nobody needs to join them by key. disabled: rows on the driver. ``scores`` is the
+    corrected table that the calls were made from, if any."""
 
     df: DataFrame
     calls: DataFrame
     disabled: tuple[dict[str, str], ...]
     config: Config
+    full: DataFrame
+    scores: DataFrame | None = None
 
     def summary(self) -> DataFrame:
         return summary(self.df)
@@ -38,7 +42,7 @@ class Classification:
 
 
 def cut_row(prepared: Prepared, cuts: Thresholds) -> dict[str, dict[str, float | None]]:
-    """image -> marker -> cut, None where the marker isn't callable there."""
+    """image -> marker -> cut, None where the marker isn't callable there. Lookups go by key."""
     status = support_map(prepared)
     out: dict[str, dict[str, float | None]] = {}
     for image in sorted({i for i, _ in status}):
@@ -104,12 +108,23 @@ def classify(prepared: Prepared, cuts: Thresholds, scores: DataFrame | None = No
     if off and not quiet:
         warnings.warn(f"{len(off)} hierarchy rules disabled because required markers are not callable.", DisabledRules, stacklevel=2)
     switched = {(r["image_id"], r["rule_id"]) for r in off}
-    spark = prepared.df.sparkSession
+    base = with_support(prepared) if scores is None else with_support(Prepared(scores, config, prepared.support))
+    full = labelled(base, config, by_image, off)
+    return Classification(full.select("image_id", "cell_id", *label_names(config)), full.select("image_id", "cell_id", *(col(f"call_{m}") for m in config.gated)), tuple(off), config, full, scores)
+
+
+def label_names(config: Config) -> list[str]:
+    return ["cell_type", "rule_id", "pending_review", *config.hierarchy.flags, "excluded"]
+
+
+def labelled(base: DataFrame, config: Config, by_image: dict[str, dict[str, float | None]], off: list[dict[str, str]]) -> DataFrame:
+    """``base`` (over ``with_support``) with cut_, on_, call_ and label columns: cuts and switches joined by image, and a
+    projection."""
+    switched = {(r["image_id"], r["rule_id"]) for r in off}
     rows: list[tuple[Any, ...]] = [(i, *(c[m] for m in config.gated), *((i, r.rule_id) not in switched for r in config.hierarchy.rules)) for i, c in by_image.items()]
     schema = ", ".join(["image_id string", *(f"`cut_{m}` double" for m in config.gated), *(f"on_{k} boolean" for k in range(len(config.hierarchy.rules)))])
-    base = with_support(prepared) if scores is None else with_support(Prepared(scores, config, prepared.support))
-    called = base.join(F.broadcast(spark.createDataFrame(rows, schema)), "image_id").select("*", *call_columns(config))
-    return Classification(called.select("image_id", "cell_id", *label_columns(config)), called.select("image_id", "cell_id", *(col(f"call_{m}") for m in config.gated)), tuple(off), config)
+    cuts = base.sparkSession.createDataFrame(rows, schema)
+    return base.join(small(cuts, len(rows)), "image_id").select("*", *call_columns(config)).select("*", *label_columns(config))
 
 
 def summary(cells: DataFrame, image: str = "image_id", label: str = "cell_type") -> DataFrame:
@@ -117,4 +132,4 @@ def summary(cells: DataFrame, image: str = "image_id", label: str = "cell_type")
     counts = cells.groupBy(image, label).agg(F.count(F.lit(1)).alias("n"))
     full = counts.select(image).distinct().crossJoin(counts.select(label).distinct()).join(counts, [image, label], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     totals = counts.groupBy(image).agg(F.sum("n").alias("total"))
-    return full.join(F.broadcast(totals), image).select(image, label, F.col("n").cast("long").alias("n"), (F.col("n") / F.col("total")).alias("proportion"))
+    return full.join(totals, image).select(image, label, F.col("n").cast("long").alias("n"), (F.col("n") / F.col("total")).alias("proportion"))

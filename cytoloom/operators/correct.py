@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..errors import InputError, IntegrityError, StateError, require
 from ..functions.canonical import sha256
 from ..functions.columns import clip, col, finite
+from ..storage import stored
+from .order import whole_quantiles
 from .prepare import Prepared, available, with_support
 
 METHODS = ("none", "robust_z", "common_score_residual", "pc1_panel_residual")
@@ -61,13 +63,12 @@ def _z(x: Column, median: float, mad: float) -> Column:
 
 
 def center_and_mad(df: DataFrame, names: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """Medians, and MADs times 1.4826 with 1 in the place of zero; two aggregations for all columns together."""
+    """Medians, and MADs times 1.4826 with 1 in the place of zero."""
     if not names:
         return {}, {}
-    medians = df.agg(*(F.median(col(n)).alias(f"m{k}") for k, n in enumerate(names))).first()
-    center = {n: float(medians[k]) if medians[k] is not None else math.nan for k, n in enumerate(names)}
-    spreads = df.agg(*(F.median(F.abs(col(n) - F.lit(center[n]))).alias(f"d{k}") for k, n in enumerate(names))).first()
-    mad = {n: MAD_SCALE * spreads[k] if spreads[k] else 1.0 for k, n in enumerate(names)}
+    center = {n: math.nan if q is None else q for n, (q,) in whole_quantiles(df, names, [0.5]).items()}
+    away = df.select(*(F.abs(col(n) - F.lit(center[n])).alias(n) for n in names))
+    mad = {n: MAD_SCALE * q if q else 1.0 for n, (q,) in whole_quantiles(away, names, [0.5]).items()}
     return center, mad
 
 
@@ -134,8 +135,8 @@ def fit(prepared: Prepared, method: str, markers: list[str] | None = None, row_c
     c = Correction(method, tuple(names), tuple(fitted), row_center, config_digest=prepared.config.digest())
     if method == "none" or not fitted:
         return c
-    rows = observed.where(F.coalesce(*(col(f"x_{m}") for m in fitted)).isNotNull())
     xs = [f"x_{m}" for m in fitted]
+    rows = stored(observed.select(*(col(x) for x in xs)).where(F.coalesce(*(col(x) for x in xs)).isNotNull()), "observed")
     median, mad = center_and_mad(rows, xs)
     bare = lambda d: {k.split("_", 1)[1]: v for k, v in d.items()}
     if method != "robust_z":

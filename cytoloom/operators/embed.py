@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError, require
 from ..functions.columns import col
+from ..storage import stored
 from .correct import principal
+from .order import whole_quantiles
 from .prepare import KEYS, Prepared, available, with_support
 
 
@@ -42,10 +44,10 @@ def embedding_input(prepared: Prepared, scores: DataFrame | None = None) -> tupl
     base = with_support(prepared if scores is None else Prepared(scores, prepared.config, prepared.support))
     names = prepared.config.gated
     seen = base.select(*KEYS, *(F.when(available(m), col(f"score_{m}")).alias(f"x_{m}") for m in names))
-    row = seen.agg(*(F.median(col(f"x_{m}")).alias(f"m{k}") for k, m in enumerate(names))).first()
-    usable = [m for k, m in enumerate(names) if row[k] is not None]
+    seen = stored(seen, "observed")
+    fill = {m: q for m, (q,) in zip(names, whole_quantiles(seen, [f"x_{m}" for m in names], [0.5]).values(), strict=True)}
+    usable = [m for m in names if fill[m] is not None]
     require(usable, "no identity marker can be embedded", InputError)
-    fill = {m: row[k] for k, m in enumerate(names)}
     return seen.select(*KEYS, *(F.coalesce(col(f"x_{m}"), F.lit(fill[m])).alias(f"x_{m}") for m in usable)), usable
 
 
@@ -70,7 +72,9 @@ def normal_reference(sd: float, q1: float, q3: float, n: int) -> float:
 def grid_density(layout: DataFrame, grid: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, density): normal kernel density of (u1, u2) on a grid over its range, scaled to a maximum of 1, values
     below ``floor`` set to 0. Cells are dealt linearly to the four grid points around them before smoothing."""
-    row = layout.agg(F.count(F.lit(1)), *(f(c) for c in ("u1", "u2") for f in (F.min, F.max, F.stddev_samp)), *(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in ("u1", "u2"))).first()
+    layout = stored(layout.select("u1", "u2"), "layout")
+    row = layout.agg(F.count(F.lit(1)), *(f(c) for c in ("u1", "u2") for f in (F.min, F.max, F.stddev_samp))).first()
+    quartiles = whole_quantiles(layout, ["u1", "u2"], [0.25, 0.75])
     n, axes, steps, widths = row[0], [], [], []
     for k in range(2):
         low, high, sd = row[1 + 3 * k : 4 + 3 * k]
@@ -78,7 +82,7 @@ def grid_density(layout: DataFrame, grid: int, floor: float) -> tuple[np.ndarray
             low, high = low - 0.5, high + 0.5
         axes.append(np.linspace(low, high, grid))
         steps.append((high - low) / (grid - 1))
-        h = normal_reference(sd or 0.0, *row[7 + k], n)
+        h = normal_reference(sd or 0.0, *quartiles[f"u{k + 1}"], n)
         widths.append(h / 4 if np.isfinite(h) and h > 0 else 0.25)
     at = [(F.col(c) - F.lit(float(axes[k][0]))) / F.lit(steps[k]) for k, c in enumerate(("u1", "u2"))]
     cell = [F.least(F.lit(grid - 2), F.floor(a)).cast("int") for a in at]

@@ -1,8 +1,8 @@
 """Cell tables and their preparation: signal selection, transform, localization, raw support.
 
 A cell table is one wide DataFrame: image_id, cell_id, sample_id, x, y, extras, and a double column for each feature
-``<compartment>:<marker>:<statistic>``. Preparation is a single projection; support is one aggregation by image that
-reads the raw signals once, with a second for deviations from the medians.
+``<compartment>:<marker>:<statistic>``. Preparation is a single projection, stored once, as all later steps read it;
+support is aggregated by image, with quantiles that no task gathers whole (``order``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..errors import InputError, StructureError, require
 from ..functions.columns import LOCALIZATION_OFFSET, col, finite, finite_or_null, transformed
 from ..plans.config import Config
+from ..storage import small, stored
+from .order import quantiles
 
 KEYS = ["image_id", "cell_id"]
 
@@ -134,10 +136,9 @@ def prepare(cells: CellTable, config: Config, images: list[str] | None = None) -
     features = set(cells.features.values())
     kept = [col(c) for c in df.columns if c not in features]
     selected = df.select(*kept, *signal_columns(cells, config), *localization_columns(cells, config))
-    out = selected.select("*", *score_columns(config))
+    out = stored(selected.select("*", *score_columns(config)), "prepared")
     # images x markers rows: computed once and kept, as every later step asks for them
-    table = support_table(out, config)
-    return Prepared(out, config, df.sparkSession.createDataFrame(table.collect(), table.schema))
+    return Prepared(out, config, stored(support_table(out, config), "support"))
 
 
 SUPPORT_COLUMNS = ["image_id", "marker", "role", "status", "support", "details", "n_cells", "n_available", "fraction_unavailable", "sd", "mad", "fraction_mode", "q01", "q50", "q99"]
@@ -146,22 +147,24 @@ SUPPORT_COLUMNS = ["image_id", "marker", "role", "status", "support", "details",
 def support_table(df: DataFrame, config: Config) -> DataFrame:
     """One row for each image and marker: availability, spread and quantiles of the raw signal, and a status.
 
-    All markers are aggregated side by side, so the cells are not multiplied. Only signals whose MAD is zero are counted
-    value by value.
+    All markers are aggregated side by side, so the cells are not multiplied. ``df`` is read several times and should be
+    stored. Only signals whose MAD is zero are counted value by value.
     """
     names = config.markers()
-    stats = df.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("n_cells"),
-        *(F.struct(F.count(c := col(f"raw_{m}")).alias("n"), F.stddev_samp(c).alias("sd"), F.percentile(c, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q")).alias(f"s_{m}") for m in names),
-    )
-    medians = stats.select("image_id", *(col(f"s_{m}").getField("q").getItem(1).alias(f"med_{m}") for m in names))
-    spread = df.join(F.broadcast(medians), "image_id").groupBy("image_id").agg(*(F.median(F.abs(col(f"raw_{m}") - col(f"med_{m}"))).alias(f"mad_{m}") for m in names))
-    wide = stats.join(spread, "image_id")
-    long = wide.select("image_id", "n_cells", F.inline(F.array(*(F.struct(F.lit(m).alias("marker"), F.lit(config.marker(m).role).alias("role"), col(f"s_{m}").getField("n").alias("n_available"), col(f"s_{m}").getField("sd").alias("sd"), col(f"s_{m}").getField("q").alias("q"), col(f"mad_{m}").alias("mad"), F.lit(config.marker(m).support.max_unavailable).cast("double").alias("max_unavailable"), F.lit(config.marker(m).support.near_constant_mode_fraction).cast("double").alias("near"), F.lit(config.marker(m).support.min_cells).alias("min_cells")) for m in names))))
+    raw = [f"raw_{m}" for m in names]
+    sizes = df.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_cells"), *(F.stddev_samp(col(f"raw_{m}")).alias(f"sd_{m}") for m in names))
+    spots = quantiles(df, ["image_id"], raw, [0.01, 0.5, 0.99])
+    medians = spots.groupBy("image_id").agg(*(F.max(F.when(F.col("name") == r, F.col("q")[1])).alias(f"med_{m}") for r, m in zip(raw, names, strict=True)))
+    away = df.join(small(medians, spots.count()), "image_id").select("image_id", *(F.abs(col(r) - col(f"med_{m}")).alias(r) for r, m in zip(raw, names, strict=True)))
+    spread = quantiles(stored(away, "deviations"), ["image_id"], raw, [0.5]).select("image_id", "name", F.col("q")[0].alias("mad"))
+    rules = {m: (config.marker(m).role, config.marker(m).support) for m in names}
+    by_marker = df.sparkSession.createDataFrame([(f"raw_{m}", m, role, float(r.max_unavailable), float(r.near_constant_mode_fraction), r.min_cells) for m, (role, r) in rules.items()], "name string, marker string, role string, max_unavailable double, near double, min_cells long")
+    deviations = sizes.select("image_id", "n_cells", F.inline(F.array(*(F.struct(F.lit(f"raw_{m}").alias("name"), col(f"sd_{m}").alias("sd")) for m in names))))
+    long = deviations.join(spots.withColumnRenamed("n", "n_available"), ["image_id", "name"]).join(spread, ["image_id", "name"]).join(F.broadcast(by_marker), "name")
     flat = long.where("mad = 0").select("image_id", "marker")
     values = df.select("image_id", F.inline(F.array(*(F.struct(F.lit(m).alias("marker"), col(f"raw_{m}").alias("v")) for m in names)))).where("v is not null")
-    modes = values.join(F.broadcast(flat), ["image_id", "marker"], "left_semi").groupBy("image_id", "marker", "v").count().groupBy("image_id", "marker").agg(F.max("count").alias("mode_n"))
-    full = long.join(F.broadcast(modes), ["image_id", "marker"], "left")
+    modes = values.join(flat, ["image_id", "marker"], "left_semi").groupBy("image_id", "marker", "v").count().groupBy("image_id", "marker").agg(F.max("count").alias("mode_n"))
+    full = long.join(modes, ["image_id", "marker"], "left")
     unavailable = F.lit(1.0) - F.col("n_available") / F.col("n_cells")
     mode = F.col("mode_n") / F.col("n_available")
     cases = [
@@ -203,7 +206,7 @@ def with_support(prepared: Prepared) -> DataFrame:
     """The prepared cells with ok_<marker>: whether the marker is supported on the cell's image (one row for each image
     is broadcast)."""
     wide = prepared.support.groupBy("image_id").agg(*(F.bool_or(F.when(F.col("marker") == m, supported(F.col("status")))).alias(f"ok_{m}") for m in prepared.markers))
-    return prepared.df.join(F.broadcast(wide), "image_id")
+    return prepared.df.join(small(wide, prepared.support.count()), "image_id")
 
 
 def available(marker: str) -> Column:

@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError, LedgerError, StateError, check_text, require
 from ..functions.canonical import canonical, sha256
-from ..functions.columns import in_box
+from ..functions.columns import col, in_box
 from ..plans.config import DECISIONS, Config
-from .classify import Classification, classify
+from ..storage import small
+from .classify import Classification, classify, cut_row, disabled_rules, label_names, labelled
 from .components import checkpoint_ready
 from .prepare import KEYS, Prepared
-from .states import StateCalls, in_labels, min_ratio, positive
+from .states import StateCalls, evaluable, in_labels, min_ratio, pairs, positive, ratio_of
 from .structures import Structures
-from .thresholds import Thresholds
+from .thresholds import Thresholds, validate_thresholds
 
 PREFIX = {"cut": "CL", "structure": "ER", "disposition": "XR", "state": "SL"}
 COMMON = "sequence int, order int, entry_id string, time_utc string, reviewer string, image_id string, reason string, reverts string"
@@ -237,11 +238,15 @@ class Replayed:
 def effective_thresholds(base: Thresholds, rows: list[Row]) -> Thresholds:
     """Cuts with the last active row of each; details name the entry."""
     out = [dict(r) for r in base.rows]
+    places: dict[tuple[str, str], list[int]] = {}
+    for k, t in enumerate(out):
+        if t["parent"] is None:
+            places.setdefault((t["image_id"], t["marker"]), []).append(k)
     for r in rows:
-        hits = [t for t in out if (t["image_id"], t["marker"], t["parent"]) == (r["image_id"], r["marker"], None)]
+        hits = places.get((r["image_id"], r["marker"]), [])
         require(len(hits) == 1, "a reviewed cut must name exactly one threshold", LedgerError)
-        hits[0].update(estimate=r["new_estimate"], status="MANUAL", method="manual", rule="manual", args_json=canonical({"value": r["new_estimate"]}), details=f"Manual threshold set by review action {r['entry_id']}.")
-    return Thresholds(tuple(out), base.evidence, base.config_digest)
+        out[hits[0]].update(estimate=r["new_estimate"], status="MANUAL", method="manual", rule="manual", args_json=canonical({"value": r["new_estimate"]}), details=f"Manual threshold set by review action {r['entry_id']}.")
+    return replace(base, rows=tuple(out))
 
 
 def last_decision(cells: DataFrame, rows: list[Row], value: str, hit: Callable[[Row], Column]) -> Column:
@@ -266,32 +271,39 @@ def decided(cells: DataFrame, rows: list[Row], value: str, single: str, schema:
     log = spark.createDataFrame([(r["image_id"], r["order"], r[single], r["xmin"], r["xmax"], r["ymin"], r["ymax"], r[value]) for r in rows], "l_image string, l_order int, l_single string, xmin double, xmax double, ymin double, ymax double, l_value string")
     inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
     named = F.when(F.col("l_single").isNotNull(), F.col("l_single") == F.col(single)).otherwise(inside)
-    hits = cells.join(F.broadcast(log), (F.col("image_id") == F.col("l_image")) & F.coalesce(named, F.lit(False)))
+    hits = cells.join(small(log, len(rows)), (F.col("image_id") == F.col("l_image")) & F.coalesce(named, F.lit(False)))
     newest = hits.groupBy(*KEYS).agg(F.max_by("l_value", "l_order").alias(value))
     return cells.join(newest, KEYS, "left")
 
 
-def refine(cells: DataFrame, states: DataFrame, config: Config) -> DataFrame:
-    """Refinements in their order: analysed cells with the label and an enabled positive state are relabelled. The states
-    of all refinements come by one join."""
+def relabelled(cells: DataFrame, config: Config, on: Callable[[str, str], Column]) -> DataFrame:
+    """Refinements in their order: analysed cells with the label and an enabled positive state are relabelled."""
+    label = F.col("cell_type")
+    for r in config.refinements:
+        label = F.when(F.coalesce(on(r.marker, r.parent), F.lit(False)) & (label == r.from_label) & F.col("analysed"), F.lit(r.to_label)).otherwise(label)
+    return cells.withColumn("cell_type", label)
+
+
+def refine(cells: DataFrame, config: Config) -> DataFrame:
+    """Refinements by the states that the rows hold."""
+    return relabelled(cells, config, lambda m, p: F.exists("_states", lambda s: (s.marker == m) & (s.parent == p) & s.enabled & s.positive))
+
+
+def refine_joined(cells: DataFrame, states: DataFrame, config: Config) -> DataFrame:
+    """Refinements by a long table of states, joined once for all."""
     if not config.refinements:
         return cells
     keys = list(dict.fromkeys((r.marker, r.parent) for r in config.refinements))
     on = F.col("enabled") & F.col("positive")
     wide = states.where(on).groupBy(*KEYS).agg(*(F.bool_or((F.col("marker") == m) & (F.col("parent") == p)).alias(f"_r{k}") for k, (m, p) in enumerate(keys)))
-    joined = cells.join(wide, KEYS, "left")
-    label = F.col("cell_type")
-    for r in config.refinements:
-        label = F.when(F.coalesce(F.col(f"_r{keys.index((r.marker, r.parent))}"), F.lit(False)) & (label == r.from_label) & F.col("analysed"), F.lit(r.to_label)).otherwise(label)
-    return joined.withColumn("cell_type", label).select(*cells.columns)
+    return relabelled(cells.join(wide, KEYS, "left"), config, lambda m, p: F.col(f"_r{keys.index((m, p))}"))
 
 
 def replay(r: Review) -> Replayed:
     validate_ledgers(r)
     config, h = r.config, r.config.hierarchy
     cuts = effective_thresholds(r.thresholds, active(r.ledgers, "cut"))
-    new = classify(r.prepared, cuts, r.scores, quiet=True)
-    cells = new.df.join(r.prepared.df.select(*KEYS, "x", "y"), KEYS).join(r.classification.df.select(*KEYS, F.col("cell_type").alias("base_cell_type")), KEYS)
+    cells, disabled = reclassified(r, cuts)
     cells = cells.join(r.structures.cells, KEYS, "left") if r.structures else cells.withColumn("structure_id", F.lit(None).cast("string"))
     cells = decided(cells, active(r.ledgers, "structure"), "decision", "structure_id", SCHEMAS["structure"]).withColumnRenamed("decision", "structure_decision")
     label, pending = F.col("cell_type"), F.col("pending_review")
@@ -308,26 +320,74 @@ def replay(r: Review) -> Replayed:
     cells = cells.withColumn("disposition_effective", effective).drop("disposition").withColumn("analysed", ~F.col("excluded") & (F.col("disposition_effective") == "NONE"))
     states = None
     if r.states:
-        states = effective_states(r, cells)
-        cells = refine(cells, states, config)
-    return Replayed(cells, states, cuts, new.disabled)
+        if r.states.scores is r.scores:
+            cells = with_states(r, cells)
+            states = cells.select(*KEYS, F.inline("_states"))
+            cells = refine(cells, config)
+        else:
+            states = effective_states(r, cells)
+            cells = refine_joined(cells, states, config)
+    return Replayed(cells.select(*KEYS, "x", "y", *label_names(config), "base_cell_type", "structure_id", "structure_decision", "disposition_effective", "analysed"), states, cuts, disabled)
 
 
-def effective_states(r: Review, cells: DataFrame) -> DataFrame:
-    """in_parent and positive from effective labels and base estimates; enablement and cuts from the active rows. Base
-    evaluability stays, so a manual cut cannot create support."""
+def reclassified(r: Review, cuts: Thresholds) -> tuple[DataFrame, tuple[Row, ...]]:
+    """All prepared columns with the labels of the effective cuts and base_cell_type. The base classification brings its
+    rows along, so both labels come from one row; only a classification of other scores is joined by key."""
     config = r.config
-    log = active(r.ledgers, "state")
+    if r.classification.scores is not r.scores:
+        new = classify(r.prepared, cuts, r.scores, quiet=True)
+        return new.full.join(r.classification.df.select(*KEYS, F.col("cell_type").alias("base_cell_type")), KEYS), new.disabled
+    require(cuts.config_digest == config.digest(), "thresholds belong to another configuration", StateError)
+    validate_thresholds(r.prepared, cuts)
+    by_image = cut_row(r.prepared, cuts)
+    off = disabled_rules(config, by_image)
+    made = {f"{kind}_{m}" for kind in ("cut", "call") for m in config.gated} | {f"on_{k}" for k in range(len(config.hierarchy.rules))} | set(label_names(config))
+    base = r.classification.full
+    kept = [col(c) for c in base.columns if c not in made]
+    return labelled(base.select(*kept, F.col("cell_type").alias("base_cell_type")), config, by_image, off), tuple(off)
+
+
+def state_decisions(r: Review) -> dict[tuple[str, str, str], dict[str, Any]]:
+    """(image, marker, parent) -> enabled and cut (None: the base one), of the active rows."""
     last: dict[tuple[str, str, str], dict[str, Any]] = {}
-    for row in log:
+    for row in active(r.ledgers, "state"):
         slot = last.setdefault((row["image_id"], row["marker"], row["parent"]), {"enabled": False, "cut": None})
         if row["action"] == "SET_CUT":
             slot["cut"] = row["new_estimate"]
         else:
             slot["enabled"] = row["action"] == "ENABLE"
-    spark = cells.sparkSession
-    table = spark.createDataFrame([(*k, v["enabled"], v["cut"]) for k, v in last.items()], "image_id string, marker string, parent string, l_enabled boolean, l_cut double")
-    base = r.states.df.drop("in_parent", "positive", "enabled").join(cells.select(*KEYS, "cell_type"), KEYS).join(F.broadcast(table), ["image_id", "marker", "parent"], "left")
+    return last
+
+
+def with_states(r: Review, cells: DataFrame) -> DataFrame:
+    """``cells`` with _states, an array of the effective states of each state marker and parent: in_parent and positive from
+    effective labels and cuts; evaluability is the row's own, so a manual cut cannot create support."""
+    config = r.config
+    every = pairs(config)
+    decisions = state_decisions(r)
+    base = {(t["image_id"], t["marker"], t["parent"]): t["estimate"] for t in r.states.rows}
+    rows = []
+    for image in sorted(r.images):
+        slots = [decisions.get((image, m, p), {"enabled": False, "cut": None}) for m, p in every]
+        rows.append((image, *(s["cut"] if s["cut"] is not None else base.get((image, m, p)) for s, (m, p) in zip(slots, every, strict=True)), *(s["enabled"] for s in slots)))
+    schema = ", ".join(["_image string", *(f"_estimate_{k} double" for k in range(len(every))), *(f"_enabled_{k} boolean" for k in range(len(every)))])
+    joined = cells.join(small(r.spark.createDataFrame(rows, schema), len(rows)), F.col("image_id") == F.col("_image"), "left")
+    parts = []
+    for k, (marker, parent) in enumerate(every):
+        inside, fit, score, ratio = in_labels(F.col("cell_type"), config, [parent]), evaluable(config, marker), col(f"score_{marker}"), ratio_of(config, marker)
+        cut = F.col(f"_estimate_{k}")
+        up = F.coalesce(fit & inside & (ratio >= F.lit(min_ratio(config, marker))) & cut.isNotNull() & (score >= cut), F.lit(False))
+        parts.append(F.struct(F.lit(marker).alias("marker"), F.lit(parent).alias("parent"), inside.alias("in_parent"), fit.alias("evaluable"), score.alias("score"), cut.alias("estimate"), ratio.alias("localization_ratio"), up.alias("positive"), F.coalesce(F.col(f"_enabled_{k}"), F.lit(False)).alias("enabled")))
+    return joined.withColumn("_states", F.array(*parts))
+
+
+def effective_states(r: Review, cells: DataFrame) -> DataFrame:
+    """in_parent and positive from effective labels and base estimates; enablement and cuts from the active rows. Base
+    evaluability stays, so a manual cut cannot create support."""
+    config = r.config
+    last = state_decisions(r)
+    table = small(cells.sparkSession.createDataFrame([(*k, v["enabled"], v["cut"]) for k, v in last.items()], "image_id string, marker string, parent string, l_enabled boolean, l_cut double"), len(last))
+    base = r.states.df.drop("in_parent", "positive", "enabled").join(cells.select(*KEYS, "cell_type"), KEYS).join(table, ["image_id", "marker", "parent"], "left")
     inside, ratio = F.lit(False), F.lit(0.0)
     for parent in config.parent_sets:
         inside = F.when(F.col("parent") == parent, in_labels(F.col("cell_type"), config, [parent])).otherwise(inside)

@@ -14,6 +14,7 @@ from ..errors import StateError, require
 from ..functions.columns import col, finite
 from ..plans.config import Config
 from ..session import ready
+from ..storage import small
 from . import estimators as est
 from .classify import Classification
 from .prepare import KEYS, Prepared, available, support_map, with_support
@@ -23,11 +24,13 @@ from .thresholds import COLUMNS, RESULT, SCHEMA, _row, collected, points, result
 @dataclass(frozen=True)
 class StateCalls:
     """df: keys, marker, parent, in_parent, evaluable, score, estimate, localization_ratio, positive, enabled.
-    rows: thresholds by image, marker and parent, on the driver."""
+    rows: thresholds by image, marker and parent, on the driver. ``scores`` is the corrected table that they were made
+    from, if any."""
 
     df: DataFrame
     rows: tuple[dict[str, Any], ...]
     config: Config
+    scores: DataFrame | None = None
 
     def thresholds(self) -> DataFrame:
         return self.df.sparkSession.createDataFrame([tuple(r[c] for c in COLUMNS) for r in self.rows], SCHEMA)
@@ -57,8 +60,11 @@ def long_states(prepared: Prepared, classification: Classification, scores: Data
     compared with.
     """
     config = prepared.config
-    base = with_support(prepared if scores is None else Prepared(scores, config, prepared.support))
-    joined = base.join(classification.df.select(*KEYS, "cell_type"), KEYS)
+    if classification.scores is scores:
+        joined = classification.full
+    else:
+        base = with_support(prepared if scores is None else Prepared(scores, config, prepared.support))
+        joined = base.join(classification.df.select(*KEYS, "cell_type"), KEYS)
     label = F.col("cell_type")
     parts = []
     for marker, parent in pairs(config):
@@ -68,15 +74,22 @@ def long_states(prepared: Prepared, classification: Classification, scores: Data
         pool = in_labels(label, config, list(m.parents)) if args.get("pooled") and len(m.parents) > 1 else inside
         reference = args.get("reference", "rest")
         rest = ~pool if reference == "rest" else in_labels(label, config, [reference]) & ~pool
-        ratio = col(f"ratio_{marker}") if m.localization else F.lit(1.0)
-        located = F.coalesce(col(f"located_{marker}"), F.lit(False)) if m.localization else F.lit(True)
-        score = col(f"score_{marker}")
         supported = F.coalesce(col(f"ok_{marker}"), F.lit(False))
-        parts.append(F.struct(F.lit(marker).alias("marker"), F.lit(parent).alias("parent"), inside.alias("in_parent"), pool.alias("for_estimate"), rest.alias("reference"), supported.alias("supported"), (supported & available(marker) & located & finite(ratio) & finite(score)).alias("evaluable"), score.alias("score"), ratio.alias("localization_ratio"), F.lit(min_ratio(config, marker)).alias("min_ratio")))
+        parts.append(F.struct(F.lit(marker).alias("marker"), F.lit(parent).alias("parent"), inside.alias("in_parent"), pool.alias("for_estimate"), rest.alias("reference"), supported.alias("supported"), evaluable(config, marker).alias("evaluable"), col(f"score_{marker}").alias("score"), ratio_of(config, marker).alias("localization_ratio"), F.lit(min_ratio(config, marker)).alias("min_ratio")))
     require(parts, "the panel has no state markers", StateError)
     return joined.select(*KEYS, "cell_type", F.inline(F.array(*parts)))
 
 
+def ratio_of(config: Config, marker: str) -> Column:
+    return col(f"ratio_{marker}") if config.marker(marker).localization else F.lit(1.0)
+
+
+def evaluable(config: Config, marker: str) -> Column:
+    """Whether the row's own measurement can be called: support, a score, and a localization ratio where asked for."""
+    located = F.coalesce(col(f"located_{marker}"), F.lit(False)) if config.marker(marker).localization else F.lit(True)
+    return F.coalesce(col(f"ok_{marker}"), F.lit(False)) & available(marker) & located & finite(ratio_of(config, marker)) & finite(col(f"score_{marker}"))
+
+
 def estimate_states(long: DataFrame, config: Config, status: dict[tuple[str, str], tuple[str, str]]) -> list[dict[str, Any]]:
     """Threshold rows of all images, state markers and parents."""
     images = sorted({i for i, _ in status})
@@ -128,7 +141,7 @@ def estimate_states(long: DataFrame, config: Config, status: dict[tuple[str, str
 def call_states(long: DataFrame, rows: list[dict[str, Any]]) -> DataFrame:
     """The long table with estimates joined (broadcast: images x pairs rows) and positivity; nothing is enabled yet."""
     cuts = long.sparkSession.createDataFrame([(r["image_id"], r["marker"], r["parent"], r["estimate"] if r["status"] in ("CALLABLE", "MANUAL") else None, r["estimate"]) for r in rows], "image_id string, marker string, parent string, cut double, estimate double")
-    joined = long.join(F.broadcast(cuts), ["image_id", "marker", "parent"], "left")
+    joined = long.join(small(cuts, len(rows)), ["image_id", "marker", "parent"], "left")
     return joined.select(*KEYS, "marker", "parent", "in_parent", "evaluable", "score", "estimate", "localization_ratio", positive(F.col("cut")).alias("positive"), F.lit(False).alias("enabled"))
 
 
@@ -140,7 +153,7 @@ def state_calls(prepared: Prepared, classification: Classification, scores: Data
     require(classification.config.digest() == prepared.config.digest(), "inputs do not share a configuration", StateError)
     long = long_states(prepared, classification, scores)
     rows = estimate_states(long, prepared.config, support_map(prepared))
-    return StateCalls(call_states(long, rows), tuple(rows), prepared.config)
+    return StateCalls(call_states(long, rows), tuple(rows), prepared.config, scores)
 
 
 def completeness(states: DataFrame, cells: DataFrame, config: Config) -> DataFrame:

@@ -9,6 +9,7 @@ most POINTS rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 import pandas as pd
@@ -43,9 +44,16 @@ class Thresholds:
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in self.rows], SCHEMA)
 
+    @cached_property
+    def by_key(self) -> dict[tuple[str, str, str | None], list[dict[str, Any]]]:
+        out: dict[tuple[str, str, str | None], list[dict[str, Any]]] = {}
+        for r in self.rows:
+            out.setdefault((r["image_id"], r["marker"], r["parent"]), []).append(r)
+        return out
+
     def lookup(self, image: str, marker: str, parent: str | None = None) -> dict[str, Any] | None:
         """The row of an image, marker and parent; None where there isn't exactly one."""
-        found = [r for r in self.rows if (r["image_id"], r["marker"], r["parent"]) == (image, marker, parent)]
+        found = self.by_key.get((image, marker, parent), [])
         return found[0] if len(found) == 1 else None
 
     def cut(self, image: str, marker: str) -> float | None:

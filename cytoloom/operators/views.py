@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import require
 from ..functions.columns import col
+from .classify import Classification
 from .embed import Embedding
 from .prepare import KEYS, Prepared, available, with_support
 from .thresholds import Thresholds, density_table, evidence_frame
@@ -32,11 +33,14 @@ def map_view(cells: DataFrame, image: str, label: str = "cell_type", structures:
     return out.join(structures.select(*KEYS, "structure_id"), KEYS, "left") if structures is not None else out
 
 
-def dotplot(prepared: Prepared, cells: DataFrame, markers: list[str] | None = None) -> DataFrame:
+def dotplot(prepared: Prepared, cells: DataFrame | Classification, markers: list[str] | None = None) -> DataFrame:
     """(image_id, marker, cell_type, mean_score, n_observed): one aggregation, every group kept, mean NULL where nothing
-    was observed."""
+    was observed. A classification of the prepared scores brings its labels along; a table of labels is joined by key."""
     markers = markers or prepared.config.gated
-    joined = with_support(prepared).join(cells.select(*KEYS, "cell_type"), KEYS)
+    if isinstance(cells, Classification):
+        joined = cells.full if cells.scores is None else with_support(prepared).join(cells.df.select(*KEYS, "cell_type"), KEYS)
+    else:
+        joined = with_support(prepared).join(cells.select(*KEYS, "cell_type"), KEYS)
     seen = {m: F.when(available(m), col(f"score_{m}")) for m in markers}
     wide = joined.groupBy("image_id", "cell_type").agg(*(F.struct(F.avg(c).alias("mean_score"), F.count(c).alias("n_observed")).alias(f"s_{m}") for m, c in seen.items()))
     rows = F.array(*(F.struct(F.lit(m).alias("marker"), col(f"s_{m}").getField("mean_score").alias("mean_score"), col(f"s_{m}").getField("n_observed").alias("n_observed")) for m in markers))
