@@ -7,10 +7,12 @@ ROWS minima, and a pair that shares a band is compared exactly on its shingles (
 with a probability of 0.672 ** 30, about 1 in 150,000; more similar pairs are missed more rarely still.
 
 A band's members never form all their pairs at once. First each meets the smallest and the largest of its band, so a
-large family of near copies costs two comparisons for a member and band. Then the members that are still in other
-components than most of their band meet its members: directly where they are FEW at most. Where they are more (texts that
-share a long passage and little else) the search goes by prefixes instead: of n shingles two similar texts of a crowd
-have one in common among each one's n - ceil(0.8 n) + 1 rarest (Bayardo, Ma, Srikant 2007), which is exact, and a passage that many share is not rare.
+large family of near copies costs two comparisons for a member and band. Then, in bands whose members are not all of one
+component, those outside the most frequent component meet the others: all of them in bands of FEW members. In larger ones
+(texts around one original, of which the outer are near nobody, or texts that share a long passage) the search goes by
+prefixes and positions (Bayardo, Ma, Srikant 2007; Xiao et al. 2008), which is exact: with shingles in the order of their frequency, two
+similar texts have their first common one so early in both that enough can follow. What a text shares with nobody
+comes first, so an outer text meets no one, and a passage that many share comes last.
 Before the exact comparison pairs go that cannot be similar by their numbers of shingles, or whose minima agree in less
 than ROUGH of BANDS * ROWS places (six deviations below 0.8).
 
@@ -113,27 +115,33 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _mixed(groups: DataFrame) -> DataFrame:
-    """``groups`` (part, key, label) of which not all members have one label, with minor (whether the label isn't the
-    part's most frequent) and minors (how many such members the part has)."""
+    """``groups`` (part, key, label, ...) of which not all members have one label, with minor (whether the label isn't the
+    part's most frequent) and members (how many the part has)."""
     tallies = groups.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = tallies.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"), (F.sum("n") - F.max("n")).alias("minors")).where("labels > 1")
-    return groups.join(major, "part").select("part", "key", "label", (F.col("label") != F.col("major")).alias("minor"), "minors")
+    major = tallies.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("members")).where("labels > 1").drop("labels")
+    return groups.join(major, "part").withColumn("minor", F.col("label") != F.col("major")).drop("major")
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of members of a part with different labels: each minor member with all others."""
-    minor = mixed.where("minor").selectExpr("part", "key as x", "label as lx")
-    pairs = minor.join(mixed.selectExpr("part", "key as y", "label as ly"), "part").where("lx <> ly")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _across(mixed: DataFrame, possible: str = "true") -> DataFrame:
+    """Pairs (a, b), a < b, of members of a part with different labels: each minor member with all others for which
+    ``possible`` holds, SQL over the columns of x and y."""
+    named = lambda df, side: df.select("part", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in ("part", "minor", "members")))
+    pairs = named(mixed.where("minor"), "x").join(named(mixed, "y"), "part").where(f"label_x <> label_y and {possible}")
+    return pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
 
 
 def _rarest(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """(part, key, label): the rarest shingles of each of ``crowd`` (key, label), as many as similar texts must share one of."""
+    """(part, key, label, n, place): the rarest shingles of each of ``crowd`` (key, label) that others have too, with their
+    places in the order of frequency, up to the last place at which a similar text's first common shingle can be."""
     least, of = SIMILAR
     spread = crowd.join(sets.select("key", "n", "members"), "key").select("key", "label", "n", F.explode("members").alias("part"))
     counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("times"))
     ranked = spread.join(counts, "part").selectExpr("*", "row_number() over (partition by key order by times, part) as place")
-    return ranked.where(f"place <= n - (({least} * n + {of - 1}) div {of}) + 1 and times > 1").select("part", "key", "label")
+    return ranked.where(f"place <= n - (({least} * n + {of - 1}) div {of}) + 1 and times > 1").select("part", "key", "label", "n", "place")
+
+
+#: Over n and place of two texts: whether what follows their common shingle can make them similar.
+IN_TIME = f"(1 + least(n_x - place_x, n_y - place_y)) * {sum(SIMILAR)} >= {SIMILAR[0]} * (n_x + n_y)"
 
 
 def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
@@ -157,8 +165,8 @@ def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
     labels = simhash.components(first)
     placed = full.where("key <> low and key <> high").join(labels, full.key == labels.node, "left").select("part", "key", F.coalesce("label", "key").alias("label"))
     mixed = stored(_mixed(placed), "near-mixed")
-    pairs = _across(mixed.where(F.col("minors") <= FEW))
-    crowd = mixed.where(F.col("minors") > FEW).select("key", "label").distinct()
+    pairs = _across(mixed.where(F.col("members") <= FEW))
+    crowd = mixed.where(F.col("members") > FEW).select("key", "label").distinct()
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(_across(stored(_mixed(_rarest(crowd, sets)), "near-rarest"))).distinct()
+        pairs = pairs.unionByName(_across(stored(_mixed(_rarest(crowd, sets)), "near-rarest"), IN_TIME)).distinct()
     return first.unionByName(_similar(pairs, sets))

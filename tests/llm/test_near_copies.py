@@ -88,3 +88,27 @@ def test_a_crowd_that_shares_a_passage_is_searched_by_rare_shingles(spark, monke
                 label = [label[j] if x == label[i] else x for x in label]
     assert [found[k] for k in range(len(texts))] == label and len(set(label)) == 150
     assert seen[-1] < 150 * 149 / 8
+
+
+def test_texts_around_one_original(spark, monkeypatch):
+    """A ball of edited copies, the outer ones near nobody: the components of all pairs, without comparing all pairs."""
+    seen = []
+    similar_pairs = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, sets: (seen.append(pairs.count()), similar_pairs(pairs, sets))[1])
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(146)]
+    texts = []
+    for _ in range(260):
+        words = list(base)
+        for k in rng.sample(range(146), rng.randrange(0, 16)):
+            words[k] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets, prints, label = [shingles(t) for t in texts], [simhash.fingerprint(t.encode()) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    found = components_of(spark, texts)
+    assert [found[k] for k in range(len(texts))] == label and 20 < len(set(label)) < 240
+    assert seen[-1] < 260 * 20
