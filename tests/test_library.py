@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cytoloom import errors
 from cytoloom.functions.canonical import canonical, parse_double, parse_integer, table_digest
 from cytoloom.operators import classify as cl
-from cytoloom.operators import correct, embed, estimators as est, fixed, review, snapshot, states, structures, views
+from cytoloom.operators import correct, embed, estimators as est, fixed, order, review, snapshot, states, structures, views
 from cytoloom.operators import thresholds as th
 from cytoloom.operators.prepare import cell_table, prepare, validate_cells
 from cytoloom.plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, read_config, signal_policy, validate, write_config
@@ -229,6 +229,79 @@ def test_structures_with_a_tie(spark):
     assert none.table.count() == 0 and none.cells.where("structure_id is not null").count() == 0
 
 
+def slow_eps(xy, low, high, min_pts):
+    n = len(xy)
+    if n < 2:
+        return high
+    d = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), axis=1)[:, min(max(1, min_pts - 1), n - 1)]
+    return min(high, max(low, np.quantile(d, 0.95)))
+
+
+def slow_clusters(xy, eps, min_pts):
+    """Clusters of points in order, named by their first core point; -1 for none."""
+    near = ((xy[:, None] - xy[None]) ** 2).sum(-1) <= eps * eps
+    core, label = near.sum(1) >= min_pts, [-1] * len(xy)
+    for i in range(len(xy)):
+        stack = [i] if core[i] and label[i] < 0 else []
+        while stack:
+            p = stack.pop()
+            if label[p] < 0:
+                label[p] = i
+                stack += [q for q in np.flatnonzero(near[p]) if core[q]]
+    return [label[i] if core[i] else min((label[q] for q in np.flatnonzero(near[i]) if core[q]), default=-1) for i in range(len(xy))]
+
+
+def test_structures_against_all_pairs(spark):
+    """Dense spots, coincident cells, a lattice with ties, an outlier behind the quantile, and eps = 0."""
+    rng = np.random.default_rng(3)
+    images = {
+        "eleven": np.array([[10.0 * k, 0] for k in range(10)] + [[190.0, 0]]), "far": np.array([[0.0, 0], [10, 0], [30, 0], [1030, 0]]), "same": np.zeros((30, 2)), "one": np.zeros((1, 2)), "two": np.array([[0.0, 0], [7, 0]]),
+        "dense": np.vstack([rng.random((200, 2)) * 4, rng.random((60, 2)) * 200, [[12.0, 2.0]]]), "lattice": np.array([[i * 5.0, j * 5.0] for i in range(9) for j in range(9)]),
+        "mix": np.vstack([rng.normal(size=(80, 2)) * 3, rng.normal(size=(80, 2)) * 3 + [14, 0], np.zeros((20, 2)) - 50, rng.random((40, 2)) * 100]),
+    }
+    images = {name: xy[np.lexsort((xy[:, 1], xy[:, 0]))] for name, xy in images.items()}
+    rows = [(name, f"{k:04d}", float(x), float(y), 1000 * n + k) for n, (name, xy) in enumerate(images.items()) for k, (x, y) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "image_id string, id string, x double, y double, ord long").cache()
+    for low, high, min_pts in ((1.0, 30.0, 2), (0.0, 30.0, 4), (2.0, 12.0, 3)):
+        found = structures.eps_by_image(df, low, high, min_pts)
+        assert all(math.isclose(found[name], slow_eps(xy, low, high, min_pts), rel_tol=1e-9, abs_tol=1e-12) for name, xy in images.items())
+    assert structures.eps_by_image(df.where("image_id = 'eleven'"), 1.0, 30.0, 2) == {"eleven": 30.0}
+    for eps, min_pts in ((5.0, 4), (0.0, 3), (8.0, 10)):
+        got = {(r.image_id, r.id): r.cluster for r in structures.dbscan(df.withColumn("eps", F.lit(eps)), min_pts).collect()}
+        want = {(name, f"{k:04d}"): 1000 * n + c for n, (name, xy) in enumerate(images.items()) for k, c in enumerate(slow_clusters(xy, eps, min_pts)) if c >= 0}
+        assert got == want
+    cells = df.withColumnRenamed("id", "cell_id").withColumn("pending_review", F.lit(True)).where("image_id = 'same'")
+    assert structures.structures(cells, 0.0, 30.0, 10, 20).table.first().n_cells == 30
+
+
+def test_dense_squares_that_only_edges_connect(spark):
+    """Two dense squares near each other by one pair of members only, which the chosen members do not show."""
+    rng = np.random.default_rng(8)
+    left, right = rng.random((40, 2)) * 0.3, rng.random((40, 2)) * 0.3 + [1.0, 0.0]
+    for gap, clusters in ((0.99, 1), (1.01, 2)):
+        xy = np.vstack([left - [left[:, 0].max(), 0], right - [right[:, 0].min(), 0] + [gap, 0]])
+        xy[left[:, 0].argmax(), 1] = xy[40 + right[:, 0].argmin(), 1] = 0.15
+        xy = xy[np.lexsort((xy[:, 1], xy[:, 0]))]
+        df = spark.createDataFrame([("I", f"{k:03d}", float(x), float(y), 1.0, k) for k, (x, y) in enumerate(xy)], "image_id string, id string, x double, y double, eps double, ord long")
+        got = {int(r.id): r.cluster for r in structures.dbscan(df, 5).collect()}
+        assert [got[k] for k in range(80)] == slow_clusters(xy, 1.0, 5) and len(set(got.values())) == clusters
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """Every way of ``order.quantiles`` against numpy: NULL keys, empty and single values, ties, cut brackets."""
+    rng = np.random.default_rng(1)
+    rows = [(g, float(x), float(y) if y else None, None) for g, n in (("a", 2000), ("b", 1), ("c", 40), (None, 300)) for x, y in zip(rng.lognormal(size=n), rng.integers(0, 5, n))] + [("z", None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    probs = [0, 0.01, 0.25, 0.5, 0.95, 0.999, 1]
+    for limit in (None, 50_000, 60, 7):
+        out = {(r.g, r.name): (r.n, r.q) for r in order.quantiles(df, ["g"], ["x", "y", "z"], probs, limit).collect()}
+        assert len(out) == 15
+        for (g, c), (n, q) in out.items():
+            v = [r["xyz".index(c) + 1] for r in rows if r[0] == g and r["xyz".index(c) + 1] is not None and not math.isnan(r["xyz".index(c) + 1])]
+            assert n == len(v) and (np.allclose(q, np.quantile(v, probs), rtol=1e-12) if v else q == [None] * 7)
+    assert order.whole_quantiles(df, ["x", "z"], [0.5]) == {"x": [float(np.median([r[1] for r in rows if r[1]]))], "z": [None]}
+
+
 def test_basins(spark):
     layout = spark.createDataFrame([(0.1, 0.1), (0.2, 0.3), (1.2, 0.2), (1.5, 1.9)], "u1 double, u2 double")
     labels = np.array([[1, 0], [2, 2]])
