@@ -13,7 +13,8 @@ a measure. Texts that fail the base rule on length are noise and no part of the
 
 The sketches are groupBy counts: they merge in any order and always give the same result, and everything after the
 buckets is whole-number arithmetic. A group with fewer than MIN_ROWS such texts takes its language's sketch, then the one
-of all rows; where that is empty too, no text has passed the base rules. Thresholds come back by a null-safe join.
+of all rows; where that is empty too, no text has passed the base rules. Texts are measured once: the measures are stored with
+the columns that are to come back, sketched from there, and meet their group's thresholds in a null-safe join.
 
 Nulls: a null text has no words (so it fails the base rules); a null lang or source is a group of its own. Repeated
 rows are judged alike, each for itself. Extra columns pass through. An empty table gives no rows.
@@ -81,11 +82,10 @@ def buckets() -> dict[str, Column]:
     return {m: F.when(F.col("n_words") > 0, F.ceil(F.log(F.expr(sql)) / F.lit(LOG_GAMMA)).cast("int")) for m, sql in MEASURES.items()}
 
 
-def sketches(df: DataFrame) -> DataFrame:
-    """(_lang, _source, measure, bucket, n): the sketch of each measure for each language and source of ``df`` (text,
-    _lang, _source)."""
-    pairs = [F.struct(F.lit(m).alias("measure"), c.alias("bucket")) for m, c in buckets().items()]
-    long = line_measures(df).where(F.col("n_words") >= MIN_WORDS).select("_lang", "_source", F.inline(F.array(*pairs)))
+def sketches(measured: DataFrame) -> DataFrame:
+    """(_lang, _source, measure, bucket, n): the sketch of each measure for each language and source."""
+    pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("bucket")) for m in MEASURES]
+    long = measured.where(F.col("n_words") >= MIN_WORDS).select("_lang", "_source", F.inline(F.array(*pairs)))
     return long.groupBy("_lang", "_source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,26 +124,27 @@ def all_of(tests: list[Column]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and
+    kept.
 
     Columns of docs that have one of these names come out under it with underscores in front.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    carried = [f"_c{k}" for k in range(len(docs.columns))]
-    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carried, strict=True)), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
+    keep = docs.columns if keep is None else keep
+    carried = [f"_c{k}" for k in range(len(keep))]
+    inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, carried, strict=True)), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
+    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(c.alias(m) for m, c in buckets().items())]
+    measured = stored(repeat_words(line_measures(inner)).select(*carried, "_lang", "_source", *numbers), "measured")
     # a few rows for each source; stored, their size is known, and Spark broadcasts them if it is small
-    limits = stored(thresholds(stored(sketches(inner), "sketches"), inner.select("_lang", "_source").distinct()), "limits").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
-    numbers = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(c.alias(m) for m, c in buckets().items()))
-    # the generator keeps later filters above it; pushed below, they would repeat the sort for every word
-    measured = repeat_words(line_measures(inner)).select(*carried, "_lang", "_source", F.inline(F.array(numbers)))
+    limits = stored(thresholds(stored(sketches(measured), "sketches"), measured.select("_lang", "_source").distinct()), "limits").withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     joined = measured.join(limits, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within = [F.col(m) <= F.col(f"high_{m}") for m in MEASURES] + [F.col(m) >= F.col(f"low_{m}") for m in LOWER]
     ruled = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(all_of(within), F.lit(False)))
     taken = {c.lower() for c in added}
     names = []
-    for c, n in zip(docs.columns, carried, strict=True):
+    for c, n in zip(keep, carried, strict=True):
         out = c
         while out.lower() in taken:
             out = f"_{out}"
@@ -154,4 +155,4 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
     """The digest of the contract: doc_id, the counts, base_failed and kept, one row for each row of ``docs``."""
-    return judge(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

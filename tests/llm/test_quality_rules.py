@@ -1,7 +1,11 @@
+import os
 import random
 import re
 
+import pytest
+
 from cytoloom.llm import quality_rules
+from cytoloom.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, n_words int"
 
@@ -46,10 +50,10 @@ def test_extra_columns_pass_and_empty_table(spark):
 
 
 def test_filter_on_the_verdict_stays_cheap(spark):
-    """A filter pushed below the sorted windows would sort again for each word."""
+    """A filter pushed below the sorted windows would sort again for each word; what is stored is measured once."""
     rows = [(k, " ".join(f"w{k}x{j}" for j in range(4000)), "en", "a", "", 0) for k in range(4)]
     plan = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).where("kept").select("doc_id")
-    assert plan._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("sort_array") <= 1
     assert plan.count() == 4
 
 
@@ -69,3 +73,18 @@ def test_few_symbols_and_long_words_are_judged_by_their_group(spark):
     rows += [(900, some(3), "en", "plain", "", 0), (901, text(3, "longwords"), "en", "plain", "", 0), (902, some(3).replace("#", "", 11), "en", "plain", "", 0)]
     kept = {r.doc_id: r.kept for r in quality_rules.op10_quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [k for k, v in kept.items() if not v] == [900, 901]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_sketches_decide_on_the_tables(spark):
+    """Limits differ between groups, texts are rejected by them, and labelled good texts are not."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    out = quality_rules.judge(docs, keep=["doc_id", "lang", "source"]).join(labels, "doc_id", "left").select("lang", "source", "base_failed", "kept", "quality").toPandas()
+    passed = out[~out.base_failed]
+    assert not (passed.quality.eq(1) & ~passed.kept).any()
+    bad = passed[passed.quality.eq(0)]
+    assert len(bad) > 200 and (~bad.kept).mean() > 0.95
+    measured = quality_rules.repeat_words(quality_rules.line_measures(docs.select("text", docs.lang.alias("_lang"), docs.source.alias("_source")))).select("_lang", "_source", "n_words", *(c.alias(m) for m, c in quality_rules.buckets().items()))
+    limits = quality_rules.thresholds(quality_rules.sketches(measured), measured.select("_lang", "_source").distinct()).toPandas()
+    for name in quality_rules.MEASURES:
+        assert limits[f"high_{name}"].nunique() > 3
