@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import classify as cl
 from .operators import correct, embed, fixed, review, states, structures, views
 from .operators import thresholds as th
-from .operators.prepare import Prepared, prepare, support_table
+from .operators.prepare import Prepared, cell_table, prepare, support_table
 from .plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, signal_policy
 from .sources import adapters as ad
 
@@ -176,6 +176,39 @@ def _method(method: str, **args):
     return run
 
 
+def _pooled(spark, d) -> DataFrame:
+    """Events in two pools: a third of the users measure 300 more, and have S higher by 40."""
+    e = _events(spark, d)
+    high = F.col("user_id") % 3 == 0
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
+    return e.select(F.col("event_type").alias("image_id"), F.col("event_id").alias("cell_id"), F.col("user_id").cast("double").alias("x"), k.alias("y"), high.alias("high"), (F.col("value") + F.when(high, 300.0).otherwise(0.0)).alias("cell:VALUE:mean"), (k + F.when(high, 40.0).otherwise(0.0)).alias("cell:S:mean"))
+
+
+def _pool_method(method: str, **args):
+    def run(spark, d):
+        p = prepare(cell_table(_pooled(spark, d)), one_marker("VALUE", method=method, args=args))
+        return th.thresholds(p).frame(spark).select("image_id", "status", F.round("estimate", 6).alias("estimate"), F.round("negative_q99", 6).alias("negative_q99"), F.round("auc", 6).alias("auc"), "n_positive_pool", "n_negative_pool")
+
+    return run
+
+
+def threshold_population_pools(spark, d):
+    """Both pools are populations, taken whole."""
+    p = prepare(cell_table(_pooled(spark, d)), one_marker("VALUE", method="population_crossing", args={"max_per_population": 100_000_000}))
+    pops = p.df.select(*KEYS, F.when(F.col("high"), 2).otherwise(1).alias("population"))
+    cuts = th.thresholds(p, population=pops).frame(spark)
+    return cuts.select("image_id", "status", F.round("estimate", 6).alias("estimate"), F.round("crossing", 6).alias("crossing"), F.round("negative_q99", 6).alias("negative_q99"), F.round("auc", 6).alias("auc"), "n_positive_pool", "n_negative_pool", "positive_populations", "negative_populations")
+
+
+def state_parent_pools(spark, d):
+    """S within the cells whose VALUE is over 300, against the rest."""
+    markers = (Marker("VALUE", method="manual", args={"value": 300.0}), Marker("S", role="state", method="parent_crossing", parents=("up",)))
+    config = Config(signal_policy(["VALUE", "S"]), markers, {"up": ("Positive",)}, Hierarchy((Rule(rule_id="R", label="Positive", all_of=("VALUE",)),)))
+    p = prepare(cell_table(_pooled(spark, d)), config)
+    k = cl.classify(p, th.thresholds(p), quiet=True)
+    return states.state_calls(p, k).thresholds().select("image_id", "marker", "parent", "status", F.round("estimate", 6).alias("estimate"), F.round("crossing", 6).alias("crossing"), F.round("auc", 6).alias("auc"), "n_positive_pool", "n_negative_pool")
+
+
 def population_crossing(spark, d):
     names = [f"E{k}" for k in range(8)]
     config = Config(signal_policy(names), tuple(Marker(m, method="population_crossing") for m in names), {}, Hierarchy((Rule(rule_id="R", label="L", all_of=("E0",)),)))
@@ -451,11 +484,12 @@ def support_of_events(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         signal_select, transform_scores, localization_ratio, image_filter, callability, callability_unavailable, callability_underpowered, support_of_events, frozen_apply, frozen_fit_params, correction_params, auc_rank,
-        density_grid, density_modes, crossing, mixture_em_step, threshold_manual, population_crossing, population_pools, threshold_coverage, effective_overrides, marker_calls, classify_cells, cell_flags, disabled_rules, classify_uncallable,
+        density_grid, density_modes, crossing, mixture_em_step, threshold_manual, threshold_population_pools, state_parent_pools, population_crossing, population_pools, threshold_coverage, effective_overrides, marker_calls, classify_cells, cell_flags, disabled_rules, classify_uncallable,
         classification_summary, fixed_threshold_calls, fixed_signal_calls, candidate_rules, state_diagnostics, state_calls_manual, state_parent_crossing, state_calls_completeness, neighbour_counts, structure_eps,
         structure_stats, spatial_structures, pca_scores, embedding_populations, basin_assign, active_ledger, effective_cuts, dispositions, structure_decisions, replay_cells, replay_states, refinements, imported_cuts, dotplot_means, state_histogram,
         density_view, map_view, verify_exceptall, source_digest,
     ]
     out = {f.__name__: f for f in found}
     out |= {"correct_none": _corrected("none"), "correct_robust_z": _corrected("robust_z"), "correct_common_score": _corrected("common_score_residual"), "correct_pc1": _corrected("pc1_panel_residual")}
+    out |= {"threshold_valley_pools": _pool_method("valley"), "threshold_tail_pools": _pool_method("tail", peak_fraction=0.5, min_tail_excess=1.1), "threshold_mixture_pools": _pool_method("mixture", max_iter=20, tol=0.0, max_overlap=0.9)}
     return out | {"threshold_valley": _method("valley", min_n=50), "threshold_tail": _method("tail"), "threshold_mixture": _method("mixture", max_overlap=0.5)}

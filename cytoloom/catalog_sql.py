@@ -88,7 +88,73 @@ rp AS (SELECT *, in_parent AND located AND t >= estimate AS positive FROM rs)"""
 
 _VIEW = density("SELECT pool AS g, v FROM (SELECT 'pooled' AS pool, v FROM ev UNION ALL SELECT CASE WHEN v > 1.5 THEN 'positive' ELSE 'negative' END, v FROM ev)", 32)
 
+_POOLED = """ev AS (SELECT event_type AS g, user_id % 3 = 0 AS high, value + CASE WHEN user_id % 3 = 0 THEN 300.0 ELSE 0.0 END AS v, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) + CASE WHEN user_id % 3 = 0 THEN 40.0 ELSE 0.0 END AS s FROM events)"""
+_WIDTH = "0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd WHEN first <> 0 THEN abs(first) ELSE 1 END * pow(total, -0.2)"
+
+
+def binned(n: int) -> str:
+    """CTE dens (g, k, x, y) of src (g, v) and par (g, h, lo, hi, total): masses on a lattice, smoothed and read off at n places."""
+    size = max(512, 1 << (n - 1).bit_length())
+    return f"""lat AS MATERIALIZED (SELECT *, lo - 4 * h AS st, (hi - lo + 8 * h) / {size - 1}.0::DOUBLE AS step FROM par),
+dl AS MATERIALIZED (SELECT g, c + d AS c, sum(CASE WHEN d = 0 THEN 1 - f ELSE f END) AS m FROM (SELECT g, floor((v - st) / step)::BIGINT AS c, (v - st) / step - floor((v - st) / step) AS f FROM src JOIN lat USING (g)), (VALUES (0), (1)) t(d) WHERE c >= 0 AND c <= {size - 2} GROUP BY ALL),
+sm AS MATERIALIZED (SELECT g, j, sum(m * exp(-0.5 * ((j - c) * step / h) * ((j - c) * step / h))) / (total * h * sqrt(2 * pi())) AS y FROM (SELECT * FROM lat, range({size}) r(j)) JOIN dl USING (g) WHERE abs((j - c) * step) <= 39 * h GROUP BY g, j, total, h),
+gr AS (SELECT g, k, lo + k * (hi - lo) / {n - 1}.0::DOUBLE AS x, (lo + k * (hi - lo) / {n - 1}.0::DOUBLE - st) / step AS pos FROM lat, range({n}) t(k)),
+dens AS MATERIALIZED (SELECT gr.g, k, x, coalesce(a.y, 0) + (pos - floor(pos)) * (coalesce(b.y, 0) - coalesce(a.y, 0)) AS y FROM gr LEFT JOIN sm a ON a.g = gr.g AND a.j = floor(pos)::BIGINT LEFT JOIN sm b ON b.g = gr.g AND b.j = floor(pos)::BIGINT + 1)"""
+
+
+_CURVE = f"""src AS (SELECT g, v FROM ev WHERE v >= 0), mo AS (SELECT g, count(*) AS total, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, min(v) AS first, quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM src GROUP BY g),
+par AS (SELECT g, {_WIDTH} AS h, lo, hi, total FROM mo), {binned(4096)}"""
+#: Rows of callable cuts (g, cut), and statuses for the others; a hundred cells are no bound here.
+_SIDES = """SELECT image_id, CASE WHEN cut IS NULL THEN 'NOT_CALLABLE_NO_SEPARATION' WHEN least(p, n) < 20 THEN 'NOT_CALLABLE_UNDERPOWERED' ELSE 'CALLABLE' END AS status, CASE WHEN least(p, n) >= 20 THEN round(cut, 6) END AS estimate,
+  round(q, 6) AS negative_q99, CASE WHEN cut IS NOT NULL THEN 1.0::DOUBLE END AS auc, coalesce(p, 0)::BIGINT AS n_positive_pool, coalesce(n, 0)::BIGINT AS n_negative_pool
+FROM (SELECT e.g AS image_id, any_value(cut) AS cut, count(*) FILTER (v > cut) AS p, count(*) FILTER (v <= cut) AS n, quantile_cont(v, 0.99) FILTER (v <= cut) AS q FROM src e LEFT JOIN cuts USING (g) GROUP BY e.g)"""
+_VALLEY = f"""WITH {_POOLED}, {_CURVE}, nb AS (SELECT *, lag(y) OVER w AS b4, lead(y) OVER w AS af, max(y) OVER (PARTITION BY g) AS top FROM dens WINDOW w AS (PARTITION BY g ORDER BY k)),
+tp AS (SELECT g, k, y FROM nb WHERE y > b4 AND y > af AND y >= 0.03 * top QUALIFY row_number() OVER (PARTITION BY g ORDER BY y DESC, k) <= 2),
+ab AS (SELECT g, min(k) AS a, max(k) AS b, min(y) AS height FROM tp GROUP BY g HAVING count(*) = 2),
+lw AS (SELECT g, x, y, height FROM dens JOIN ab USING (g) WHERE k BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY g ORDER BY y, k) = 1),
+cuts AS (SELECT g, x AS cut FROM lw WHERE 1 - y / height >= 0.1) {_SIDES}"""
+_TAIL = f"""WITH {_POOLED}, {_CURVE}, pk AS (SELECT g, arg_max(k, y) AS top, max(y) AS h FROM dens GROUP BY g), ct AS (SELECT g, first(x ORDER BY k) AS cut FROM dens JOIN pk USING (g) WHERE k > top AND y <= 0.5 * h GROUP BY g),
+al AS (SELECT pk.g, dens.x AS peak, coalesce(cut, (SELECT quantile_cont(v, 0.99) FROM src WHERE src.g = pk.g)) AS cut FROM pk JOIN dens ON dens.g = pk.g AND dens.k = pk.top LEFT JOIN ct ON ct.g = pk.g),
+sh AS (SELECT g, any_value(cut) AS cut, count(*) FILTER (v > cut) / count(*) AS rt, count(*) FILTER (v < 2 * peak - cut) / count(*) AS lt, count(*) AS n FROM src JOIN al USING (g) GROUP BY g),
+cuts AS (SELECT g, cut FROM sh WHERE rt > 0 AND rt >= 1.1 * greatest(lt, 1.0 / n)) {_SIDES}"""
+
+
+def _mixture(rounds: int) -> str:
+    """Rounds of expectation and maximisation as one common table each; deviations are taken around the old means."""
+    log = lambda j: f"ln(w{j}) - 0.5 * pow((v - m{j}) / s{j}, 2) - ln(s{j}) - 0.5 * ln(2 * pi())"
+    steps = []
+    for k in range(rounds):
+        shared = f"SELECT g, v, w1, w2, m1, m2, 1 / (1 + exp(({log(2)}) - ({log(1)}))) AS r FROM src JOIN t{k} USING (g)"
+        sums = f"SELECT g, count(*) AS n, sum(r) AS r1, sum(1 - r) AS r2, sum(r * (v - m1)) / sum(r) AS d1, sum((1 - r) * (v - m2)) / sum(1 - r) AS d2, sum(r * (v - m1) * (v - m1)) / sum(r) AS q1, sum((1 - r) * (v - m2) * (v - m2)) / sum(1 - r) AS q2, any_value(m1) AS m1, any_value(m2) AS m2 FROM ({shared}) GROUP BY g"
+        steps.append(f"t{k + 1} AS MATERIALIZED (SELECT g, r1 / n AS w1, r2 / n AS w2, m1 + d1 AS m1, m2 + d2 AS m2, sqrt(q1 - d1 * d1) AS s1, sqrt(q2 - d2 * d2) AS s2 FROM ({sums}))")
+    last = f"t{rounds}"
+    return f"""WITH {_POOLED}, src AS MATERIALIZED (SELECT g, v FROM ev WHERE v >= 0), mo AS (SELECT g, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM src GROUP BY g),
+t0 AS MATERIALIZED (SELECT g, 0.5 AS w1, 0.5 AS w2, any_value(a) AS m1, any_value(b) AS m2, stddev_samp(v) FILTER (v <= a) AS s1, stddev_samp(v) FILTER (v >= b) AS s2 FROM src JOIN mo USING (g) GROUP BY g), {", ".join(steps)},
+co AS (SELECT *, 1 / (2 * s1 * s1) - 1 / (2 * s2 * s2) AS a, m2 / (s2 * s2) - m1 / (s1 * s1) AS b, m1 * m1 / (2 * s1 * s1) - m2 * m2 / (2 * s2 * s2) + ln(w2 / s2) - ln(w1 / s1) AS c FROM {last}),
+ro AS (SELECT *, CASE WHEN b * b >= 4 * a * c THEN [(-b - sqrt(b * b - 4 * a * c)) / (2 * a), (-b + sqrt(b * b - 4 * a * c)) / (2 * a)] ELSE [] END AS roots FROM co),
+cuts AS (SELECT g, list_filter(roots, lambda x: x > m1 AND x < m2)[1] AS cut FROM ro) {_SIDES}"""
+
+
+#: Densities of two pools over their common range, and where they cross: pools (g, p, v) with p for the upper one.
+_CROSS = f"""mo AS (SELECT g, p, count(*) AS total, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, quantile_cont(v, 0.5) AS med, min(v) AS first FROM pools GROUP BY g, p), rg AS (SELECT g, min(v) AS lo, max(v) AS hi FROM pools GROUP BY g),
+src AS (SELECT {{'a': g, 'b': p}} AS g, v FROM pools), par AS (SELECT {{'a': mo.g, 'b': p}} AS g, {_WIDTH} AS h, lo, hi, total FROM mo JOIN rg ON mo.g = rg.g), {binned(2048)},
+cv AS (SELECT g.a AS g, k, any_value(x) AS x, max(y) FILTER (g.b) AS t, max(y) FILTER (NOT g.b) AS f FROM dens GROUP BY ALL), pk AS (SELECT g, arg_max(k, f) AS top FROM cv GROUP BY g),
+cr AS (SELECT g, first(x ORDER BY k) AS crossing FROM cv JOIN pk USING (g) WHERE k > top AND t >= f GROUP BY g),
+rk AS (SELECT g, p, rank() OVER w + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS r FROM pools WINDOW w AS (PARTITION BY g ORDER BY v)),
+ar AS (SELECT g, (sum(r) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2.0) / (count(*) FILTER (p)::DOUBLE * count(*) FILTER (NOT p)) AS auc, count(*) FILTER (p) AS np, count(*) FILTER (NOT p) AS nn FROM rk GROUP BY g)"""
+_POPULATION = f"""WITH {_POOLED}, pools AS MATERIALIZED (SELECT g, high AS p, v FROM ev WHERE v >= 0), {_CROSS}, ng AS (SELECT g, quantile_cont(v, 0.99) AS q FROM pools WHERE NOT p GROUP BY g)
+SELECT g AS image_id, 'CALLABLE' AS status, round(greatest(crossing, q), 6) AS estimate, round(crossing, 6) AS crossing, round(q, 6) AS negative_q99, round(greatest(auc, 1 - auc), 6) AS auc, np AS n_positive_pool, nn AS n_negative_pool, '2' AS positive_populations, '1' AS negative_populations
+FROM ar JOIN cr USING (g) JOIN ng USING (g) WHERE greatest(auc, 1 - auc) >= 0.65"""
+_PARENT = f"""WITH {_POOLED}, pools AS MATERIALIZED (SELECT g, v >= 300 AS p, s AS v FROM ev WHERE s >= 0 AND v >= 0), {_CROSS}
+SELECT g AS image_id, 'S' AS marker, 'up' AS parent, CASE WHEN ok THEN 'CALLABLE' ELSE 'NOT_CALLABLE_NO_SEPARATION' END AS status, CASE WHEN ok THEN round(crossing, 6) END AS estimate, round(crossing, 6) AS crossing, round(a, 6) AS auc, np AS n_positive_pool, nn AS n_negative_pool
+FROM (SELECT ar.g, greatest(auc, 1 - auc) AS a, crossing, np, nn, crossing IS NOT NULL AND greatest(auc, 1 - auc) >= 0.65 AND (SELECT med FROM mo WHERE mo.g = ar.g AND p) > (SELECT med FROM mo WHERE mo.g = ar.g AND NOT p) AS ok FROM ar LEFT JOIN cr USING (g))"""
+
 SQL = {
+    "threshold_valley_pools": _VALLEY,
+    "threshold_tail_pools": _TAIL,
+    "threshold_mixture_pools": _mixture(20),
+    "threshold_population_pools": _POPULATION,
+    "state_parent_pools": _PARENT,
     "signal_select": f"WITH {S} SELECT image_id, cell_id, CASE WHEN q - 25 >= 0 THEN q - 25 ELSE q END AS raw_qty, CASE WHEN q - 25 >= 0 THEN 1 ELSE 2 END AS src_qty, d AS raw_disc FROM s",
     "transform_scores": f"WITH {S} SELECT image_id, cell_id, round(asinh(q / 5), 6) AS score_qty, round(asinh(p / 5), 6) AS score_price, round(d, 6) AS score_disc, round(ln(1 + t), 6) AS score_tax FROM s",
     "localization_ratio": f"WITH {S} SELECT image_id, cell_id, round((d + 1e-9) / (t + 1e-9), 3) AS ratio, true AS located FROM s",

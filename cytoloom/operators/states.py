@@ -14,11 +14,12 @@ from ..errors import StateError, require
 from ..functions.columns import col, finite
 from ..plans.config import Config
 from ..session import ready
-from ..storage import small
+from ..storage import small, stored
 from . import estimators as est
+from . import large
 from .classify import Classification
 from .prepare import KEYS, Prepared, available, support_map, with_support
-from .thresholds import COLUMNS, RESULT, SCHEMA, _row, collected, points, result_frame
+from .thresholds import COLUMNS, RESULT, SCHEMA, _row, collected, estimate_groups, large_groups, points, result_frame
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ def estimate_states(long: DataFrame, config: Config, status: dict[tuple[str, str
     for image in images:
         for marker, parent in pairs(config):
             m = config.marker(marker)
-            state, details = status.get((image, marker), ("NOT_CALLABLE_UNAVAILABLE", "Marker is not callable."))
+            state, details = status.get((image, marker), ("NOT_CALLABLE_UNAVAILABLE", "Nothing is known about the marker's support."))
             key = (image, f"{marker}\t{parent}")
             if state.startswith("NOT_CALLABLE"):
                 settled[key] = est.Estimate(state, details=details)
@@ -115,6 +116,11 @@ def estimate_states(long: DataFrame, config: Config, status: dict[tuple[str, str
     if open_markers and any((i, k) not in settled for i in images for k in open_markers):
         ready(long.sparkSession)
         plan = {k: (m.method, m.full_args, m.support) for k, m in open_markers.items()}
+        keys = ["image_id", "marker"]
+        some = usable.where(F.col("marker").isin(*open_markers)).withColumnRenamed("score", "v").select(*keys, "for_estimate", "reference", "v")
+        weighted = points(some, [*keys, "for_estimate", "reference"])
+        big = large_groups(weighted, keys)
+        named = small(long.sparkSession.createDataFrame(sorted(big), "image_id string, marker string"), len(big))
 
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             method, args, support = plan[key[1]]
@@ -123,17 +129,26 @@ def estimate_states(long: DataFrame, config: Config, status: dict[tuple[str, str
                 reference = est.Points.of(pdf.v[pdf.reference], pdf.w[pdf.reference])
                 e = est.parent_crossing(positive, reference, args, support.min_auc, support.min_cells)
             else:
-                e = est.enforce_pools(est.ESTIMATORS[method](positive, args), support.min_cells)
+                e = est.ESTIMATORS[method](positive, args)
             return result_frame(*key, e)
 
-        some = usable.where(F.col("marker").isin(*open_markers)).withColumnRenamed("score", "v")
-        weighted = points(some.select("image_id", "marker", "for_estimate", "reference", "v"), ["image_id", "marker", "for_estimate", "reference"])
-        settled = collected(weighted.groupBy("image_id", "marker").applyInPandas(run, RESULT)) | settled
+        found = collected(weighted.join(named, keys, "left_anti").groupBy(*keys).applyInPandas(run, RESULT))
+        if big:
+            values = stored(some.join(named, keys, "left_semi"), "values")
+            crossed = {k: (plan[k[1]][1], plan[k[1]][2].min_auc, plan[k[1]][2].min_cells) for k in big if plan[k[1]][0] == "parent_crossing"}
+            if crossed:
+                both = F.array(*(F.struct(F.lit(side).alias("inside"), F.col(c).alias("here")) for side, c in ((True, "for_estimate"), (False, "reference"))))
+                found |= large.parents(stored(values.select(*keys, "v", F.inline(both)).where("here").drop("here"), "pools"), crossed)
+            others = {k: plan[k[1]][:2] for k in big if plan[k[1]][0] != "parent_crossing"}
+            if others:
+                found |= estimate_groups(values.where("for_estimate").select(*keys, "v"), others)[0]
+        found = {k: e if plan[k[1]][0] == "parent_crossing" else est.enforce_pools(e, plan[k[1]][2].min_cells) for k, e in found.items()}
+        settled = found | settled
     rows = []
     for image in images:
         for marker, parent in pairs(config):
             m = config.marker(marker)
-            e = settled.get((image, f"{marker}\t{parent}"), est.Estimate(est.UNDERPOWERED, details="The parent or reference pool is underpowered."))
+            e = settled.get((image, f"{marker}\t{parent}"), est.Estimate(est.UNDERPOWERED, details="The parent or what it is compared with holds too few cells."))
             rows.append(_row(image, marker, parent, "state", m.method, m.full_args, e, None))
     return rows
 

@@ -1,13 +1,13 @@
 """One cut and status for each image and identity marker.
 
-Manual and unsupported rows are made on the driver. For the others the scores of the needed markers become weighted
-points (``points``): distinct values with counts where a group has at most POINTS of them, else POINTS bins of equal
-width, each standing at the mean of its values. Counting happens map-side, so a group of any size reaches its task as at
-most POINTS rows.
+Manual and unsupported rows are made on the driver. For the others the scores of the needed markers are counted by
+value. Groups with at most POINTS distinct values are worked out by one task each (``estimators``), larger ones by
+aggregations over all of them (``large``), with the same result. Curves stay in a stored table; the driver gets scalars.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 from typing import Any
@@ -22,7 +22,9 @@ from ..functions.columns import col
 from ..plans.config import Config
 from ..plans.methods import method_args
 from ..session import ready
+from ..storage import small, stored
 from . import estimators as est
+from . import large
 from .prepare import Prepared, support_map
 
 POINTS = 16_384
@@ -33,12 +35,37 @@ SCHEMA = (
 COLUMNS = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
 
+class Evidence(Mapping):
+    """Curves and parameters by reference, read from their table when asked for."""
+
+    def __init__(self, table: DataFrame | None, refs: dict[str, tuple[str, str]]):
+        self.table, self.refs = table, refs
+
+    def __getitem__(self, ref: str) -> dict[str, list[float]]:
+        image, marker = self.refs[ref]
+        row = self.table.where((F.col("image_id") == image) & (F.col("marker") == marker)).select("evidence").first()
+        return dict(row.evidence)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.refs)
+
+    def __len__(self) -> int:
+        return len(self.refs)
+
+    def frame(self, spark) -> DataFrame:
+        """(evidence_ref, name, values array<double>)."""
+        if not self.refs:
+            return spark.createDataFrame([], "evidence_ref string, name string, values array<double>")
+        named = spark.createDataFrame([(ref, *key) for ref, key in self.refs.items()], "evidence_ref string, image_id string, marker string")
+        return self.table.join(named, ["image_id", "marker"]).select("evidence_ref", F.explode("evidence").alias("name", "values"))
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """rows: images x markers dictionaries on the driver; evidence: curves and parameters by reference."""
 
     rows: tuple[dict[str, Any], ...]
-    evidence: dict[str, dict[str, list[float]]]
+    evidence: Mapping[str, dict[str, list[float]]]
     config_digest: str
 
     def frame(self, spark) -> DataFrame:
@@ -72,15 +99,15 @@ def long_scores(prepared: Prepared, markers: list[str], scores: DataFrame | None
     return df.select("image_id", *keep, F.inline(parts)).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
 
 
-def points(long: DataFrame, keys: list[str], limit: int = POINTS) -> DataFrame:
-    """(keys..., v, w): weighted points of every group, at most ``limit`` of them."""
-    counted = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
-    spans = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("v").alias("_low"), F.max("v").alias("_high"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    joined = counted.alias("c").join(F.broadcast(spans.alias("s")), same).select(*(f"c.{k}" for k in keys), "v", "w", "_n", "_low", "_high")
-    bin_of = F.least(F.lit(limit - 1), F.floor((F.col("v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * limit)).cast("int")
-    wide = joined.where(F.col("_n") > limit).withColumn("_bin", bin_of).groupBy(*keys, "_bin").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"))
-    return joined.where(F.col("_n") <= limit).select(*keys, "v", "w").unionByName(wide.select(*keys, "v", "w"))
+def points(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., v, w): distinct values of every group with their counts; stored."""
+    return stored(long.groupBy(*keys, (F.col("v") + F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("w")), "points")
+
+
+def large_groups(counted: DataFrame, keys: list[str], limit: int | None = None) -> set[tuple]:
+    """The groups with more than ``limit`` distinct values."""
+    limit = POINTS if limit is None else limit
+    return {tuple(r[k] for k in keys) for r in counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > limit).collect()}
 
 
 def _row(image: str, marker: str, parent: str | None, role: str, method: str, args: dict[str, Any], e: est.Estimate, ref: str | None) -> dict[str, Any]:
@@ -98,28 +125,56 @@ def result_frame(image: str, marker: str, e: est.Estimate) -> pd.DataFrame:
     return pd.DataFrame([{"image_id": image, "marker": marker} | {k: getattr(e, k) for k in ("status", "estimate", "crossing", "negative_q99", "auc", "n_positive_pool", "n_negative_pool", "positive_populations", "negative_populations", "rule", "details")} | {"evidence": e.evidence}])
 
 
-def estimate_groups(weighted: DataFrame, plan: dict[tuple[str, str], tuple[str, dict[str, Any]]]) -> dict[tuple[str, str], est.Estimate]:
-    """Runs valley, tail and mixture on the groups of ``plan``; results (a row for each group) come to the driver."""
-    ready(weighted.sparkSession)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        method, args = plan[key]
-        return result_frame(*key, est.ESTIMATORS[method](est.Points.of(pdf.v, pdf.w), args))
-
-    return collected(weighted.groupBy("image_id", "marker").applyInPandas(run, RESULT))
+def estimate_groups(long: DataFrame, plan: dict[tuple[str, str], tuple[str, dict[str, Any]]]) -> tuple[dict[tuple[str, str], est.Estimate], DataFrame | None]:
+    """Runs valley, tail and mixture on the groups (image_id, marker) of ``plan``: estimates without evidence, and
+    (image_id, marker, evidence)."""
+    spark = ready(long.sparkSession)
+    keys = ["image_id", "marker"]
+    counted = points(long, keys)
+    big = large_groups(counted, keys) & set(plan)
+    named = lambda groups: small(spark.createDataFrame(sorted(groups), "image_id string, marker string"), len(groups))
+    out, evidence = {}, []
+    rest = set(plan) - big
+    if rest:
+
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            method, args = plan[key]
+            return result_frame(*key, est.ESTIMATORS[method](est.Points.of(pdf.v, pdf.w), args))
+
+        done = stored(counted.join(named(rest), keys, "left_semi").groupBy(*keys).applyInPandas(run, RESULT), "estimates")
+        out |= collected(done)
+        evidence.append(done.select(*keys, "evidence"))
+    if big:
+        values = stored(long.join(named(big), keys, "left_semi").select(*keys, "v"), "values")
+        curved = {k: plan[k] for k in big if plan[k][0] != "mixture"}
+        if curved:
+            found, table = large.curves(values, curved)
+            out |= found
+            evidence += [table] if table is not None else []
+        mixed = {k: plan[k][1] for k in big if plan[k][0] == "mixture"}
+        if mixed:
+            found, rows = large.mixtures(values, mixed)
+            out |= found
+            evidence += [spark.createDataFrame(rows, "image_id string, marker string, evidence map<string,array<double>>")] if rows else []
+    table = None
+    for e in evidence:
+        table = e if table is None else table.unionByName(e)
+    return out, table
 
 
 def collected(df: DataFrame) -> dict[tuple[str, str], est.Estimate]:
+    """Estimates of a table (RESULT), without their evidence."""
     out = {}
-    for r in df.collect():
+    for r in df.drop("evidence").collect():
         d = r.asDict()
         key = d.pop("image_id"), d.pop("marker")
-        out[key] = est.Estimate(**(d | {"evidence": dict(d["evidence"] or {})}))
+        out[key] = est.Estimate(**d)
     return out
 
 
 def _crossings(prepared: Prepared, scores: DataFrame, population: DataFrame, plan: dict, config: Config) -> dict[tuple[str, str], est.Estimate]:
-    """Population crossings: points by population; samples of max_per_population are chosen by hash of the cell key."""
+    """Population crossings: moments of every population, and samples of max_per_population values (a setting of the
+    method), chosen by hash of the cell key."""
     ready(scores.sparkSession)
     markers = sorted({m for _, m in plan})
     joined = scores.join(population.select("image_id", "cell_id", "population"), ["image_id", "cell_id"]).where("population is not null")
@@ -127,18 +182,20 @@ def _crossings(prepared: Prepared, scores: DataFrame, population: DataFrame, pla
     most = max(args["max_per_population"] for _, args in plan.values())
     sizes = long.groupBy("image_id", "marker", "population").agg(F.count(F.lit(1)).alias("n"))
     # a threshold on the hash keeps about 1.5 times the sample of a large pool, so that ranking stays small
-    drawn = long.join(F.broadcast(sizes), ["image_id", "marker", "population"]).withColumn("_h", F.xxhash64(F.lit("sample"), "cell_id"))
+    drawn = long.join(sizes, ["image_id", "marker", "population"]).withColumn("_h", F.xxhash64(F.lit("sample"), "cell_id"))
     drawn = drawn.where((F.col("n") <= 4 * most) | (F.pmod("_h", F.lit(1 << 30)) < (F.lit(1.5 * (1 << 30)) * most / F.col("n"))))
     ranked = drawn.selectExpr("*", "row_number() over (partition by image_id, marker, population order by _h, cell_id) as _k")
     sampled = ranked.where(F.col("_k") <= most).select("image_id", "marker", "population", "v", F.col("_k").alias("w"), F.lit(True).alias("sample"))
-    every = points(long, ["image_id", "marker", "population"]).select("image_id", "marker", "population", "v", F.col("w").cast("int"), F.lit(False).alias("sample"))
+    pools = long.groupBy("image_id", "marker", "population").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("variance"))
+    every = pools.select("image_id", "marker", "population", F.col("mean").alias("v"), F.col("n").alias("w"), "variance", F.lit(False).alias("sample"))
+    sampled = sampled.select("image_id", "marker", "population", "v", F.col("w").cast("long").alias("w"), F.lit(0.0).alias("variance"), "sample")
     support = {m: config.marker(m).support for m in markers}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key not in plan:
             return pd.DataFrame([], columns=[c.split(" ")[0] for c in RESULT.split(", ")])
         _, args = plan[key]
-        pools = {int(k): est.Points.of(g.v, g.w) for k, g in pdf[~pdf["sample"]].groupby("population")}
+        pools = {int(r.population): est.Moments(int(r.w), r.v, r.variance * r.w) for r in pdf[~pdf["sample"]].itertuples()}
         some = pdf[pdf["sample"] & (pdf.w <= args["max_per_population"])]
         taken = {int(k): est.Points.of(g.v) for k, g in some.groupby("population")}
         return result_frame(*key, est.population_crossing(pools, taken, args, support[key[1]].min_auc, support[key[1]].min_cells))
@@ -161,33 +218,34 @@ def thresholds(prepared: Prepared, scores: DataFrame | None = None, population:
             method = (o and o.method) or m.method
             args = method_args(method, o.args if o and o.args is not None else m.args, m.role)
             methods[image, name] = (method, args)
-            state, details = status.get((image, name), ("NOT_CALLABLE_UNAVAILABLE", "Marker is not callable."))
+            state, details = status.get((image, name), ("NOT_CALLABLE_UNAVAILABLE", "Nothing is known about the marker's support."))
             if state.startswith("NOT_CALLABLE"):
                 settled[image, name] = est.Estimate(state, details=details)
             elif method == "manual":
                 settled[image, name] = est.manual(args)
             elif method == "population_crossing" and population is None:
-                settled[image, name] = est.Estimate("NOT_CALLABLE_NO_POPULATION", details="This method requires an embedding.")
+                settled[image, name] = est.Estimate("NOT_CALLABLE_NO_POPULATION", details="The method needs the populations of an embedding.")
     open_groups = {k: v for k, v in methods.items() if k not in settled}
     curves = {k: v for k, v in open_groups.items() if v[0] in est.ESTIMATORS}
+    evidence = None
     if curves:
-        wanted = F.broadcast(prepared.df.sparkSession.createDataFrame(sorted(curves), "image_id string, marker string"))
+        wanted = small(prepared.df.sparkSession.createDataFrame(sorted(curves), "image_id string, marker string"), len(curves))
         long = long_scores(prepared, sorted({m for _, m in curves}), table).join(wanted, ["image_id", "marker"], "left_semi")
-        settled |= estimate_groups(points(long, ["image_id", "marker"]), curves)
+        found, evidence = estimate_groups(long, curves)
+        settled |= found
     crossings = {k: v for k, v in open_groups.items() if v[0] == "population_crossing"}
     if crossings:
         settled |= _crossings(prepared, table, population, crossings, config)
-    rows, evidence = [], {}
+    rows, refs = [], {}
     for key, (method, args) in methods.items():
-        missing = est.Estimate("NOT_CALLABLE_NO_POPULATION", details="The embedding has fewer than two usable populations.") if method == "population_crossing" else est.Estimate(est.UNDERPOWERED, details="Too few distinct finite values for density estimation.")
+        missing = est.Estimate("NOT_CALLABLE_NO_POPULATION", details=est.NO_POPULATIONS) if method == "population_crossing" else est.Estimate(est.UNDERPOWERED, details=est.TOO_FEW)
         m = config.marker(key[1])
-        e = est.enforce_pools(settled.get(key, missing), m.support.min_cells)
-        ref = None
-        if e.evidence:
-            ref = f"E{len(evidence) + 1:04d}"
-            evidence[ref] = e.evidence
-        rows.append(_row(*key, None, m.role, method, args, e, ref))
-    return Thresholds(tuple(rows), evidence, config.digest())
+        found = settled.get(key, missing)
+        ref = f"E{len(refs) + 1:04d}" if key in curves and found.status == "CALLABLE" else None
+        if ref:
+            refs[ref] = key
+        rows.append(_row(*key, None, m.role, method, args, est.enforce_pools(found, m.support.min_cells), ref))
+    return Thresholds(tuple(rows), Evidence(evidence, refs), config.digest())
 
 
 def validate_thresholds(prepared: Prepared, cuts: Thresholds) -> None:
@@ -213,14 +271,14 @@ def auc_table(df: DataFrame, group: str, value: str, positive: str) -> DataFrame
 def density_table(df: DataFrame, group: str, value: str, n: int = 256, low: float = 0.001, high: float = 0.999) -> DataFrame:
     """(group, k, x, density): Gaussian kernel density on n places between two quantiles of each group.
 
-    The grid meets weighted points (``points``), so the work is groups x n x POINTS at most.
+    Exact sums over the distinct values; for plots, whose grids are small.
     """
     base = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     q = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.array(*(F.lit(x) for x in (low, high, 0.25, 0.75)))).alias("q"))
     h = q.where("q[1] > q[0]").selectExpr("g", "n", "q[0] as lo", "q[1] as hi", "0.9D * if(least(sd, (q[3] - q[2]) / 1.34D) > 0, least(sd, (q[3] - q[2]) / 1.34D), sd) * pow(n, -0.2D) as h")
     grid = h.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).selectExpr("g", "n", "h", "k", f"lo + k * (hi - lo) / {float(n - 1)}D as x")
     z = (F.col("x") - F.col("v")) / F.col("h")
-    summed = points(base, ["g"]).join(F.broadcast(grid), "g").groupBy("g", "k", "x", "n", "h").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s"))
+    summed = points(base, ["g"]).join(grid, "g").groupBy("g", "k", "x", "n", "h").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s"))
     return summed.select(F.col("g").alias(group), "k", "x", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
 
 
@@ -231,11 +289,11 @@ def crossing_table(df: DataFrame, group: str, value: str, positive: str, n: int
     stats = base.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     widths = stats.selectExpr("g", "p", "n", "0.9D * if(least(sd, (q[1] - q[0]) / 1.34D) > 0, least(sd, (q[1] - q[0]) / 1.34D), sd) * pow(n, -0.2D) as h")
     spans = base.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("hi > lo")
-    grid = spans.select("g", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).selectExpr("g", "k", f"lo + k * (hi - lo) / {float(n - 1)}D as x").join(F.broadcast(widths), "g")
+    grid = spans.select("g", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).selectExpr("g", "k", f"lo + k * (hi - lo) / {float(n - 1)}D as x").join(widths, "g")
     z = (F.col("x") - F.col("v")) / F.col("h")
-    curves = points(base, ["g", "p"]).join(F.broadcast(grid), ["g", "p"]).groupBy("g", "k", "x").pivot("p", [True, False]).agg(F.sum(F.col("w") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h"))))
+    curves = points(base, ["g", "p"]).join(grid, ["g", "p"]).groupBy("g", "k", "x").pivot("p", [True, False]).agg(F.sum(F.col("w") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h"))))
     peak = curves.groupBy("g").agg(F.max_by("k", F.struct(F.col("false"), -F.col("k"))).alias("top"))
-    hits = curves.join(F.broadcast(peak), "g").where((F.col("k") > F.col("top")) & (F.col("true") >= F.col("false"))).groupBy("g").agg(F.min("x").alias("crossing"))
+    hits = curves.join(peak, "g").where((F.col("k") > F.col("top")) & (F.col("true") >= F.col("false"))).groupBy("g").agg(F.min("x").alias("crossing"))
     return spans.select("g").join(hits, "g", "left").select(F.col("g").alias(group), "crossing")
 
 
@@ -244,12 +302,12 @@ def mixture_step_table(df: DataFrame, group: str, value: str) -> DataFrame:
     for groups whose points do not fit one task's bound exactly, rounds of this kind can be iterated."""
     base = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
     wide = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_samp("v").alias("sd0"))
-    outer = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).join(F.broadcast(wide), "g").groupBy("g").agg(F.stddev_samp(F.when(F.col("v") <= F.col("q")[0], F.col("v"))).alias("a"), F.stddev_samp(F.when(F.col("v") >= F.col("q")[1], F.col("v"))).alias("b"))
+    outer = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).join(wide, "g").groupBy("g").agg(F.stddev_samp(F.when(F.col("v") <= F.col("q")[0], F.col("v"))).alias("a"), F.stddev_samp(F.when(F.col("v") >= F.col("q")[1], F.col("v"))).alias("b"))
     start = wide.join(outer, "g").selectExpr("g", "q[0] as a1", "q[1] as a2", "if(a > 0, a, greatest(sd0 / 2, 1e-6D)) as d1", "if(b > 0, b, greatest(sd0 / 2, 1e-6D)) as d2")
-    shared = base.join(F.broadcast(start), "g").selectExpr("g", "v", "w", "1D / (1D + exp(-0.5D * pow((v - a2) / d2, 2) - ln(d2) + 0.5D * pow((v - a1) / d1, 2) + ln(d1))) as r")
+    shared = base.join(start, "g").selectExpr("g", "v", "w", "1D / (1D + exp(-0.5D * pow((v - a2) / d2, 2) - ln(d2) + 0.5D * pow((v - a1) / d1, 2) + ln(d1))) as r")
     sums = shared.groupBy("g").agg(F.sum("w").alias("n"), *(F.sum(e).alias(a) for a, e in (("r1", F.expr("w * r")), ("x1", F.expr("w * r * v")), ("r2", F.expr("w * (1 - r)")), ("x2", F.expr("w * (1 - r) * v")))))
     means = sums.selectExpr("g", "r1", "r2", "r1 / n as w1", "r2 / n as w2", "x1 / r1 as m1", "x2 / r2 as m2")
-    spread = shared.join(F.broadcast(means), "g").groupBy("g", "w1", "w2", "m1", "m2", "r1", "r2").agg(F.sum(F.expr("w * r * pow(v - m1, 2)")).alias("q1"), F.sum(F.expr("w * (1 - r) * pow(v - m2, 2)")).alias("q2"))
+    spread = shared.join(means, "g").groupBy("g", "w1", "w2", "m1", "m2", "r1", "r2").agg(F.sum(F.expr("w * r * pow(v - m1, 2)")).alias("q1"), F.sum(F.expr("w * (1 - r) * pow(v - m2, 2)")).alias("q2"))
     return spread.selectExpr(f"g as `{group}`", "w1", "w2", "m1", "m2", "sqrt(q1 / r1) as s1", "sqrt(q2 / r2) as s2")
 
 
@@ -261,8 +319,7 @@ def mode_table(curve: DataFrame, group: str, share: float = 0.03) -> DataFrame:
 
 def evidence_frame(spark, cuts: Thresholds) -> DataFrame:
     """(evidence_ref, name, values array<double>)."""
-    rows = [(ref, name, [float(v) for v in values]) for ref, parts in cuts.evidence.items() for name, values in parts.items()]
-    return spark.createDataFrame(rows, "evidence_ref string, name string, values array<double>")
+    return cuts.evidence.frame(spark) if isinstance(cuts.evidence, Evidence) else Evidence(None, {}).frame(spark)
 
 
 __all__ = ["Thresholds", "auc_table", "crossing_table", "density_table", "evidence_frame", "mixture_step_table", "mode_table", "points", "thresholds", "validate_thresholds"]

@@ -5,13 +5,14 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cytoloom import errors
 from cytoloom.functions.canonical import canonical, parse_double, parse_integer, table_digest
 from cytoloom.operators import classify as cl
-from cytoloom.operators import correct, embed, estimators as est, fixed, order, review, snapshot, states, structures, views
+from cytoloom.operators import correct, embed, estimators as est, fixed, large, order, review, snapshot, states, structures, views
 from cytoloom.operators import thresholds as th
 from cytoloom.operators.prepare import cell_table, prepare, validate_cells
 from cytoloom.plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, read_config, signal_policy, validate, write_config
@@ -168,11 +169,71 @@ def test_weighted_points_equal_repeated_values():
     assert math.isclose(est.auc(a, b), want)
 
 
-def test_binned_points_stay_bounded(spark):
-    df = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") * 0.37 % 11).alias("v"))
-    out = th.points(df, ["g"], 64).toPandas()
-    assert len(out) <= 64 and out.w.sum() == 5000 and math.isclose((out.v * out.w).sum(), df.agg(F.sum("v")).first()[0], rel_tol=1e-9)
-    assert len(th.points(df.limit(50), ["g"], 64).collect()) == 50
+def same_rows(a, b):
+    assert len(a) == len(b)
+    for x, y in zip(a, b, strict=True):
+        for k in x:
+            assert x[k] == y[k] or isinstance(x[k], float) and math.isclose(x[k], y[k], rel_tol=1e-7), (k, x, y)
+
+
+def test_large_groups_have_the_results_of_small_ones(spark, monkeypatch):
+    """Every method by aggregations and by a task of its own: two modes, a skewed outlier, ties, no separation, too few."""
+    rng = np.random.default_rng(17)
+    two = np.concatenate([rng.normal(2, 0.4, 900), rng.normal(6, 0.4, 600)])
+    values = {"A": two, "B": np.concatenate([two[:-1], [5e6]]), "C": rng.normal(5, 1, 1500), "D": np.concatenate([rng.normal(3, 0.3, 1200), rng.exponential(1, 300) + 4]), "E": rng.integers(1, 9, 1500).astype(float), "F": [*two[:60], *[None] * 1440]}
+    table = cells(spark, values, ["1"] * 800 + ["2"] * 700)
+    for method in ("valley", "tail", "mixture"):
+        c = config(*(Marker(m, method=method, args={"max_iter": 15} if method == "mixture" else None, support=NONE) for m in values))
+        p = prepare(table, c)
+        small = th.thresholds(p)
+        with monkeypatch.context() as m:
+            m.setattr(th, "POINTS", 5)
+            big = th.thresholds(p)
+        same_rows(small.rows, big.rows)
+        assert {r["status"] for r in small.rows} >= {"CALLABLE"} and list(small.evidence) == list(big.evidence)
+        for ref in list(small.evidence)[:2]:
+            for name, curve in small.evidence[ref].items():
+                assert np.allclose(curve, big.evidence[ref][name], rtol=1e-7, atol=1e-12)
+        assert th.evidence_frame(spark, big).select("evidence_ref").distinct().count() == len(big.evidence)
+
+
+def test_large_parent_pools_have_the_results_of_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    identity = np.concatenate([rng.normal(1, 0.1, 500), rng.normal(9, 0.1, 500)])
+    state = np.concatenate([rng.normal(2, 0.7, 500), rng.normal(4, 0.7, 500)]).round(2)
+    flat = rng.integers(1, 5, 1000).astype(float)
+    c = config(Marker("A", method="manual", args={"value": 5.0}), *(Marker(m, role="state", method=how, parents=("up",), support=MinSupport(min_cells=20)) for m, how in (("S", "parent_crossing"), ("T", "parent_crossing"), ("U", "valley"))), parent_sets={"up": ("L",)})
+    p = prepare(cells(spark, {"A": identity, "S": state, "T": flat, "U": identity + state}), c)
+    k = cl.classify(p, th.thresholds(p))
+    small = states.state_calls(p, k).rows
+    monkeypatch.setattr(th, "POINTS", 2)
+    same_rows(small, states.state_calls(p, k).rows)
+    assert {r["marker"]: r["status"] for r in small}["S"] == "CALLABLE"
+    df = spark.createDataFrame([("1", "m", float(v), bool(i < 500)) for i, v in enumerate(state)], "image_id string, marker string, v double, inside boolean")
+    want = est.auc(est.Points.of(state[:500]), est.Points.of(state[500:]))
+    for limit in (3, 1000):
+        assert math.isclose(large.rank_areas(df, limit)["1", "m"], want)
+
+
+def test_a_hundred_thousand_distinct_values_with_an_outlier(spark):
+    """Two modes and one value of five million: the cut is numpy's, whatever the number of values."""
+    rng = np.random.default_rng(19)
+    v = np.concatenate([rng.normal(2, 0.4, 60_000), rng.normal(6, 0.4, 40_000), [5e6]])
+    frame = spark.createDataFrame(pd.DataFrame({"image_id": "1", "cell_id": [f"c{k}" for k in range(len(v))], "x": 1.0, "y": 1.0, "cell:A:mean": v}))
+    p = prepare(cell_table(frame), config(Marker("A")))
+    [row] = th.thresholds(p).rows
+    want = est.valley(est.Points.of(v), METHODS["valley"].defaults)
+    assert row["status"] == want.status == "CALLABLE" and math.isclose(row["estimate"], want.estimate, rel_tol=1e-9) and 3 < row["estimate"] < 5
+    assert (row["n_positive_pool"], row["n_negative_pool"]) == (want.n_positive_pool, want.n_negative_pool) and math.isclose(row["negative_q99"], want.negative_q99)
+
+
+def test_the_binned_density_is_near_the_exact_one():
+    rng = np.random.default_rng(20)
+    p = points(rng.normal(0, 1, 400), rng.normal(3, 0.5, 200))
+    grid, y = est.density(p, -3, 5, 256)
+    h = est.bandwidth(p)
+    exact = (np.exp(-0.5 * ((grid[:, None] - p.x[None]) / h) ** 2) @ p.w) / (p.n * h * math.sqrt(2 * math.pi))
+    assert np.abs(y - exact).max() < 2e-3 * exact.max()
 
 
 def test_thresholds_overrides_and_coverage(spark):
