@@ -193,7 +193,7 @@ SELECT label, round(mean, 6) AS mean, n, mean > m + 0.5 * s AS positive, mean <
     "marker_calls": f"WITH {C} SELECT image_id, cell_id, cq AS call_qty, cp AS call_price, cd AS call_disc, ct AS call_tax FROM c",
     "classify_cells": f"WITH {C} SELECT image_id, cell_id, cell_type, rule_id, coalesce(rule_id = 'R2', false) AS pending_review, cd AND ct AS both, false AS excluded FROM l",
     "cell_flags": f"""WITH {C} SELECT image_id, cell_id, cd AND ct AS both, cp AND NOT ct AS "any", cq AS q, CASE WHEN cd AND ct THEN 'Excluded' WHEN cq THEN 'Unresolved' WHEN cd OR ct THEN 'Discounted' ELSE 'Undefined' END AS cell_type, cd AND ct AS excluded FROM c""",
-    "disabled_rules": f"WITH {S} SELECT DISTINCT image_id, 'R3' AS rule_id, 'Discounted' AS label, 'A required marker is not callable on this image.' AS reason, 'TAX' AS markers FROM s",
+    "disabled_rules": f"WITH {S} SELECT DISTINCT image_id, 'R3' AS rule_id, 'Discounted' AS label, 'A marker that the rule needs cannot be called on the image.' AS reason, 'TAX' AS markers FROM s",
     "classify_uncallable": summary(f"{S}, l AS (SELECT image_id, CASE WHEN asinh(q / 5) >= 2.3 AND asinh(p / 5) >= 9.2 THEN 'Both' WHEN asinh(q / 5) >= 2.3 AND NOT d >= 0.05 THEN 'Pending' ELSE 'Undefined' END AS cell_type FROM s)"),
     "classification_summary": summary(C),
     "fixed_threshold_calls": f"WITH {S} SELECT image_id, cell_id, CASE WHEN q >= 25 THEN 'HIGH' ELSE 'LOW' END AS qty, 'UNAVAILABLE' AS price, CASE WHEN d >= 0.05 THEN 'HIGH' ELSE 'LOW' END AS disc FROM s",

@@ -92,6 +92,17 @@ def table_digest(df: DataFrame) -> str:
     return sha256({"columns": [[n, kinds[n]] for n in names], "sums": [str(x) for x in got]})
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A quick binding of a table's content: schema, row count and the sum of the rows' 64-bit hashes, in one pass. Like
+    ``table_digest`` it does not depend on order; it tells tables apart, but does not withstand forgery."""
+    names = sorted(df.columns)
+    columns = [F.when(c == 0, F.lit(0.0)).otherwise(c) if dict(df.dtypes)[n] in ("double", "float") else c for n, c in ((n, F.col(f"`{n}`")) for n in names)]
+    marks = [F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in columns))] if columns else [F.lit("")]
+    got = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns, *marks).cast("decimal(38,0)"))).first()
+    kinds = dict(df.dtypes)
+    return sha256({"columns": [[n, kinds[n]] for n in names], "sums": [str(x) for x in got]})
+
+
 def cell_key(image: str = "image_id", cell: str = "cell_id") -> Column:
     """Both ids in one text, each after its byte length."""
     return F.concat(*(p for c in (image, cell) for p in (F.octet_length(c).cast("string"), F.lit(":"), F.col(c))))

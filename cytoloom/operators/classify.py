@@ -17,7 +17,7 @@ from ..errors import DisabledRules, StateError, require
 from ..functions.columns import all_true, any_true, col, finite, none_true
 from ..plans.config import Config, Rule, Terms
 from ..storage import small
-from .prepare import Prepared, available, support_map, with_support
+from .prepare import Prepared, available, score_digest, support_map, with_support
 from .thresholds import Thresholds, validate_thresholds
 
 
@@ -33,6 +33,11 @@ class Classification:
     config: Config
     full: DataFrame
     scores: DataFrame | None = None
+    support: DataFrame | None = None
+    score_digest: str = ""
+
+    def callability(self) -> DataFrame:
+        return self.support
 
     def summary(self) -> DataFrame:
         return summary(self.df)
@@ -55,7 +60,7 @@ def disabling(rule: Rule, callable_markers: set[str]) -> tuple[list[str], str]:
     """Markers for which the rule is off on an image, and why; every marker of any_of must be callable too."""
     required = [m for m in dict.fromkeys((*rule.all_of, *rule.any_of)) if m not in callable_markers]
     excluded = [m for m in rule.none_of if m not in callable_markers] if rule.on_uncallable == "disable_rule" else []
-    reason = "A required marker is not callable on this image." if required else "An excluded marker is not callable and the rule disables on uncertainty." if excluded else ""
+    reason = "A marker that the rule needs cannot be called on the image." if required else "A marker that the rule excludes cannot be called on the image, and the rule is to be off then." if excluded else ""
     return list(dict.fromkeys([*required, *excluded])), reason
 
 
@@ -102,7 +107,7 @@ def classify(prepared: Prepared, cuts: Thresholds, scores: DataFrame | None = No
     """Calls, flags, first matching rules and labels of all cells."""
     config = prepared.config
     require(cuts.config_digest == config.digest(), "thresholds belong to another configuration", StateError)
-    validate_thresholds(prepared, cuts)
+    validate_thresholds(prepared, cuts, scores)
     by_image = cut_row(prepared, cuts)
     off = disabled_rules(config, by_image)
     if off and not quiet:
@@ -110,7 +115,7 @@ def classify(prepared: Prepared, cuts: Thresholds, scores: DataFrame | None = No
     switched = {(r["image_id"], r["rule_id"]) for r in off}
     base = with_support(prepared) if scores is None else with_support(Prepared(scores, config, prepared.support))
     full = labelled(base, config, by_image, off)
-    return Classification(full.select("image_id", "cell_id", *label_names(config)), full.select("image_id", "cell_id", *(col(f"call_{m}") for m in config.gated)), tuple(off), config, full, scores)
+    return Classification(full.select("image_id", "cell_id", *label_names(config)), full.select("image_id", "cell_id", *(col(f"call_{m}") for m in config.gated)), tuple(off), config, full, scores, prepared.support, score_digest(prepared, scores))
 
 
 def label_names(config: Config) -> list[str]:

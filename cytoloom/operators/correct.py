@@ -43,6 +43,7 @@ class Correction:
     center: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
     config_digest: str = ""
+    source: str = ""  # the prepared table that it was fitted to
 
     def digest(self) -> str:
         return sha256(asdict(self))
@@ -132,7 +133,7 @@ def fit(prepared: Prepared, method: str, markers: list[str] | None = None, row_c
     observed = _observed(prepared, names)
     present = observed.agg(*(F.count(col(f"x_{m}")).alias(f"n{k}") for k, m in enumerate(names))).first()
     fitted = [m for k, m in enumerate(names) if present[k]]
-    c = Correction(method, tuple(names), tuple(fitted), row_center, config_digest=prepared.config.digest())
+    c = Correction(method, tuple(names), tuple(fitted), row_center, config_digest=prepared.config.digest(), source=prepared.source)
     if method == "none" or not fitted:
         return c
     xs = [f"x_{m}" for m in fitted]
@@ -163,6 +164,7 @@ def fit(prepared: Prepared, method: str, markers: list[str] | None = None, row_c
 def apply(prepared: Prepared, c: Correction, markers: list[str] | None = None) -> DataFrame:
     """The prepared cells with score_ columns replaced for the correction's markers (or some of them)."""
     require(c.config_digest == prepared.config.digest(), "the correction belongs to another configuration", StateError)
+    require(c.source == prepared.source, "the correction was fitted to another table; a frozen model can be carried over", StateError)
     chosen = list(markers or c.markers)
     require(set(chosen) <= set(c.markers), "markers that the correction doesn't have")
     df = _observed(prepared, list(c.markers))

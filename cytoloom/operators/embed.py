@@ -19,7 +19,7 @@ from ..functions.columns import col
 from ..storage import stored
 from .correct import principal
 from .order import whole_quantiles
-from .prepare import KEYS, Prepared, available, with_support
+from .prepare import KEYS, Prepared, available, score_digest, with_support
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class Embedding:
     density: np.ndarray
     basins: np.ndarray
     kept: tuple[int, ...]
+    score_digest: str = ""
 
     def __repr__(self) -> str:
         return f"<Embedding {len(self.markers)} markers, {len(self.kept)} populations>"
@@ -199,4 +200,4 @@ def embed(prepared: Prepared, scores: DataFrame | None = None, n_pcs: int = 10,
     gx, gy, density = grid_density(placed, grid, floor)
     labels = hill_basins(density) if basins == "hillclimb" else flood_basins(density, tolerance)
     out, kept = assign_basins(placed, gx, gy, labels, small, min_abs, min_frac)
-    return Embedding(out, tuple(names), loadings, gx, gy, density, labels, tuple(kept))
+    return Embedding(out, tuple(names), loadings, gx, gy, density, labels, tuple(kept), score_digest(prepared, scores))

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InputError, StructureError, require
+from ..errors import InputError, StateError, StructureError, require
+from ..functions.canonical import fingerprint, sha256
 from ..functions.columns import LOCALIZATION_OFFSET, col, finite, finite_or_null, transformed
 from ..plans.config import Config
 from ..storage import small, stored
@@ -84,6 +85,10 @@ class Prepared:
     df: DataFrame
     config: Config
     support: DataFrame
+    source: str = ""  # fingerprint of df, that results are bound to
+
+    def callability(self) -> DataFrame:
+        return self.support
 
     @property
     def markers(self) -> list[str]:
@@ -138,7 +143,21 @@ def prepare(cells: CellTable, config: Config, images: list[str] | None = None) -
     selected = df.select(*kept, *signal_columns(cells, config), *localization_columns(cells, config))
     out = stored(selected.select("*", *score_columns(config)), "prepared")
     # images x markers rows: computed once and kept, as every later step asks for them
-    return Prepared(out, config, stored(support_table(out, config), "support"))
+    return Prepared(out, config, stored(support_table(out, config), "support"), fingerprint(out))
+
+
+def score_digest(prepared: Prepared, scores: DataFrame | None = None) -> str:
+    """What cuts, labels and embeddings are bound to: the prepared table, and the corrected scores in its place."""
+    if scores is None:
+        return prepared.source
+    if not hasattr(scores, "_cytoloom_digest"):
+        scores._cytoloom_digest = fingerprint(scores.select(*KEYS, *(col(f"score_{m}") for m in prepared.markers)))
+    return sha256({"source": prepared.source, "scores": scores._cytoloom_digest})
+
+
+def same_scores(digest: str, prepared: Prepared, scores: DataFrame | None, what: str) -> None:
+    """Refuses results of another table or score space. Results without digest (made by hand) are taken."""
+    require(not digest or not prepared.source or digest == score_digest(prepared, scores), f"{what} belong to other scores", StateError)
 
 
 SUPPORT_COLUMNS = ["image_id", "marker", "role", "status", "support", "details", "n_cells", "n_available", "fraction_unavailable", "sd", "mad", "fraction_mode", "q01", "q50", "q99"]

@@ -19,10 +19,11 @@ from ..errors import InputError, LedgerError, StateError, check_text, require
 from ..functions.canonical import canonical, sha256
 from ..functions.columns import col, in_box
 from ..plans.config import DECISIONS, Config
+from ..sources.tsv import read_tsv
 from ..storage import small
 from .classify import Classification, classify, cut_row, disabled_rules, label_names, labelled
 from .components import checkpoint_ready
-from .prepare import KEYS, Prepared
+from .prepare import KEYS, Prepared, same_scores
 from .states import StateCalls, evaluable, in_labels, min_ratio, pairs, positive, ratio_of
 from .structures import Structures
 from .thresholds import Thresholds, validate_thresholds
@@ -80,6 +81,18 @@ def active_frame(entries: DataFrame) -> DataFrame:
     return entries.where("reverts is null or reverts = ''").join(dead, "entry_id", "left_anti")
 
 
+def validate_keys(review: Review) -> None:
+    """Every single cell and structure that a ledger names is there; one join for each ledger."""
+    for name, single, there in (("disposition", "cell_id", review.prepared.df), ("structure", "structure_id", review.structures.cells if review.structures else None)):
+        named = sorted({(r["image_id"], r[single]) for r in review.ledgers[name] if r[single] is not None})
+        if not named:
+            continue
+        require(there is not None, f"{name} ledger: there are no structures", LedgerError)
+        wanted = review.spark.createDataFrame(named, f"image_id string, {single} string")
+        missing = wanted.join(there.select("image_id", single).distinct(), ["image_id", single], "left_anti").first()
+        require(missing is None, f"{name} ledger: {missing and tuple(missing)} is unknown", LedgerError)
+
+
 def validate_ledgers(review: Review) -> None:
     """Orders rise without repeats over all ledgers, ids are unique, undos name earlier rows of the same ledger, values lie
     in their domains."""
@@ -99,6 +112,8 @@ def validate_ledgers(review: Review) -> None:
             domain = {"structure": ("decision", DECISIONS), "disposition": ("disposition", DISPOSITIONS), "state": ("action", ACTIONS)}.get(name)
             require(not domain or r[domain[0]] in domain[1], f"{r['entry_id']}: value", LedgerError)
             require(r["image_id"] in review.images, f"{r['entry_id']}: unknown image", LedgerError)
+            if name in ("cut", "state"):
+                require(r["marker"] in (review.config.gated if name == "cut" else review.config.states), f"{r['entry_id']}: unknown marker", LedgerError)
             if r["reverts"]:
                 require(ids.get(r["reverts"], ("", 0))[0] == name, f"{r['entry_id']}: undoes no earlier row of its ledger", LedgerError)
             last = r["order"]
@@ -197,8 +212,16 @@ class Review:
         values = {k: v for k, v in row.items() if k not in COMMON_NAMES}
         return self.append(name, row["image_id"], reviewer, reason, reverts=row["entry_id"], **values)
 
-    def import_cuts(self, rows: list[Row], reviewer: str, reason: str) -> Review:
-        """One ledger row for each (image_id, marker, estimate[, parent])."""
+    def callability(self) -> DataFrame:
+        return self.prepared.support
+
+    def import_cuts(self, rows: list[Row] | str, reviewer: str, reason: str) -> Review:
+        """One ledger row for each (image_id, marker, estimate[, parent]), given as rows or as the path of a TSV."""
+        if isinstance(rows, str):
+            table = read_tsv(self.spark, rows, {"estimate": "double"})
+            require({"image_id", "marker", "estimate"} <= set(table.columns), "a file of cuts has image_id, marker and estimate", InputError)
+            rows = [r.asDict() for r in table.collect()]  # a row for each action of a person
+        require(all(r["estimate"] is not None for r in rows), "a cut has no estimate", InputError)
         out = self
         for r in rows:
             out = out.set_cut(r["image_id"], r["marker"], float(r["estimate"]), reviewer, reason, r.get("parent"))
@@ -214,6 +237,8 @@ COMMON_NAMES = {c.split(" ")[0] for c in COMMON.split(", ")}
 def review(prepared: Prepared, thresholds: Thresholds, classification: Classification, states: StateCalls | None = None, structures: Structures | None = None, scores: DataFrame | None = None) -> Review:
     digests = {prepared.config.digest(), thresholds.config_digest, classification.config.digest(), *([states.config.digest()] if states else [])}
     require(len(digests) == 1, "inputs do not share a configuration", StateError)
+    same_scores(thresholds.score_digest, prepared, scores, "thresholds")
+    same_scores(classification.score_digest, prepared, classification.scores, "labels")
     images = frozenset(r.image_id for r in prepared.support.select("image_id").distinct().collect())
     return Review(prepared, thresholds, classification, states, structures, images, scores)
 
@@ -338,7 +363,7 @@ def reclassified(r: Review, cuts: Thresholds) -> tuple[DataFrame, tuple[Row, ...
         new = classify(r.prepared, cuts, r.scores, quiet=True)
         return new.full.join(r.classification.df.select(*KEYS, F.col("cell_type").alias("base_cell_type")), KEYS), new.disabled
     require(cuts.config_digest == config.digest(), "thresholds belong to another configuration", StateError)
-    validate_thresholds(r.prepared, cuts)
+    validate_thresholds(r.prepared, cuts, r.scores)
     by_image = cut_row(r.prepared, cuts)
     off = disabled_rules(config, by_image)
     made = {f"{kind}_{m}" for kind in ("cut", "call") for m in config.gated} | {f"on_{k}" for k in range(len(config.hierarchy.rules))} | set(label_names(config))

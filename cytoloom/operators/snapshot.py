@@ -14,10 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IntegrityError, LockError, StateError, check_text, require
-from ..functions.canonical import canonical, sha256, table_digest
+from ..functions.canonical import canonical, fingerprint, sha256, table_digest
 from ..plans.config import Config
 from ..sources.manifest import check_manifest, locked, published, verify_manifest
-from .review import PREFIX, SCHEMAS, Review, Row, columns, now_utc, replay, validate_ledgers
+from .classify import classify
+from .prepare import Prepared, score_digest
+from .review import PREFIX, SCHEMAS, Review, Row, columns, now_utc, replay, review, validate_keys, validate_ledgers
+from .states import StateCalls
+from .structures import Structures
+from .thresholds import Thresholds
 
 STATUSES = ("PENDING", "REVIEWED")
 
@@ -136,10 +141,12 @@ def export_tables(r: Review) -> dict[str, DataFrame]:
     done, spark = replay(r), r.spark
     off = [tuple(x[c] for c in ("image_id", "rule_id", "label", "reason", "markers")) for x in done.disabled]
     out = {
-        "cells_base": r.classification.df, "cells_effective": done.cells, "calls": r.classification.calls, "support": r.prepared.support, "scores": r.scores if r.scores is not None else r.prepared.df,
+        "cells_base": r.classification.df, "cells_effective": done.cells, "calls": r.classification.calls, "support": r.prepared.support, "prepared": r.prepared.df,
         "thresholds_base": r.thresholds.frame(spark), "thresholds_effective": done.thresholds.frame(spark),
         "disabled_rules": spark.createDataFrame(off, "image_id string, rule_id string, label string, reason string, markers string"),
     }
+    if r.scores is not None:
+        out["scores"] = r.scores
     if r.states:
         out |= {"states_base": r.states.df, "states_effective": done.states, "state_thresholds": r.states.thresholds()}
     if r.structures:
@@ -156,6 +163,7 @@ def lock(r: Review, reviewer: str, status: str = "PENDING") -> Snapshot:
     check_text(reviewer, "reviewer", 200)
     require(status in STATUSES, f"statuses are {STATUSES}")
     validate_ledgers(r)
+    validate_keys(r)
     tables = export_tables(r)
     digests = {n: table_digest(t) for n, t in tables.items()}
     return Snapshot(r, tables, digests, reviewer, status, now_utc(), identity(r, digests, reviewer, status))
@@ -185,6 +193,28 @@ def read_export(spark: SparkSession, folder: str, verify: bool = True, expected_
     return {n: spark.read.schema(schema(n)).parquet(f"{folder}/{n}") for n in meta["digests"]}, meta
 
 
+def restore_review(spark: SparkSession, folder: str, verify: bool = True, expected_id: str | None = None) -> Review:
+    """The review that a package was made of, from its tables alone: prepared cells, base cuts, scores, states, structures
+    and ledgers. Labels are worked out anew from them and must be the package's."""
+    tables, meta = read_export(spark, folder, verify, expected_id)
+    return _restored(tables, meta, Config.from_dict(json.loads((Path(folder) / "config.json").read_text())))
+
+
+def _restored(tables: dict[str, DataFrame], meta: dict[str, Any], config: Config) -> Review:
+    prepared = Prepared(tables["prepared"], config, tables["support"], fingerprint(tables["prepared"]))
+    scores = tables.get("scores")
+    rows = lambda name: tuple(r.asDict() for r in tables[name].collect())
+    cuts = Thresholds(rows("thresholds_base"), {}, config.digest(), score_digest(prepared, scores))
+    labels = classify(prepared, cuts, scores, quiet=True)
+    require(table_digest(labels.df) == meta["digests"]["cells_base"], "the package's labels do not follow from its cuts", IntegrityError)
+    called = StateCalls(tables["states_base"], rows("state_thresholds"), config, scores) if "states_base" in tables else None
+    found = Structures(tables["structures"], tables["cell_structures"], {}) if "structures" in tables else None
+    out = replace(review(prepared, cuts, labels, called, found, scores), ledgers=_ledgers_of(meta["ledgers"]))
+    validate_ledgers(out)
+    validate_keys(out)
+    return out
+
+
 def _content_checks(spark: SparkSession, folder: Path, base: Review | None) -> list[dict[str, Any]]:
     tables, meta = read_export(spark, str(folder), verify=False)
     config = Config.from_dict(json.loads((folder / "config.json").read_text()))
@@ -199,16 +229,20 @@ def _content_checks(spark: SparkSession, folder: Path, base: Review | None) -> l
         row("ledgers", [n for n in PREFIX if tables[f"ledger_{n}"].count() != len(ledgers[n])]),
         row("deleted_not_analysed", [] if tables["cells_effective"].where("disposition_effective <> 'NONE' and analysed").isEmpty() else ["cells_effective"]),
     ]
-    if base is not None:
-        again = replay(replace(base, ledgers=ledgers))
+    if all(c["ok"] for c in out):
+        # without the base review the package's own tables are replayed
+        try:
+            again = replay(replace(base, ledgers=ledgers) if base is not None else _restored(tables, meta, config))
+        except IntegrityError as e:
+            return [*out, row("replay", [str(e)])]
         pairs = {"cells_effective": again.cells, "thresholds_effective": again.thresholds.frame(spark)} | ({"states_effective": again.states} if again.states is not None else {})
         out.append(row("replay", [n for n, t in pairs.items() if table_digest(t) != digests.get(n)]))
     return out
 
 
 def verify_export(spark: SparkSession, folder: str, base: Review | None = None, expected_id: str | None = None) -> list[dict[str, Any]]:
-    """Check rows of a package: files against the manifest, tables against their digests and the id, and, with the base
-    review, the effective tables against a new replay."""
+    """Check rows of a package: files against the manifest, tables against their digests and the id, and the effective
+    tables against a new replay of the base review, or of the review restored from the package."""
     checks = check_manifest(folder)
     if all(c["ok"] for c in checks):
         checks += _content_checks(spark, Path(folder), base)
@@ -231,4 +265,4 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-__all__ = ["Snapshot", "acquire", "archive", "columns", "differences", "export", "load_review", "lock", "read_export", "replace_ledgers", "save_review", "verify_export"]
+__all__ = ["Snapshot", "acquire", "archive", "columns", "differences", "export", "load_review", "lock", "read_export", "replace_ledgers", "restore_review", "save_review", "verify_export"]

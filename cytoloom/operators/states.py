@@ -18,7 +18,7 @@ from ..storage import small, stored
 from . import estimators as est
 from . import large
 from .classify import Classification
-from .prepare import KEYS, Prepared, available, support_map, with_support
+from .prepare import KEYS, Prepared, available, score_digest, support_map, with_support
 from .thresholds import COLUMNS, RESULT, SCHEMA, _row, collected, estimate_groups, large_groups, points, result_frame
 
 
@@ -166,6 +166,7 @@ def positive(cut: Column) -> Column:
 
 def state_calls(prepared: Prepared, classification: Classification, scores: DataFrame | None = None) -> StateCalls:
     require(classification.config.digest() == prepared.config.digest(), "inputs do not share a configuration", StateError)
+    require(not classification.score_digest or not prepared.source or classification.score_digest in (prepared.source, score_digest(prepared, scores)), "labels belong to another table", StateError)
     long = long_states(prepared, classification, scores)
     rows = estimate_states(long, prepared.config, support_map(prepared))
     return StateCalls(call_states(long, rows), tuple(rows), prepared.config, scores)

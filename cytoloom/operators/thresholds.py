@@ -25,7 +25,8 @@ from ..session import ready
 from ..storage import small, stored
 from . import estimators as est
 from . import large
-from .prepare import Prepared, support_map
+from .embed import Embedding
+from .prepare import Prepared, same_scores, score_digest, support_map
 
 POINTS = 16_384
 SCHEMA = (
@@ -67,6 +68,7 @@ class Thresholds:
     rows: tuple[dict[str, Any], ...]
     evidence: Mapping[str, dict[str, list[float]]]
     config_digest: str
+    score_digest: str = ""
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in self.rows], SCHEMA)
@@ -203,9 +205,12 @@ def _crossings(prepared: Prepared, scores: DataFrame, population: DataFrame, pla
     return collected(every.unionByName(sampled).groupBy("image_id", "marker").applyInPandas(run, RESULT))
 
 
-def thresholds(prepared: Prepared, scores: DataFrame | None = None, population: DataFrame | None = None) -> Thresholds:
-    """Cuts of all images and identity markers. ``scores``: a corrected table with score_ columns; ``population``:
-    (image_id, cell_id, population) of an embedding."""
+def thresholds(prepared: Prepared, scores: DataFrame | None = None, population: DataFrame | Embedding | None = None) -> Thresholds:
+    """Cuts of all images and identity markers. ``scores``: a corrected table with score_ columns; ``population``: an
+    embedding of these scores, or a table (image_id, cell_id, population)."""
+    if isinstance(population, Embedding):
+        same_scores(population.score_digest, prepared, scores, "populations")
+        population = population.df
     config = prepared.config
     status = support_map(prepared)
     images = sorted({i for i, _ in status})
@@ -245,11 +250,12 @@ def thresholds(prepared: Prepared, scores: DataFrame | None = None, population:
         if ref:
             refs[ref] = key
         rows.append(_row(*key, None, m.role, method, args, est.enforce_pools(found, m.support.min_cells), ref))
-    return Thresholds(tuple(rows), Evidence(evidence, refs), config.digest())
+    return Thresholds(tuple(rows), Evidence(evidence, refs), config.digest(), score_digest(prepared, scores))
 
 
-def validate_thresholds(prepared: Prepared, cuts: Thresholds) -> None:
-    """Exactly one row for each image and identity marker, finite where callable, of the same configuration."""
+def validate_thresholds(prepared: Prepared, cuts: Thresholds, scores: DataFrame | None = None) -> None:
+    """Exactly one row for each image and identity marker, finite where callable, of the same configuration and scores."""
+    same_scores(cuts.score_digest, prepared, scores, "thresholds")
     require(cuts.config_digest == prepared.config.digest(), "thresholds belong to another configuration", StateError)
     want = {(i, m) for i in {i for i, _ in support_map(prepared)} for m in prepared.config.gated}
     got = [(r["image_id"], r["marker"]) for r in cuts.rows if r["parent"] is None]

@@ -10,6 +10,8 @@ from ..functions.columns import col
 from .classify import Classification
 from .embed import Embedding
 from .prepare import KEYS, Prepared, available, with_support
+from .review import Review, replay
+from .snapshot import Snapshot
 from .thresholds import Thresholds, density_table, evidence_frame
 
 
@@ -69,9 +71,17 @@ def overview(cells: DataFrame, image: str, structures: DataFrame | None = None)
     return out
 
 
+def first_map(x: Review | Snapshot | dict[str, DataFrame]) -> DataFrame:
+    """The effective labels of the first image of a review, a snapshot or an export's tables."""
+    cells = replay(x).cells if isinstance(x, Review) else (x.tables if isinstance(x, Snapshot) else x)["cells_effective"]
+    image = cells.agg(F.min("image_id")).first()[0]
+    require(image is not None, "there are no cells")
+    return map_view(cells, image)
+
+
 def ledger_view(frame: DataFrame, limit: int = 1000) -> DataFrame:
     """The newest entries of a ledger, for display."""
     return frame.orderBy(F.desc("order")).limit(limit)
 
 
-__all__ = ["density_view", "dotplot", "embedding_view", "evidence_frame", "ledger_view", "map_view", "overview", "state_histogram", "thresholds_view"]
+__all__ = ["density_view", "dotplot", "embedding_view", "evidence_frame", "first_map", "ledger_view", "map_view", "overview", "state_histogram", "thresholds_view"]

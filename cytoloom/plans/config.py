@@ -15,7 +15,7 @@ from typing import Any
 
 from ..errors import ConfigError, require
 from ..functions.canonical import canonical, sha256
-from .methods import COMPARTMENTS, IDENTITY_ROLES, ROLES, TRANSFORMS, method_args
+from .methods import COMPARTMENTS, IDENTITY_ROLES, METHODS, ROLES, TRANSFORMS, method_args
 
 FLAG_POLICIES = ("exclude", "flag_only", "unresolved")
 ON_UNCALLABLE = ("disable_rule", "treat_as_negative")
@@ -335,3 +335,31 @@ def read_config(path: str) -> Config:
 def with_manual_cuts(config: Config, cuts: dict[str, float]) -> Config:
     """The configuration with manual thresholds for some markers."""
     return replace(config, panel=tuple(replace(m, method="manual", args={"value": cuts[m.marker]}) if m.marker in cuts else m for m in config.panel))
+
+
+def json_schema() -> dict[str, Any]:
+    """A JSON Schema (draft 7) of the configuration's JSON form, made from the classes. Cross-references are left to
+    ``validate``."""
+    kinds = {"str": {"type": "string"}, "bool": {"type": "boolean"}, "int": {"type": "integer"}, "float": {"type": "number"}, "Any": {}}
+
+    def of_type(text: str) -> dict[str, Any]:
+        text = text.strip()
+        if text.endswith("| None"):
+            return {"anyOf": [of_type(text.removesuffix("| None")), {"type": "null"}]}
+        if text.startswith("tuple["):
+            return {"type": "array", "items": of_type(text[6:].removesuffix("]").removesuffix(", ..."))}
+        if text.startswith("dict["):
+            return {"type": "object", "additionalProperties": of_type(text[5:].removesuffix("]").split(", ", 1)[1])}
+        return kinds[text] if text in kinds else of_class(globals()[text])
+
+    def of_class(cls: type, **extra: Any) -> dict[str, Any]:
+        named = {f.name: of_type(f.type) for f in fields(cls)}
+        choices = {"role": list(ROLES), "transform": list(TRANSFORMS), "compartment": list(COMPARTMENTS), "method": [*METHODS]}
+        for name, values in choices.items():
+            if name in named:
+                optional = "anyOf" in named[name]
+                named[name] = {"enum": [*values, None] if optional else values}
+        properties = {**extra, **named}
+        return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+    return {"$schema": "http://json-schema.org/draft-07/schema#", "title": "Configuration", **of_class(Config, schema={"const": SCHEMA})}

@@ -15,7 +15,7 @@ from cytoloom.operators import classify as cl
 from cytoloom.operators import correct, embed, estimators as est, fixed, large, order, review, snapshot, states, structures, views
 from cytoloom.operators import thresholds as th
 from cytoloom.operators.prepare import cell_table, prepare, validate_cells
-from cytoloom.plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, read_config, signal_policy, validate, write_config
+from cytoloom.plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, json_schema, read_config, signal_policy, validate, write_config
 from cytoloom.plans.methods import METHODS, catalogue
 from cytoloom.sources.cellstore import read_cells, write_cells
 from cytoloom.sources.example import example_config
@@ -472,6 +472,48 @@ def test_checkpoint_export_and_tampering(spark, tmp_path):
         snapshot.archive(str(folder), str(tmp_path / "a.tar.gz"))
 
 
+def test_a_package_gives_its_review_back(spark, tmp_path):
+    """Restored from tables alone, the review replays alike and goes on; a package verifies itself; changed labels fail."""
+    p, cuts, k, s = analysed(spark)
+    pending = p.df.join(k.df.select("image_id", "cell_id", "pending_review"), ["image_id", "cell_id"])
+    r = review.review(p, cuts, k, s, structures.structures(pending, 15, 60, 3, 3))
+    image = sorted(r.images)[0]
+    cell = p.df.where(F.col("image_id") == image).first().cell_id
+    r = r.set_cut(image, "CD3", 1.5, *WHO).dispose(image, "EXCLUDE", *WHO, cell_id=cell)
+    folder = str(tmp_path / "package")
+    snapshot.export(snapshot.lock(r, "reviewer"), folder)
+    assert all(c["ok"] for c in snapshot.verify_export(spark, folder)) and "replay" in {c["check"] for c in snapshot.verify_export(spark, folder)}
+    again = snapshot.restore_review(spark, folder)
+    assert again.ledgers == r.ledgers and table_digest(review.replay(again).cells) == table_digest(review.replay(r).cells)
+    assert review.replay(again.set_cut(image, "CD3", 9.0, *WHO)).cells.count() == p.df.count()
+    assert views.first_map(again).count() == views.first_map(snapshot.read_export(spark, folder)[0]).count() > 0
+    with pytest.raises(errors.LedgerError):
+        snapshot.lock(replace(r, ledgers=r.ledgers | {"disposition": ({**r.ledgers["disposition"][0], "cell_id": "nobody"},)}), "reviewer")
+
+
+def test_results_are_bound_to_their_scores(spark):
+    rng = np.random.default_rng(30)
+    v = np.concatenate([rng.normal(2, 0.2, 150), rng.normal(6, 0.2, 150)])
+    c = config(Marker("A"), Marker("B"))
+    p, other = (prepare(cells(spark, {"A": v + d, "B": v}), c) for d in (0, 1))
+    scores, model = correct.correct(p, "robust_z")
+    cuts, corrected = th.thresholds(p), th.thresholds(p, scores)
+    assert cl.classify(p, cuts).df.count() == cl.classify(p, corrected, scores).df.count() == 300
+    for wrong in (lambda: cl.classify(other, cuts), lambda: cl.classify(p, corrected), lambda: cl.classify(p, cuts, scores), lambda: correct.apply(other, model), lambda: states.state_calls(other, cl.classify(p, cuts)), lambda: th.thresholds(other, population=embed.embed(p, grid=20, min_abs=5))):
+        with pytest.raises(errors.StateError):
+            wrong()
+    assert table_digest(cl.classify(p, cuts).callability()) == table_digest(p.callability())
+
+
+def test_cuts_from_a_file(spark, tmp_path):
+    c = config(Marker("A", method="manual", args={"value": 3.0}))
+    p = prepare(cells(spark, {"A": range(1, 41)}), c)
+    cuts = th.thresholds(p)
+    write_tsv(spark.createDataFrame([("I", "A", 7.5)], "image_id string, marker string, estimate double"), str(tmp_path / "cuts"), packed=False)
+    r = review.review(p, cuts, cl.classify(p, cuts)).import_cuts(str(tmp_path / "cuts"), *WHO)
+    assert [x["new_estimate"] for x in r.ledgers["cut"]] == [7.5] and review.replay(r).cells.where("cell_type = 'L'").count() == 33
+
+
 def test_cell_store_and_tsv(spark, tmp_path):
     table = simulate(spark, 50, seed=2)
     for form in ("parquet", "tsv.gz"):
@@ -499,6 +541,28 @@ def test_configuration(tmp_path):
     assert len(catalogue()) == 6
 
 
+def fits(x, schema):
+    """Whether a value fits the parts of JSON Schema that ``json_schema`` uses."""
+    if "anyOf" in schema:
+        return any(fits(x, s) for s in schema["anyOf"])
+    if "enum" in schema or "const" in schema:
+        return x in schema.get("enum", [schema.get("const")])
+    kind = schema.get("type")
+    if kind == "object":
+        named = schema.get("properties")
+        return isinstance(x, dict) and (set(x) == set(named) and all(fits(v, named[k]) for k, v in x.items()) if named else all(fits(v, schema["additionalProperties"]) for v in x.values()))
+    if kind == "array":
+        return isinstance(x, list) and all(fits(v, schema["items"]) for v in x)
+    return not kind or isinstance(x, {"string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}[kind])
+
+
+def test_json_schema():
+    d = example_config().to_dict()
+    assert fits(d, json_schema())
+    for change in ({"schema": "other"}, {"panel": [{**d["panel"][0], "role": "none"}]}, {"hierarchy": {}}, {"more": 1}):
+        assert not fits(d | change, json_schema())
+
+
 def test_canonical_json():
     assert canonical({"b": [1, 2.5, None, True], "a": "é"}) == '{"a":"é","b":[1,2.5,null,true]}'
     assert canonical(0.1 + 0.2) == "0.30000000000000004" and canonical(1e15) == "1000000000000000" and canonical(-0.0) == "0"
