@@ -6,8 +6,9 @@ blocks that promise a meeting at that distance hold a few bits each. So candidat
 ROWS minima, and a pair that shares a band is compared exactly on its shingles (64-bit hashes). A pair at 0.8 shares none
 with a probability of 0.672 ** 30, about 1 in 150,000; more similar pairs are missed more rarely still.
 
-A band's members never form all their pairs at once. First each meets the smallest and the largest of its band, so a
-large family of near copies costs two comparisons for a member and band. Then, in bands whose members are not all of one
+A band's members never form all their pairs at once. First each meets its band's centre, the member that shares bands with
+most others. Bands of one family have the same few centres, texts near its original, so a large family costs a few
+comparisons for a member. Then, in bands whose members are not all of one
 component, those outside the most frequent component meet the others: all of them in bands of FEW members. In larger ones
 (texts around one original, of which the outer are near nobody, or texts that share a long passage) the search goes by
 prefixes and positions (Bayardo, Ma, Srikant 2007; Xiao et al. 2008), which is exact: with shingles in the order of their frequency, two
@@ -153,17 +154,20 @@ def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
     """
     distinct = table.groupBy("key").agg(F.first("bands").alias("bands"))
     spread = stored(distinct.select("key", F.explode("bands").alias("part")), "near-parts")
-    sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1").drop("n")
-    full = stored(spread.join(stored(sizes, "near-sizes"), "part"), "near-bands")
+    sizes = stored(spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    shared = stored(spread.join(sizes, "part"), "near-shared")
+    weighed = shared.join(shared.groupBy("key").agg(F.sum("n").alias("met")), "key").select("part", "key", "met")
+    centres = weighed.groupBy("part").agg(F.max(F.struct("met", "key")).alias("c")).select("part", F.col("c.key").alias("centre"))
+    full = stored(shared.join(centres, "part").select("part", "key", "centre"), "near-bands")
     one = table.join(full.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", mark)).alias("one"))
     one = stored(one.select("key", F.col("one.doc_id").alias("_id"), F.col(f"one.{mark}").alias("_text_hash")), "near-ones")
     texts = docs.join(one, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs[mark] == F.col("_text_hash"))).select("key", "text")
     # repeated rows have the same set
     sets = stored(texts.mapInArrow(_sets, SETS).groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "members"))), "near-sets")
-    stars = full.selectExpr("low as a", "key as b").unionByName(full.selectExpr("key as a", "high as b")).where("a < b").distinct()
+    stars = full.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     first = stored(_similar(stars, sets), "near-stars")
     labels = simhash.components(first)
-    placed = full.where("key <> low and key <> high").join(labels, full.key == labels.node, "left").select("part", "key", F.coalesce("label", "key").alias("label"))
+    placed = full.where("key <> centre").join(labels, full.key == labels.node, "left").select("part", "key", F.coalesce("label", "key").alias("label"))
     mixed = stored(_mixed(placed), "near-mixed")
     pairs = _across(mixed.where(F.col("members") <= FEW))
     crowd = mixed.where(F.col("members") > FEW).select("key", "label").distinct()
