@@ -77,3 +77,20 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Of a table's rows a key may hold one in HOT before its rows are dealt over SALTS parts.
+HOT, SALTS = 1000, 64
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` with the columns of ``classes``, which has one row for each ``key`` and its number of rows, n (dropped).
+
+    Keys with over a thousandth of all rows, at most HOT of them, are broadcast; their rows are dealt by ``spread``
+    over SALTS parts, and their class goes to each part, so a key with a third of all rows fills no task.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = classes.where(F.col("n") * HOT > total).select(key, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("n") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(classes.withColumn("_salt", F.explode(parts)).drop("n"), [key, "_salt"]).drop("_salt")

@@ -15,7 +15,8 @@ components as they are.
 Components: alternating large-star and small-star steps (Kiveris et al. 2014) on written tables.
 
 Nulls: a null or empty text has fingerprint zero; a null doc_id takes part and is never chosen as component_id while
-the component has another id. Repeated rows come out as often as they come in. Extra columns are ignored.
+the component has another id. Repeated rows come out as often as they come in. Extra columns are ignored. An empty
+table gives no rows. Fingerprints of many copies (hot keys) are dealt over parts when rows meet their component.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .common import fresh, release, stored
+from .common import fresh, join_by_class, release, stored
 
 SHINGLE, SEED, MAX_BITS, PIECES, BLOCK_PAIRS = 3, 42, 2, 5, 32
 CHUNK = 1 << 18
@@ -131,7 +132,7 @@ def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     prints = stored(near_copies.described(narrow, "mark") if similar else fingerprints(narrow, "mark"), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     edges = links(classes.select("fp"))
     if similar:
         # a set of shingles stands at the smallest of its fingerprints
@@ -141,10 +142,10 @@ def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
         pairs = near.join(least.selectExpr("key as a", "least as fa"), "a").join(least.selectExpr("key as b", "least as fb"), "b")
         edges = edges.unionByName(pairs.selectExpr("fa as a", "fb as b")).unionByName(keyed.join(least, "key").selectExpr("least as a", "fp as b")).where("a <> b")
     labels = components(edges)
-    linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    linked = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
     ids = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_print = linked.join(ids, "label").select("fp", F.col("label").alias("comp"), "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "mark", "fp", "comp", "component_id")
+    by_print = stored(linked.join(ids, "label").select("fp", F.col("label").alias("comp"), "component_id", "n"), "components")
+    return join_by_class(prints, by_print, "fp", F.xxhash64("doc_id", "mark")).select("doc_id", "mark", "fp", "comp", "component_id")
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Writing: the first page (smallest page_id) of each payload gets a response record, the others revisit records that name
 it; payloads smaller than MIN_PAYLOAD are always responses. First pages are found by a grouped minimum of digests, and
-joined back by digest (a hot payload's rows are split by the adaptive skew join). Each task writes archives of up to
+joined back by digest (the rows of a hot payload are dealt over parts). Each task writes archives of up to
 ARCHIVE_BYTES, one gzip member for a record, into a folder of the shared store, under the name of its attempt first, and
 renames them when whole; a task that runs again writes the same records. What was written is listed in a stored table,
 so nothing is written twice, and reading starts from that list.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .common import new_path, stored
+from .common import join_by_class, new_path, stored
 
 ARCHIVE_BYTES, BLOCK, MIN_PAYLOAD, HEADER = 64 << 20, 1 << 20, 0, 1 << 16
 #: Fixed values of the WARC 1.1 format.
@@ -239,9 +239,9 @@ def with_first(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the first page of an equal payload, null for responses."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.unhex(F.sha1(html.cast("binary"))))
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = stored(narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "first-pages")
     again = (F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull())
-    return narrow.join(first, "digest").select("page_id", "url", "html", F.when(again & (F.octet_length("html") >= MIN_PAYLOAD), F.col("first")).alias("refers_to"))
+    return join_by_class(narrow, first, "digest", F.xxhash64("page_id", "url")).select("page_id", "url", "html", F.when(again & (F.octet_length("html") >= MIN_PAYLOAD), F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, packed: bool = True) -> DataFrame:
