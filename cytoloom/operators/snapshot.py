@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..errors import IntegrityError, LockError, StateError, check_text, require
 from ..functions.canonical import canonical, fingerprint, sha256, table_digest
 from ..plans.config import Config
+from ..sources.folders import Folder
 from ..sources.manifest import check_manifest, locked, published, verify_manifest
+from ..storage import stored
 from .classify import classify
 from .prepare import Prepared, score_digest
 from .review import PREFIX, SCHEMAS, Review, Row, columns, now_utc, replay, review, validate_keys, validate_ledgers
@@ -164,7 +166,8 @@ def lock(r: Review, reviewer: str, status: str = "PENDING") -> Snapshot:
     require(status in STATUSES, f"statuses are {STATUSES}")
     validate_ledgers(r)
     validate_keys(r)
-    tables = export_tables(r)
+    # locked as they are now: stored once, then hashed, written and compared from there
+    tables = {n: stored(t, f"locked-{n}") for n, t in export_tables(r).items()}
     digests = {n: table_digest(t) for n, t in tables.items()}
     return Snapshot(r, tables, digests, reviewer, status, now_utc(), identity(r, digests, reviewer, status))
 
@@ -187,17 +190,18 @@ def export(s: Snapshot, folder: str, overwrite: bool = False) -> str:
 def read_export(spark: SparkSession, folder: str, verify: bool = True, expected_id: str | None = None) -> tuple[dict[str, DataFrame], dict[str, Any]]:
     if verify:
         verify_manifest(folder)
-    meta = json.loads((Path(folder) / "package.json").read_text())
+    root = Folder(folder)
+    meta = json.loads((root / "package.json").read_text())
     require(expected_id is None or meta["review_id"] == expected_id, "the package has another id", IntegrityError)
     schema = lambda n: ", ".join(f"`{c}` {k}" for c, k in meta["columns"][n])
-    return {n: spark.read.schema(schema(n)).parquet(f"{folder}/{n}") for n in meta["digests"]}, meta
+    return {n: spark.read.schema(schema(n)).parquet(f"{root}/{n}") for n in meta["digests"]}, meta
 
 
 def restore_review(spark: SparkSession, folder: str, verify: bool = True, expected_id: str | None = None) -> Review:
     """The review that a package was made of, from its tables alone: prepared cells, base cuts, scores, states, structures
     and ledgers. Labels are worked out anew from them and must be the package's."""
     tables, meta = read_export(spark, folder, verify, expected_id)
-    return _restored(tables, meta, Config.from_dict(json.loads((Path(folder) / "config.json").read_text())))
+    return _restored(tables, meta, Config.from_dict(json.loads((Folder(folder) / "config.json").read_text())))
 
 
 def _restored(tables: dict[str, DataFrame], meta: dict[str, Any], config: Config) -> Review:
@@ -215,7 +219,7 @@ def _restored(tables: dict[str, DataFrame], meta: dict[str, Any], config: Config
     return out
 
 
-def _content_checks(spark: SparkSession, folder: Path, base: Review | None) -> list[dict[str, Any]]:
+def _content_checks(spark: SparkSession, folder: Folder, base: Review | None) -> list[dict[str, Any]]:
     tables, meta = read_export(spark, str(folder), verify=False)
     config = Config.from_dict(json.loads((folder / "config.json").read_text()))
     row = lambda name, wrong: {"check": name, "ok": not wrong, "details": ", ".join(wrong)}
@@ -245,9 +249,9 @@ def verify_export(spark: SparkSession, folder: str, base: Review | None = None,
     tables against a new replay of the base review, or of the review restored from the package."""
     checks = check_manifest(folder)
     if all(c["ok"] for c in checks):
-        checks += _content_checks(spark, Path(folder), base)
+        checks += _content_checks(spark, Folder(folder), base)
         if expected_id is not None:
-            meta = json.loads((Path(folder) / "package.json").read_text())
+            meta = json.loads((Folder(folder) / "package.json").read_text())
             checks.append({"check": "expected_id", "ok": meta["review_id"] == expected_id, "details": meta["review_id"]})
     return checks
 

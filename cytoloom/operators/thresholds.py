@@ -188,7 +188,7 @@ def _crossings(prepared: Prepared, scores: DataFrame, population: DataFrame, pla
     drawn = drawn.where((F.col("n") <= 4 * most) | (F.pmod("_h", F.lit(1 << 30)) < (F.lit(1.5 * (1 << 30)) * most / F.col("n"))))
     ranked = drawn.selectExpr("*", "row_number() over (partition by image_id, marker, population order by _h, cell_id) as _k")
     sampled = ranked.where(F.col("_k") <= most).select("image_id", "marker", "population", "v", F.col("_k").alias("w"), F.lit(True).alias("sample"))
-    pools = long.groupBy("image_id", "marker", "population").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("variance"))
+    pools = population_moments(long)
     every = pools.select("image_id", "marker", "population", F.col("mean").alias("v"), F.col("n").alias("w"), "variance", F.lit(False).alias("sample"))
     sampled = sampled.select("image_id", "marker", "population", "v", F.col("w").cast("long").alias("w"), F.lit(0.0).alias("variance"), "sample")
     support = {m: config.marker(m).support for m in markers}
@@ -205,6 +205,11 @@ def _crossings(prepared: Prepared, scores: DataFrame, population: DataFrame, pla
     return collected(every.unionByName(sampled).groupBy("image_id", "marker").applyInPandas(run, RESULT))
 
 
+def population_moments(long: DataFrame) -> DataFrame:
+    """(image_id, marker, population, n, mean, variance) of (image_id, marker, population, v)."""
+    return long.groupBy("image_id", "marker", "population").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("variance"))
+
+
 def thresholds(prepared: Prepared, scores: DataFrame | None = None, population: DataFrame | Embedding | None = None) -> Thresholds:
     """Cuts of all images and identity markers. ``scores``: a corrected table with score_ columns; ``population``: an
     embedding of these scores, or a table (image_id, cell_id, population)."""
@@ -253,6 +258,13 @@ def thresholds(prepared: Prepared, scores: DataFrame | None = None, population:
     return Thresholds(tuple(rows), Evidence(evidence, refs), config.digest(), score_digest(prepared, scores))
 
 
+def coverage(prepared: Prepared, frame: DataFrame) -> DataFrame:
+    """(image_id, marker, n) of the images and identity markers that have no or several rows in a table of thresholds."""
+    want = prepared.support.where(F.col("marker").isin(*prepared.config.gated)).select("image_id", "marker")
+    found = frame.where("parent is null").groupBy("image_id", "marker").agg(F.count(F.lit(1)).alias("n"))
+    return want.join(found, ["image_id", "marker"], "full_outer").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> 1")
+
+
 def validate_thresholds(prepared: Prepared, cuts: Thresholds, scores: DataFrame | None = None) -> None:
     """Exactly one row for each image and identity marker, finite where callable, of the same configuration and scores."""
     same_scores(cuts.score_digest, prepared, scores, "thresholds")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from ..errors import StructureError, require
 from ..functions.canonical import canonical
 from ..operators.prepare import CellTable, cell_table, validate_cells
+from .folders import Folder
 from .manifest import published, verify_manifest
 from .tsv import read_tsv, write_tsv
 
@@ -35,14 +35,15 @@ def write_cells(cells: CellTable, folder: str, overwrite: bool = False, form: st
 def read_cells(spark: SparkSession, folder: str, verify: bool = True) -> CellTable:
     if verify:
         verify_manifest(folder)
-    side = json.loads((Path(folder) / "cells.json").read_text())
+    root = Folder(folder)
+    side = json.loads((root / "cells.json").read_text())
     require(side["version"].split(".")[0] == VERSION.split(".")[0], "unknown version", StructureError)
     types = side["types"]
     if side["format"] == "parquet":
         schema = ", ".join(f"`{n}` {k}" for n, k in types.items())
-        df = spark.read.schema(schema).parquet(f"{folder}/cells").select(*(f"`{n}`" for n in types))
+        df = spark.read.schema(schema).parquet(f"{root}/cells").select(*(f"`{n}`" for n in types))
     else:
-        df = read_tsv(spark, f"{folder}/cells", types, check=verify)
-    images = spark.read.parquet(f"{folder}/images") if (Path(folder) / "images").exists() else None
+        df = read_tsv(spark, f"{root}/cells", types, check=verify)
+    images = spark.read.parquet(f"{root}/images") if (root / "images").exists() else None
     found = cell_table(df, images, side["features"])
     return CellTable(found.df, found.features, images, side["provenance"])

@@ -1,58 +1,46 @@
 """Folders that are published whole: staged, listed in a manifest of SHA-256 digests, renamed into place.
 
-Folders are on a file system that the driver sees as its own; tables in them are written by Spark.
+Folders may lie on any store that the driver and the executors share (``folders``); tables in them are written by Spark,
+and large ones are hashed by it. Locks are for folders of one machine.
 """
 
 from __future__ import annotations
 
 import contextlib
 import hashlib
-import os
-import shutil
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
 from ..errors import IntegrityError, LockError, PathError, require
+from .folders import Folder, digests
 
 MANIFEST, DONE = "MANIFEST.sha256", "DONE"
 
 
-def file_digest(path: Path) -> str:
-    digest = hashlib.sha256()
-    with path.open("rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
-
-
-def listed_files(folder: Path) -> list[str]:
-    """Relative paths of all files but the manifest, its mark, and checksum files of the writers; links are errors."""
-    out = []
-    for path in sorted(folder.rglob("*")):
-        require(not path.is_symlink(), f"{path} is a link", PathError)
-        name = path.relative_to(folder).as_posix()
-        if path.is_file() and name not in (MANIFEST, DONE) and not path.name.endswith(".crc"):
-            out.append(name)
-    return out
+def listed_files(folder: Folder) -> dict[str, int]:
+    """Sizes of all files but the manifest, its mark, and checksum files of the writers, by relative path."""
+    return {n: size for n, size in sorted(folder.files().items()) if n not in (MANIFEST, DONE) and not n.endswith(".crc")}
 
 
 def safe(name: str) -> bool:
     return bool(name) and not name.startswith("/") and "\\" not in name and all(p not in ("", ".", "..") for p in name.split("/"))
 
 
-def write_manifest(folder: Path) -> str:
-    text = "".join(f"{file_digest(folder / n)}  {n}\n" for n in listed_files(folder))
+def write_manifest(folder: Folder) -> str:
+    found = digests(folder, listed_files(folder))
+    text = "".join(f"{found[n]}  {n}\n" for n in sorted(found))
     (folder / MANIFEST).write_text(text)
     digest = hashlib.sha256(text.encode()).hexdigest()
     (folder / DONE).write_text(digest + "\n")
     return digest
 
 
-def check_manifest(folder: str | Path) -> list[dict[str, Any]]:
+def check_manifest(folder: str | Path | Folder) -> list[dict[str, Any]]:
     """Check rows (check, ok, details): manifest present, sealed, safe paths, nothing missing, changed or added."""
-    folder = Path(folder)
+    folder = Folder(folder)
     manifest, done = folder / MANIFEST, folder / DONE
     if not manifest.is_file() or not done.is_file():
         return [{"check": "manifest", "ok": False, "details": "manifest or its mark is missing"}]
@@ -62,47 +50,47 @@ def check_manifest(folder: str | Path) -> list[dict[str, Any]]:
     malformed = [r[0] for r in rows if len(r) != 2 or len(r[0]) != 64]
     named = {r[1]: r[0] for r in rows if len(r) == 2}
     unsafe = [n for n in named if not safe(n)]
-    out = [row("manifest", malformed), row("sealed", [] if done.read_text().strip() == hashlib.sha256(text.encode()).hexdigest() else [DONE]), row("paths", unsafe), row("unique", [n for n in named if sum(r[-1] == n for r in rows) > 1])]
+    out = [row("manifest", malformed), row("sealed", [] if done.read_text().strip() == hashlib.sha256(text.encode()).hexdigest() else [DONE]), row("paths", unsafe), row("unique", [n for n, k in Counter(r[-1] for r in rows).items() if k > 1])]
     if unsafe or malformed:
         return out
     try:
-        there = set(listed_files(folder))
+        there = listed_files(folder)
     except PathError as e:
         return [*out, row("links", [str(e)])]
-    out += [row("missing", set(named) - there), row("added", there - set(named))]
-    return [*out, row("content", [n for n in set(named) & there if file_digest(folder / n) != named[n]])]
+    out += [row("missing", set(named) - set(there)), row("added", set(there) - set(named))]
+    found = digests(folder, {n: size for n, size in there.items() if n in named})
+    return [*out, row("content", [n for n, digest in found.items() if digest != named[n]])]
 
 
-def verify_manifest(folder: str | Path) -> None:
+def verify_manifest(folder: str | Path | Folder) -> None:
     failed = [c for c in check_manifest(folder) if not c["ok"]]
     require(not failed, "; ".join(f"{c['check']}: {c['details']}" for c in failed), IntegrityError)
 
 
 @contextlib.contextmanager
-def published(folder: str | Path, overwrite: bool = False) -> Iterator[Path]:
+def published(folder: str | Path, overwrite: bool = False) -> Iterator[Folder]:
     """A staging folder beside ``folder``; on success it gets a manifest and takes its place, on failure it goes. A folder
     that is replaced comes back if the rename fails."""
-    target = Path(folder).absolute()
-    require(target != Path(target.anchor), "the root can't be written", PathError)
+    target = Folder(folder)
+    require(target.root.strip("/") != "", "the root can't be written", PathError)
     require(overwrite or not target.exists(), f"{target} exists", PathError)
-    target.parent.mkdir(parents=True, exist_ok=True)
     staged = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    staged.mkdir()
+    staged.make()
     try:
         yield staged
         write_manifest(staged)
         old = target.with_name(f".{target.name}.old.{uuid.uuid4().hex}")
         if target.exists():
-            os.rename(target, old)
+            target.move(old)
         try:
-            os.rename(staged, target)
+            staged.move(target)
         except OSError:
             if old.exists():
-                os.rename(old, target)
+                old.move(target)
             raise
-        shutil.rmtree(old, ignore_errors=True)
+        old.remove()
     finally:
-        shutil.rmtree(staged, ignore_errors=True)
+        staged.remove()
 
 
 @contextlib.contextmanager
