@@ -22,7 +22,8 @@ import re
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from operator import add
+from itertools import chain
+from operator import add, itemgetter
 from pathlib import Path
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import ready
 from .common import fresh
 
-MARK, MEMORY, LONG, CHARS_AT_ONCE = "▁", 96 << 20, 200, 1_000_000
+MARK, MEMORY, LONG, CHARS_AT_ONCE = "▁", 192 << 20, 200, 1_000_000
 #: Fixed values of the model format.
 BPE, NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 1, 2, 3, 4, 5, 6
 
@@ -142,12 +143,14 @@ class Vocabulary:
         return out
 
 
+IDS, DIGITS = itemgetter(0), itemgetter(1)
 Known = tuple[tuple[int, ...], str] | None  # ids and their digits joined by commas; None where the agenda differs
 
 
 def weight(segment: str, known: Known) -> int:
-    """Bytes of a remembered segment, reckoned high: texts of up to four bytes a character, numbers as objects of their own."""
-    return 400 + 4 * len(segment) + (40 * len(known[0]) + len(known[1]) if known else 0)
+    """Bytes of a remembered segment, reckoned high: up to four for a character, a pointer for an id (the numbers themselves
+    belong to the vocabulary), and the objects and their place in the dictionary."""
+    return 300 + 4 * len(segment) + (8 * len(known[0]) + len(known[1]) if known else 0)
 
 
 class Codec:
@@ -178,15 +181,14 @@ class Codec:
         """Takes new segments into the memory; those too long for it are returned."""
         memory, older = self.memory, self.older
         new, long = [], []
-        for s in segments:
+        for s in segments.difference(memory):
             if len(s) > LONG:
                 long.append(s)
-            elif s not in memory:
-                if s in older:
-                    memory[s] = older[s]
-                    self.held += weight(s, older[s])
-                else:
-                    new.append(s)
+            elif s in older:
+                memory[s] = older[s]
+                self.held += weight(s, older[s])
+            else:
+                new.append(s)
         for s, known in self.work_out(new):
             memory[s] = known
             self.held += weight(s, known)
@@ -196,17 +198,19 @@ class Codec:
         """For each text its ids, their decimal digits joined by commas, and whether the agenda differed."""
         cut = [self.vocabulary.segment(t) for t in texts]
         long = self.learn(set().union(*cut))
-        memory = self.memory
+        known = self.memory.get
         out = []
         for text, segments in zip(texts, cut, strict=True):
-            found = [long[s] if s in long else memory[s] for s in segments] if long else [memory[s] for s in segments]
+            found = list(map(known, segments))
+            if None in found:
+                found = [x or long.get(s) for x, s in zip(found, segments, strict=True)]
             if None in found:
                 ids = self.library.encode(text)
                 out.append((ids, ",".join(map(str, ids)), True))
             else:
-                out.append(([i for x in found for i in x[0]], ",".join([x[1] for x in found]), False))
+                out.append((list(chain.from_iterable(map(IDS, found))), ",".join(map(DIGITS, found)), False))
         if self.held > MEMORY:  # what is used again moves on, the rest is forgotten
-            self.memory, self.older, self.held = {}, memory, 0
+            self.memory, self.older, self.held = {}, self.memory, 0
         return out
 
 
