@@ -132,13 +132,14 @@ def frozen_apply(spark, d):
 def frozen_fit_params(spark, d):
     model = correct.fit_frozen(_raw(spark, d), NAMES, NAMES[:2])
     rows = [(space, k, m, float(v)) for space in ("identity_space", "panel_space") for k in ("median", "mad", "slope", "intercept", "center", "scale") for m, v in getattr(getattr(model, space), k).items()]
-    return spark.createDataFrame(rows, "space string, parameter string, marker string, value double")
+    # adding zero makes -0.0 and 0.0 one
+    return spark.createDataFrame([(*r[:3], round(r[3], 6) + 0.0) for r in rows], "space string, parameter string, marker string, value double")
 
 
 def correction_params(spark, d):
     """Medians and scaled MADs of the robust z, all parameters of the first-component residual."""
     c = correct.fit(lines(spark, d), "pc1_panel_residual")
-    return spark.createDataFrame([(m, c.median[m], c.mad[m], c.rotation[m], c.slope[m]) for m in c.fitted], "marker string, median double, mad double, rotation double, slope double")
+    return spark.createDataFrame([(m, *(round(x[m], 6) + 0.0 for x in (c.median, c.mad, c.rotation, c.slope))) for m in c.fitted], "marker string, median double, mad double, rotation double, slope double")
 
 
 def _events(spark, d) -> DataFrame:

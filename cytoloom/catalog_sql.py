@@ -88,6 +88,67 @@ rp AS (SELECT *, in_parent AND located AND t >= estimate AS positive FROM rs)"""
 
 _VIEW = density("SELECT pool AS g, v FROM (SELECT 'pooled' AS pool, v FROM ev UNION ALL SELECT CASE WHEN v > 1.5 THEN 'positive' ELSE 'negative' END, v FROM ev)", 32)
 
+def principal(table: str, columns: str, squarings: int = 16) -> str:
+    """CTEs cm (covariances) and pv (first component, v_<column>, largest loading positive) of the columns' letters: the
+    covariance matrix is squared until one direction is left."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+    entry = lambda a, b: f"c_{min(a, b, key=columns.index)}{max(a, b, key=columns.index)}"
+    out = [f"cm AS MATERIALIZED (SELECT {', '.join(f'covar_samp({a}, {b}) AS {entry(a, b)}' for a, b in pairs)} FROM {table})"]
+    last, trace = "cm", " + ".join(entry(a, a) for a in columns)
+    for k in range(squarings):
+        product = ", ".join(f"({' + '.join(f'{entry(a, j)} * {entry(j, b)}' for j in columns)}) / (({trace}) * ({trace})) AS {entry(a, b)}" for a, b in pairs)
+        out.append(f"cm{k} AS MATERIALIZED (SELECT {product} FROM {last})")
+        last = f"cm{k}"
+    # any column of the power points along the component; that with the largest diagonal is far from zero
+    columns_of = "[" + ", ".join("[" + ", ".join(entry(a, b) for b in columns) + "]" for a in columns) + "]"
+    best = f"list_position([{', '.join(entry(a, a) for a in columns)}], greatest({', '.join(entry(a, a) for a in columns)}))"
+    out.append(f"pq AS (SELECT ({columns_of})[{best}] AS w FROM {last})")
+    norm = "sqrt(list_sum(list_transform(w, lambda x: x * x)))"
+    sign = "sign(w[list_position(list_transform(w, lambda x: abs(x)), list_max(list_transform(w, lambda x: abs(x))))])"
+    out.append(f"pv AS MATERIALIZED (SELECT {', '.join(f'w[{k + 1}] / {norm} * {sign} AS v_{c}' for k, c in enumerate(columns))} FROM pq)")
+    return ", ".join(out)
+
+
+_PC1 = f"""WITH {S}, {_Z}, {principal("z", "qpdt")}, av AS (SELECT avg(q) AS uq, avg(p) AS up, avg(d) AS ud, avg(t) AS ut FROM z),
+k AS (SELECT z.*, (q - uq) * v_q + (p - up) * v_p + (d - ud) * v_d + (t - ut) * v_t AS c FROM z, av, pv),
+b AS (SELECT {", ".join(f"regr_slope({c}, c) AS b_{c}, regr_intercept({c}, c) AS a_{c}" for c in "qpdt")} FROM k)"""
+_PC1_SCORES = f"""{_PC1}, r AS (SELECT image_id, cell_id, {", ".join(f"{c} - a_{c} - b_{c} * c AS {c}" for c in "qpdt")} FROM k, b),
+n AS (SELECT {", ".join(f"avg({c}) AS m{c}, stddev_samp({c}) AS s{c}" for c in "qpdt")} FROM r),
+o AS (SELECT image_id, cell_id, {", ".join(f"({c} - m{c}) / s{c} AS {c}" for c in "qpdt")} FROM r, n) {_scores("o")}"""
+_PC1_PARAMS = f"""{_PC1} SELECT unnest(['QTY', 'PRICE', 'DISC', 'TAX']) AS marker, unnest([{', '.join(f'round(m{c}, 6) + 0.0' for c in 'qpdt')}]) AS median, unnest([{', '.join(f'round(s{c}, 6) + 0.0' for c in 'qpdt')}]) AS mad,
+unnest([{', '.join(f'round(v_{c}, 6) + 0.0' for c in 'qpdt')}]) AS rotation, unnest([{', '.join(f'round(b_{c}, 6) + 0.0' for c in 'qpdt')}]) AS slope FROM m, pv, b"""
+
+_FIT_Z = f"""{S}, m AS (SELECT {', '.join(f'median({c}) AS m{c}, coalesce(nullif(1.4826 * mad({c}), 0), 1) AS s{c}' for c in 'qpd')} FROM s),
+z AS MATERIALIZED (SELECT {', '.join(f'least(5.0, greatest(-5.0, ({c} - m{c}) / s{c})) AS {c}' for c in 'qpd')} FROM s, m), {principal("z", "qp")}, av AS (SELECT avg(q) AS aq, avg(p) AS ap FROM z)"""
+
+
+def _fit(space: str, common: str, fitted: str) -> str:
+    """Rows (space, parameter, marker, value) of a residual space: lines on the common score, the mean identity residual taken
+    off, then centre and deviation."""
+    names = {"q": "QTY", "p": "PRICE", "d": "DISC"}
+    each = lambda f: ", ".join(f(c) for c in fitted)
+    values = {"median": "m{0}", "mad": "s{0}", "slope": "b_{0}", "intercept": "a_{0}", "center": "e_{0}", "scale": "f_{0}"}
+    rows = ", ".join(f"('{k}', '{names[c]}', {v.format(c)})" for k, v in values.items() for c in fitted)
+    return f"""SELECT '{space}' AS space, parameter, marker, round(value, 6) + 0.0 AS value FROM
+(SELECT * FROM m, (SELECT {each(lambda c: f"regr_slope({c}, {common}) AS b_{c}, regr_intercept({c}, {common}) AS a_{c}")} FROM z, pv, av) b,
+(SELECT {each(lambda c: f"avg(u_{c} - mean) AS e_{c}, coalesce(nullif(stddev_samp(u_{c} - mean), 0), 1) AS f_{c}")} FROM (SELECT *, (u_q + u_p) / 2.0 AS mean FROM
+(SELECT {each(lambda c: f"{c} - a_{c} - b_{c} * ({common}) AS u_{c}")} FROM z, pv, av, (SELECT {each(lambda c: f"regr_slope({c}, {common}) AS b_{c}, regr_intercept({c}, {common}) AS a_{c}")} FROM z, pv, av)))) e) x, LATERAL (VALUES {rows}) t(parameter, marker, value)"""
+
+
+_FROZEN_FIT = f"""WITH {_FIT_Z} {_fit("identity_space", "(q + p) / 2.0", "qp")} UNION ALL {_fit("panel_space", "(q - aq) * v_q + (p - ap) * v_p", "qpd")}"""
+
+#: Density clusters by all pairs and the closure of links between core points; border points join the cluster whose first
+#: core point, in the order of x, y and id, comes first.
+_CLUSTERS = f"""WITH RECURSIVE {_PART}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY image_id, x, y, id) AS k FROM pt),
+pr AS MATERIALIZED (SELECT a.image_id, a.k AS a, b.k AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM o a JOIN o b ON a.image_id = b.image_id),
+n AS (SELECT image_id, count(*) AS n FROM o GROUP BY ALL), kd AS (SELECT image_id, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM pr WHERE a <> b) JOIN n USING (image_id) WHERE r = least(3, n - 1)),
+ep AS MATERIALIZED (SELECT image_id, CASE WHEN q IS NULL THEN 8.0 ELSE least(8.0, greatest(4.0, q)) END AS eps FROM n LEFT JOIN (SELECT image_id, quantile_cont(d, 0.95) AS q FROM kd GROUP BY ALL) USING (image_id)),
+nb AS MATERIALIZED (SELECT image_id, a, b FROM pr JOIN ep USING (image_id) WHERE d2 <= eps * eps), co AS MATERIALIZED (SELECT a AS k FROM nb GROUP BY a HAVING count(*) >= 4),
+ed AS MATERIALIZED (SELECT a, b FROM nb WHERE a IN (SELECT k FROM co) AND b IN (SELECT k FROM co)), re AS (SELECT a, b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a),
+cl AS MATERIALIZED (SELECT a AS k, min(b) AS c FROM re GROUP BY a), al AS (SELECT k, c FROM cl UNION ALL SELECT b, min(c) FROM nb JOIN cl ON nb.a = cl.k WHERE b NOT IN (SELECT k FROM co) GROUP BY b),
+st AS (SELECT image_id, c, count(*) AS n_cells, avg(x) AS cx, avg(y) AS cy FROM al JOIN o USING (k) GROUP BY ALL HAVING count(*) >= 4)
+SELECT image_id, printf('E%02d', row_number() OVER (PARTITION BY image_id ORDER BY n_cells DESC, cx, cy, c)) AS structure_id, n_cells, round(cx, 6) AS centroid_x, round(cy, 6) AS centroid_y FROM st"""
+
 _POOLED = """ev AS (SELECT event_type AS g, user_id % 3 = 0 AS high, value + CASE WHEN user_id % 3 = 0 THEN 300.0 ELSE 0.0 END AS v, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) + CASE WHEN user_id % 3 = 0 THEN 40.0 ELSE 0.0 END AS s FROM events)"""
 _WIDTH = "0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd WHEN first <> 0 THEN abs(first) ELSE 1 END * pow(total, -0.2)"
 
@@ -150,6 +211,13 @@ SELECT g AS image_id, 'S' AS marker, 'up' AS parent, CASE WHEN ok THEN 'CALLABLE
 FROM (SELECT ar.g, greatest(auc, 1 - auc) AS a, crossing, np, nn, crossing IS NOT NULL AND greatest(auc, 1 - auc) >= 0.65 AND (SELECT med FROM mo WHERE mo.g = ar.g AND p) > (SELECT med FROM mo WHERE mo.g = ar.g AND NOT p) AS ok FROM ar LEFT JOIN cr USING (g))"""
 
 SQL = {
+    "state_parent_crossing": f"""WITH {S}, pools AS MATERIALIZED (SELECT image_id AS g, asinh(q / 5) >= 2.3 AS p, asinh(p / 5) AS v FROM s), {_CROSS}
+SELECT g AS image_id, 'PRICE' AS marker, 'big' AS parent, CASE WHEN ok THEN 'CALLABLE' ELSE 'NOT_CALLABLE_NO_SEPARATION' END AS status, CASE WHEN ok THEN round(crossing, 6) END AS estimate, round(a, 6) AS auc, np AS n_positive_pool, nn AS n_negative_pool
+FROM (SELECT ar.g, greatest(auc, 1 - auc) AS a, crossing, np, nn, crossing IS NOT NULL AND greatest(auc, 1 - auc) >= 0.65 AND (SELECT med FROM mo WHERE mo.g = ar.g AND p) > (SELECT med FROM mo WHERE mo.g = ar.g AND NOT p) AS ok FROM ar LEFT JOIN cr USING (g))""",
+    "correct_pc1": _PC1_SCORES,
+    "correction_params": _PC1_PARAMS,
+    "frozen_fit_params": _FROZEN_FIT,
+    "spatial_structures": _CLUSTERS,
     "threshold_valley_pools": _VALLEY,
     "threshold_tail_pools": _TAIL,
     "threshold_mixture_pools": _mixture(20),
