@@ -1,8 +1,8 @@
 """Embedding and populations: principal components, a two-dimensional density on a grid, basins, and labels.
 
-The layout is PC1 and PC2 by default; any function from component table to (u1, u2) can take its place. Covariances,
-ranges and grid counts are aggregations; only the grid (at most grid x grid numbers) is worked on by the driver. Cells
-are smoothed as grid counts with linear weights, so the density costs grid cells, not cells.
+The layout is UMAP's (``layout``) unless the first two components or another function from component table to (u1, u2) are
+asked for. Covariances, ranges and grid counts are aggregations; besides landmarks only the grid (at most grid x grid numbers) is
+worked on by the driver. Cells are smoothed as grid counts with linear weights, so the density costs grid cells, not cells.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from ..errors import InputError, require
 from ..functions.columns import col
 from ..storage import stored
 from .correct import principal
+from .layout import umap
 from .order import whole_quantiles
 from .prepare import KEYS, Prepared, available, score_digest, with_support
 
@@ -190,13 +191,16 @@ def _even(g: np.ndarray) -> bool:
     return len(g) > 1 and np.allclose(np.diff(g), g[1] - g[0])
 
 
-def embed(prepared: Prepared, scores: DataFrame | None = None, n_pcs: int = 10, grid: int = 400, floor: float = 0.03, basins: str = "hillclimb", tolerance: float = 0.03, small: str = "uncertain", min_abs: int = 30, min_frac: float = 0.002, layout: Callable[[DataFrame], DataFrame] | None = None) -> Embedding:
-    """``layout`` takes keys and components and adds u1 and u2; without it they are the first two components (0 where
-    there is only one)."""
+def embed(prepared: Prepared, scores: DataFrame | None = None, n_pcs: int = 10, grid: int = 400, floor: float = 0.03, basins: str = "hillclimb", tolerance: float = 0.03, small: str = "uncertain", min_abs: int = 30, min_frac: float = 0.002, layout: str | Callable[[DataFrame], DataFrame] = "umap", n_neighbors: int = 20, min_dist: float = 0.15, seed: int = 1) -> Embedding:
+    """``layout``: "umap" (with n_neighbors, min_dist and seed), "pca" for the first two components (0 where there is only
+    one), or a function that takes keys and components and adds u1 and u2."""
+    require(layout in ("umap", "pca") or callable(layout), "layouts are umap, pca or a function")
     require(basins in ("hillclimb", "flood") and grid >= 10 and n_pcs >= 1, "basins, grid or n_pcs out of range")
     x, names = embedding_input(prepared, scores)
     pcs, loadings = pca_scores(x, [f"x_{m}" for m in names], n_pcs, KEYS)
-    placed = layout(pcs) if layout else pcs.withColumn("u1", F.col("pc1")).withColumn("u2", F.col("pc2") if loadings.shape[1] > 1 else F.lit(0.0))
+    if layout == "umap":
+        layout = umap(n_neighbors, min_dist, seed)
+    placed = stored(layout(pcs), "placed") if callable(layout) else pcs.withColumn("u1", F.col("pc1")).withColumn("u2", F.col("pc2") if loadings.shape[1] > 1 else F.lit(0.0))
     gx, gy, density = grid_density(placed, grid, floor)
     labels = hill_basins(density) if basins == "hillclimb" else flood_basins(density, tolerance)
     out, kept = assign_basins(placed, gx, gy, labels, small, min_abs, min_frac)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cytoloom import errors
 from cytoloom.functions.canonical import canonical, parse_double, parse_integer, table_digest
 from cytoloom.operators import classify as cl
-from cytoloom.operators import correct, embed, estimators as est, fixed, large, order, review, snapshot, states, structures, views
+from cytoloom.operators import correct, embed, estimators as est, fixed, large, layout, order, review, snapshot, states, structures, views
 from cytoloom.operators import thresholds as th
 from cytoloom.operators.prepare import cell_table, prepare, validate_cells
 from cytoloom.plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, json_schema, read_config, signal_policy, validate, write_config
@@ -377,6 +377,34 @@ def test_basins(spark):
     assert embed.flood_basins(z, 0.9).max() == 1
 
 
+def test_umap_layout(spark):
+    """Clusters stay together, places repeat with the seed, cells that are no landmarks come to lie in their cluster, and
+    an embedding finds the clusters as populations."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(4, 5)) * 8
+    x = np.vstack([rng.normal(size=(120, 5)) + c for c in centres]) + 40
+    own = np.repeat(np.arange(4), 120)
+    p = prepare(cells(spark, {m: x[:, k] for k, m in enumerate("ABCDE")}), config(*(Marker(m, support=NONE) for m in "ABCDE")))
+    found, names = embed.embedding_input(p)
+    pcs = embed.pca_scores(found, [f"x_{m}" for m in names], 5, ["image_id", "cell_id"])[0]
+    places = {}
+    for landmarks in (5000, 5000, 150):
+        out = layout.umap(15, 0.1, 3, landmarks=landmarks)(pcs).orderBy("cell_id").toPandas()
+        y = out[["u1", "u2"]].to_numpy()
+        _, near = layout.nearest(y, y, 9)
+        assert np.isfinite(y).all() and (own[near[:, 1:]] == own[:, None]).mean() > 0.98
+        places.setdefault(landmarks, []).append(y)
+    assert np.array_equal(*places[5000])
+    e = embed.embed(p, grid=80, min_abs=20, floor=0.05, n_neighbors=15)
+    groups = e.df.groupBy("population").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    labels = e.df.orderBy("cell_id").toPandas().population
+    assert len(groups.population.dropna()) >= 4
+    for k in labels.dropna().unique():
+        assert len(set(own[(labels == k).to_numpy()])) == 1
+    a, b = layout.curve(0.1)
+    assert math.isclose(a, 1.577, abs_tol=2e-3) and math.isclose(b, 0.895, abs_tol=2e-3)
+
+
 def analysed(spark, n=300):
     c = example_config()
     p = prepare(simulate(spark, n, seed=7), c)
