@@ -79,6 +79,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers that may be broadcast, some tens of megabytes; beyond them a join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A stored ``df`` of narrow rows, broadcast if its counted rows are within BROADCAST_ROWS, so that a join with texts
+    moves no text; beyond that Spark joins by sizes."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 #: Of a table's rows a key may hold one in HOT before its rows are dealt over SALTS parts.
 HOT, SALTS = 1000, 64
 

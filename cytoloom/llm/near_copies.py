@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import ready
 from . import simhash
-from .common import stored
+from .common import bounded, stored
 
 SHINGLE, SIMILAR, BANDS, ROWS, ROUGH, FEW = 5, (4, 5), 30, 5, 0.6, 32
 CHUNK = 512
@@ -155,13 +155,13 @@ def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
     distinct = table.groupBy("key").agg(F.first("bands").alias("bands"))
     spread = stored(distinct.select("key", F.explode("bands").alias("part")), "near-parts")
     sizes = stored(spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
-    shared = stored(spread.join(sizes, "part"), "near-shared")
+    shared = stored(spread.join(bounded(sizes), "part"), "near-shared")
     weighed = shared.join(shared.groupBy("key").agg(F.sum("n").alias("met")), "key").select("part", "key", "met")
     centres = weighed.groupBy("part").agg(F.max(F.struct("met", "key")).alias("c")).select("part", F.col("c.key").alias("centre"))
-    full = stored(shared.join(centres, "part").select("part", "key", "centre"), "near-bands")
-    one = table.join(full.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", mark)).alias("one"))
+    full = stored(shared.join(bounded(stored(centres, "near-centres")), "part").select("part", "key", "centre"), "near-bands")
+    one = table.join(bounded(stored(full.select("key").distinct(), "near-keys")), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", mark)).alias("one"))
     one = stored(one.select("key", F.col("one.doc_id").alias("_id"), F.col(f"one.{mark}").alias("_text_hash")), "near-ones")
-    texts = docs.join(one, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs[mark] == F.col("_text_hash"))).select("key", "text")
+    texts = docs.join(bounded(one), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs[mark] == F.col("_text_hash"))).select("key", "text")
     # repeated rows have the same set
     sets = stored(texts.mapInArrow(_sets, SETS).groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "members"))), "near-sets")
     stars = full.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()

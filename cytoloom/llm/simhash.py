@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .common import fresh, join_by_class, release, stored
+from .common import bounded, fresh, join_by_class, release, stored
 
 SHINGLE, SEED, MAX_BITS, PIECES, BLOCK_PAIRS = 3, 42, 2, 5, 32
 CHUNK = 1 << 18
@@ -163,9 +163,9 @@ def one_of_each(docs: DataFrame, similar: bool = False) -> DataFrame:
     chosen, mark, times = fresh(docs, "chosen", "mark", "times")
     keep = stored(best.select(F.col("b.doc_id").alias(chosen), F.col("b.mark").alias(mark), F.col("b.n").alias(times)), "kept-ids")
     same = docs["doc_id"].cast("long").eqNullSafe(keep[chosen]) & (F.xxhash64(docs["text"].cast("string")) == keep[mark])
-    single = docs.join(keep.where(F.col(times) == 1), same, "left_semi")
+    single = docs.join(bounded(keep.where(F.col(times) == 1)), same, "left_semi")
     repeated = keep.where(F.col(times) > 1)
     if repeated.isEmpty():
         return single
-    again = docs.join(repeated, same).dropDuplicates([chosen, mark]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    again = docs.join(bounded(repeated), same).dropDuplicates([chosen, mark]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return single.unionByName(again)
