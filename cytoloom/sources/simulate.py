@@ -27,29 +27,36 @@ def normal(seed: int, *parts: Column | str) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
 
 
-def simulate(spark: SparkSession, n: int = 1000, markers: tuple[str, ...] = MARKERS, absent: tuple[str, ...] = (), shuffled: tuple[str, ...] = (), rare_fraction: float = 0.0, separation: float = 3.0, image_id: str = "sim-01", seed: int = 1) -> CellTable:
-    """n cells on a square; tumour cells lie in round nests. ``absent`` markers are constant, ``shuffled`` ones unrelated to
-    the population; ``rare_fraction`` of the cells are plasma cells, which express CD45 alone and strongly."""
-    require(n >= 1 and 0 <= rare_fraction < 1 and separation >= 0, "n, rare_fraction or separation out of range")
+def simulate(spark: SparkSession, n: int = 1000, markers: tuple[str, ...] = MARKERS, absent: tuple[str, ...] = (), shuffled: tuple[str, ...] = (), rare_fraction: float = 0.0, separation: float = 3.0, image_id: str = "sim-01", seed: int = 1, contact_fraction: float = 0.01, artefact_fraction: float = 0.06) -> CellTable:
+    """n cells on a square; tumour cells lie in round nests (sim_structure). ``absent`` markers are constant, ``shuffled``
+    ones unrelated to the population; ``rare_fraction`` of the cells are plasma cells, which express CD45 alone and strongly,
+    ``contact_fraction`` leukocytes on the rim of a nest, whose outline takes in PanCK; in ``artefact_fraction`` of the
+    tumour cells Ki67 is bright outside the nucleus."""
+    require(n >= 1 and rare_fraction >= 0 and contact_fraction >= 0 and rare_fraction + contact_fraction < 1 and 0 <= artefact_fraction <= 1 and separation >= 0, "n, a fraction or separation out of range")
     id_ = F.col("id")
     u = uniform(seed, id_, "population")
-    at, population = rare_fraction, F.when(u < rare_fraction, "plasma")
+    special = rare_fraction + contact_fraction
+    at, population = special, F.when(u < rare_fraction, "plasma").when(u < special, "contact")
     for name, (_, share) in POPULATIONS.items():
-        at += share * (1 - rare_fraction)
+        at += share * (1 - special)
         population = population.when(u < at, name)
     population = population.otherwise("stroma")
     side = math.sqrt(n) * 10
     nest = (F.floor(uniform(seed, id_, "nest") * 5)).cast("int")
-    angle, radius = uniform(seed, id_, "angle") * 2 * math.pi, F.sqrt(uniform(seed, id_, "radius")) * side / 10
-    inside = F.col("sim_population") == "tumour"
-    base = spark.range(n).withColumn("sim_population", population)
-    place = lambda c, f: F.when(inside, uniform(seed, nest.cast("string"), c) * side * 0.8 + side * 0.1 + radius * f(angle)).otherwise(uniform(seed, id_, c) * side)
+    inside, rim = F.col("sim_population") == "tumour", F.col("sim_population") == "contact"
+    angle, radius = uniform(seed, id_, "angle") * 2 * math.pi, F.when(rim, 1.0).otherwise(F.sqrt(uniform(seed, id_, "radius"))) * side / 10
+    base = spark.range(n).withColumn("sim_population", population).withColumn("sim_structure", F.when(inside, F.concat(F.lit("nest-"), nest + 1)))
+    place = lambda c, f: F.when(inside | rim, uniform(seed, nest.cast("string"), c) * side * 0.8 + side * 0.1 + radius * f(angle)).otherwise(uniform(seed, id_, c) * side)
     brightness = F.lit(1.0) + 0.1 * normal(seed, id_, "brightness")
+    # which populations express a marker besides those that are listed
+    more = {"CD45": ["plasma", "contact"], "PanCK": ["contact"]}
+    smeared = inside & (uniform(seed, id_, "artefact") < artefact_fraction)
     columns = []
     for m in markers:
-        on = F.col("sim_population").isin(*[p for p, (has, _) in POPULATIONS.items() if m in has] + (["plasma"] if m == "CD45" else [])) if m not in shuffled else uniform(seed, id_, m, "shuffled") < 0.3
+        on = F.col("sim_population").isin(*[p for p, (has, _) in POPULATIONS.items() if m in has] + more.get(m, [])) if m not in shuffled else uniform(seed, id_, m, "shuffled") < 0.3
         level = F.when(on, F.lit(1.0 + separation)).otherwise(F.lit(1.0)) if m != "DAPI" else F.lit(2.0)
         value = F.lit(0.0) if m in absent else F.greatest(F.lit(0.0), F.exp(level + 0.4 * normal(seed, id_, m)) * brightness)
-        columns += [value.alias(f"cell:{m}:mean"), (value * (1.2 if m in ("Ki67", "DAPI") else 0.8)).alias(f"nucleus:{m}:mean"), (value * (0.8 if m in ("Ki67", "DAPI") else 1.2)).alias(f"cytoplasm:{m}:mean")]
-    df = base.select(F.lit(image_id).alias("image_id"), F.format_string("c%06d", id_ + 1).alias("cell_id"), place("x", F.cos).alias("x"), place("y", F.sin).alias("y"), (50 + 10 * normal(seed, id_, "area")).alias("area"), "sim_population", *columns)
+        inner = F.when(smeared, 0.9).otherwise(1.2) if m == "Ki67" else F.lit(1.2 if m == "DAPI" else 0.8)
+        columns += [value.alias(f"cell:{m}:mean"), (value * inner).alias(f"nucleus:{m}:mean"), (value * (2 - inner)).alias(f"cytoplasm:{m}:mean")]
+    df = base.select(F.lit(image_id).alias("image_id"), F.format_string("c%06d", id_ + 1).alias("cell_id"), place("x", F.cos).alias("x"), place("y", F.sin).alias("y"), (50 + 10 * normal(seed, id_, "area")).alias("area"), "sim_population", "sim_structure", *columns)
     return cell_table(df, spark.createDataFrame([(image_id, image_id, 0.5)], "image_id string, sample_id string, pixel_size double"))
