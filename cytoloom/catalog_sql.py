@@ -26,8 +26,8 @@ f AS (SELECT g.*, CASE WHEN mad = 0 THEN k::DOUBLE / n_available END AS fraction
 o AS (SELECT *, CASE WHEN fraction_unavailable > mu THEN 1 WHEN n_available < 2 OR sd IS NULL OR sd = 0 THEN 2 WHEN mad = 0 AND fraction_mode >= 0.99 THEN 3 WHEN n_available < mc THEN 4 WHEN role = 'context' THEN 5 ELSE 6 END AS k FROM f)
 SELECT image_id, marker, role, CASE k WHEN 1 THEN 'NOT_CALLABLE_UNAVAILABLE' WHEN 2 THEN 'NOT_CALLABLE_ABSENT' WHEN 3 THEN 'NOT_CALLABLE_ABSENT' WHEN 4 THEN 'NOT_CALLABLE_UNDERPOWERED' WHEN 5 THEN 'NOT_GATED' ELSE 'PENDING_THRESHOLD' END AS status,
   CASE k WHEN 1 THEN 'mostly_unavailable' WHEN 2 THEN 'constant' WHEN 3 THEN 'near_constant' WHEN 4 THEN 'few_cells' ELSE 'ok' END AS support,
-  CASE k WHEN 1 THEN printf('%.1f%% of cells have no usable signal (limit %.1f%%).', 100 * fraction_unavailable, 100 * mu) WHEN 2 THEN 'Signal is constant across cells.' WHEN 3 THEN printf('%.1f%% of cells share one value.', 100 * fraction_mode)
-    WHEN 4 THEN printf('Only %d cells with signal (minimum %d).', n_available, mc) WHEN 5 THEN 'Context marker: displayed, never used in rules.' ELSE 'Signal supports threshold estimation.' END AS details,
+  CASE k WHEN 1 THEN printf('%.1f%% of cells have no usable signal (limit %.1f%%).', 100 * fraction_unavailable, 100 * mu) WHEN 2 THEN 'All cells with signal have the same value.' WHEN 3 THEN printf('%.1f%% of cells share one value.', 100 * fraction_mode)
+    WHEN 4 THEN printf('Only %d cells with signal (minimum %d).', n_available, mc) WHEN 5 THEN 'For context: shown, but no rule may use it.' ELSE 'Signal supports threshold estimation.' END AS details,
   n_cells, n_available, round(fraction_unavailable, 6) AS fraction_unavailable, round(sd, 6) AS sd, round(mad, 6) AS mad, round(fraction_mode, 6) AS fraction_mode, round(q01, 6) AS q01, round(q50, 6) AS q50, round(q99, 6) AS q99 FROM o"""
 
 

@@ -160,6 +160,11 @@ def same_scores(digest: str, prepared: Prepared, scores: DataFrame | None, what:
     require(not digest or not prepared.source or digest == score_digest(prepared, scores), f"{what} belong to other scores", StateError)
 
 
+#: The sentences of the support table that results are compared by.
+SUPPORTED = "Signal supports threshold estimation."
+NEAR_CONSTANT = "%.1f%% of cells share one value."
+UNAVAILABLE = "%.1f%% of cells have no usable signal (limit %.1f%%)."
+FEW_CELLS = "Only %d cells with signal (minimum %d)."
 SUPPORT_COLUMNS = ["image_id", "marker", "role", "status", "support", "details", "n_cells", "n_available", "fraction_unavailable", "sd", "mad", "fraction_mode", "q01", "q50", "q99"]
 
 
@@ -187,11 +192,11 @@ def support_table(df: DataFrame, config: Config) -> DataFrame:
     unavailable = F.lit(1.0) - F.col("n_available") / F.col("n_cells")
     mode = F.col("mode_n") / F.col("n_available")
     cases = [
-        (F.col("fraction_unavailable") > F.col("max_unavailable"), "NOT_CALLABLE_UNAVAILABLE", "mostly_unavailable", F.format_string("%.1f%% of cells have no usable signal (limit %.1f%%).", F.col("fraction_unavailable") * 100, F.col("max_unavailable") * 100)),
-        ((F.col("n_available") < 2) | F.col("sd").isNull() | (F.col("sd") == 0), "NOT_CALLABLE_ABSENT", "constant", F.lit("Signal is constant across cells.")),
-        ((F.col("mad") == 0) & (F.col("fraction_mode") >= F.col("near")), "NOT_CALLABLE_ABSENT", "near_constant", F.format_string("%.1f%% of cells share one value.", F.col("fraction_mode") * 100)),
-        (F.col("n_available") < F.col("min_cells"), "NOT_CALLABLE_UNDERPOWERED", "few_cells", F.format_string("Only %d cells with signal (minimum %d).", F.col("n_available"), F.col("min_cells"))),
-        (F.col("role") == "context", "NOT_GATED", "ok", F.lit("Context marker: displayed, never used in rules.")),
+        (F.col("fraction_unavailable") > F.col("max_unavailable"), "NOT_CALLABLE_UNAVAILABLE", "mostly_unavailable", F.format_string(UNAVAILABLE, F.col("fraction_unavailable") * 100, F.col("max_unavailable") * 100)),
+        ((F.col("n_available") < 2) | F.col("sd").isNull() | (F.col("sd") == 0), "NOT_CALLABLE_ABSENT", "constant", F.lit("All cells with signal have the same value.")),
+        ((F.col("mad") == 0) & (F.col("fraction_mode") >= F.col("near")), "NOT_CALLABLE_ABSENT", "near_constant", F.format_string(NEAR_CONSTANT, F.col("fraction_mode") * 100)),
+        (F.col("n_available") < F.col("min_cells"), "NOT_CALLABLE_UNDERPOWERED", "few_cells", F.format_string(FEW_CELLS, F.col("n_available"), F.col("min_cells"))),
+        (F.col("role") == "context", "NOT_GATED", "ok", F.lit("For context: shown, but no rule may use it.")),
     ]
 
     def chain(k: int, last: str) -> Column:
@@ -203,7 +208,7 @@ def support_table(df: DataFrame, config: Config) -> DataFrame:
     return (
         full.withColumn("fraction_unavailable", unavailable).withColumn("fraction_mode", F.when(F.col("mad") == 0, mode))
         .withColumn("q01", F.col("q")[0]).withColumn("q50", F.col("q")[1]).withColumn("q99", F.col("q")[2])
-        .withColumn("status", chain(1, "PENDING_THRESHOLD")).withColumn("support", chain(2, "ok")).withColumn("details", chain(3, "Signal supports threshold estimation."))
+        .withColumn("status", chain(1, "PENDING_THRESHOLD")).withColumn("support", chain(2, "ok")).withColumn("details", chain(3, SUPPORTED))
         .select(*SUPPORT_COLUMNS)
     )
 

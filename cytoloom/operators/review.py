@@ -270,7 +270,7 @@ def effective_thresholds(base: Thresholds, rows: list[Row]) -> Thresholds:
     for r in rows:
         hits = places.get((r["image_id"], r["marker"]), [])
         require(len(hits) == 1, "a reviewed cut must name exactly one threshold", LedgerError)
-        out[hits[0]].update(estimate=r["new_estimate"], status="MANUAL", method="manual", rule="manual", args_json=canonical({"value": r["new_estimate"]}), details=f"Manual threshold set by review action {r['entry_id']}.")
+        out[hits[0]].update(estimate=r["new_estimate"], status="MANUAL", method="manual", rule="manual", args_json=canonical({"value": r["new_estimate"]}), details=f"Cut given by ledger entry {r['entry_id']}.")
     return replace(base, rows=tuple(out))
 
 

@@ -179,3 +179,13 @@ def completeness(states: DataFrame, cells: DataFrame, config: Config) -> DataFra
     keys = [*KEYS, "marker", "parent"]
     found = states.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return want.join(found, keys, "full_outer").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> 1")
+
+
+def validate_states(prepared: Prepared, classification: Classification, calls: StateCalls) -> None:
+    """Refuses a state table that is incomplete, or whose parents, evaluability, ratios or positivity are not what the
+    labels, scores and cuts give; one pass of set differences."""
+    require(completeness(calls.df, prepared.df, calls.config).isEmpty(), "the state table lacks or repeats cells", StateError)
+    fresh = call_states(long_states(prepared, classification, calls.scores), list(calls.rows)).drop("enabled")
+    given = calls.df.select(*fresh.columns)
+    wrong = given.exceptAll(fresh).first()
+    require(wrong is None, f"a state does not follow from its cell: {wrong}", StateError)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 from ..plans.config import Config, Flag, Hierarchy, Localization, Marker, Refinement, Rule, signal_policy
+from .cellstore import write_cells
+from .folders import Folder
+from .simulate import simulate
 
 DECISIONS = {"Tumor": "Tumour", "Benign": "Benign epithelium", "Unresolved": "Epithelium, unresolved"}
 
@@ -25,3 +30,10 @@ def example_config() -> Config:
         Hierarchy(rules, {"conflict": Flag(all_of=("PanCK", "CD45"))}, {"conflict": "unresolved"}),
         refinements=(Refinement("proliferating", "Ki67", "epithelium", "Tumour", "Tumour, proliferating"),),
     ).checked()
+
+
+def example_path(spark: SparkSession, folder: str, n: int = 8000) -> str:
+    """The path of a cell store with a simulated slide for ``example_config``, written if it isn't there."""
+    if not Folder(folder).exists():
+        write_cells(simulate(spark, n), folder)
+    return folder

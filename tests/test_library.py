@@ -18,7 +18,8 @@ from cytoloom.operators.prepare import cell_table, prepare, validate_cells
 from cytoloom.plans.config import Config, Flag, Hierarchy, Localization, Marker, MinSupport, Override, Refinement, Rule, json_schema, read_config, signal_policy, validate, write_config
 from cytoloom.plans.methods import METHODS, catalogue
 from cytoloom.sources.cellstore import read_cells, write_cells
-from cytoloom.sources.example import example_config
+from cytoloom.sources import folders
+from cytoloom.sources.example import example_config, example_path
 from cytoloom.sources.manifest import check_manifest
 from cytoloom.sources.simulate import simulate
 from cytoloom.sources.tsv import read_tsv, write_tsv
@@ -420,7 +421,7 @@ def test_simulation_end_to_end(spark):
     assert all(c["ok"] for c in validate_cells(a))
     p, cuts, k, s = analysed(spark, 2000)
     truth = p.df.select("image_id", "cell_id", "sim_population").join(k.df, ["image_id", "cell_id"])
-    want = {"tumour": "Epithelium, pending", "t_cell": "T cell", "b_cell": "B cell", "macrophage": "Macrophage", "stroma": "Undefined"}
+    want = {"tumour": "Epithelium, pending", "t_cell": "T cell", "b_cell": "B cell", "macrophage": "Macrophage", "stroma": "Undefined", "contact": "Unresolved"}
     right = sum(want[r.sim_population] == r.cell_type for r in truth.collect())
     assert right >= 0.9 * 2000
     assert states.completeness(s.df, p.df, p.config).count() == 0
@@ -533,6 +534,26 @@ def test_results_are_bound_to_their_scores(spark):
     assert table_digest(cl.classify(p, cuts).callability()) == table_digest(p.callability())
 
 
+def test_changed_states_are_refused(spark):
+    p, cuts, k, s = analysed(spark)
+    states.validate_states(p, k, s)
+    for wrong in (s.df.withColumn("positive", ~F.col("positive")), s.df.where("score > 1"), s.df.unionByName(s.df.limit(1))):
+        with pytest.raises(errors.StateError):
+            states.validate_states(p, k, replace(s, df=wrong))
+
+
+def test_an_example_store_and_hashes_by_the_executors(spark, tmp_path, monkeypatch):
+    path = example_path(spark, str(tmp_path / "slide"), 300)
+    by_driver = folders.digests(folders.Folder(path), folders.Folder(path).files())
+    monkeypatch.setattr(folders, "DRIVER_BYTES", -1)
+    assert folders.digests(folders.Folder(path), folders.Folder(path).files()) == by_driver and len(by_driver) > 2
+    assert example_path(spark, path) == path and all(c["ok"] for c in check_manifest(path))
+    found = read_cells(spark, path).df
+    assert found.count() == 300 and found.where("sim_structure is not null and sim_population <> 'tumour'").isEmpty()
+    (tmp_path / "slide" / "link").symlink_to("/etc/hosts")
+    assert not all(c["ok"] for c in check_manifest(path))
+
+
 def test_cuts_from_a_file(spark, tmp_path):
     c = config(Marker("A", method="manual", args={"value": 3.0}))
     p = prepare(cells(spark, {"A": range(1, 41)}), c)
