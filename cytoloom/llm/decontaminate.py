@@ -84,8 +84,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataF
     vocabulary = vocabulary_of(terms)
     n_terms, n_probes = vocabulary.count(), terms.count()
     index = build_index(docs, vocabulary, n_terms)
-    counts = index.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
-    ranked = terms.select("*", F.xxhash64("term").alias("tid")).join(counts, "tid", "left").selectExpr(
+    # a row for each test term, stored, so that the windows of a common term need not meet in one task
+    counts = stored(index.groupBy("tid").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    ranked = terms.select("*", F.xxhash64("term").alias("tid")).join(_small(counts, n_terms), "tid", "left").selectExpr(
         "window", "len", "off", "tid", "coalesce(n, 0L) as n", "row_number() over (partition by window order by coalesce(n, 0L), off) as rank"
     )
     # a window with a term that the corpus lacks occurs nowhere

@@ -152,14 +152,15 @@ def links(table: DataFrame, docs: DataFrame, mark: str) -> DataFrame:
     Sets of shingles are made again for the texts that share a band with another, one text for each key; no others are kept
     or moved.
     """
-    distinct = table.groupBy("key").agg(F.first("bands").alias("bands"))
-    spread = stored(distinct.select("key", F.explode("bands").alias("part")), "near-parts")
+    # one row for each key, so that a text with many copies counts once from here on
+    distinct = stored(table.groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", mark)).alias("one")), "near-distinct")
+    spread = distinct.select("key", F.explode("bands").alias("part"))
     sizes = stored(spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     shared = stored(spread.join(bounded(sizes), "part"), "near-shared")
     weighed = shared.join(shared.groupBy("key").agg(F.sum("n").alias("met")), "key").select("part", "key", "met")
     centres = weighed.groupBy("part").agg(F.max(F.struct("met", "key")).alias("c")).select("part", F.col("c.key").alias("centre"))
     full = stored(shared.join(bounded(stored(centres, "near-centres")), "part").select("part", "key", "centre"), "near-bands")
-    one = table.join(bounded(stored(full.select("key").distinct(), "near-keys")), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", mark)).alias("one"))
+    one = distinct.join(bounded(stored(full.select("key").distinct(), "near-keys")), "key", "left_semi")
     one = stored(one.select("key", F.col("one.doc_id").alias("_id"), F.col(f"one.{mark}").alias("_text_hash")), "near-ones")
     texts = docs.join(bounded(one), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs[mark] == F.col("_text_hash"))).select("key", "text")
     # repeated rows have the same set
