@@ -6,6 +6,8 @@ import json
 import os
 import socket
 import tarfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
@@ -138,6 +140,16 @@ class Snapshot:
         return f"<Snapshot {self.review_id} {self.status}, {len(self.tables)} tables>"
 
 
+def each(tables: dict[str, DataFrame], work: Callable[[str, DataFrame], Any]) -> dict[str, Any]:
+    """``work`` on every table, some at a time: their jobs are small and independent."""
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(tables, pool.map(lambda n: work(n, tables[n]), tables), strict=True))
+
+
+def digests_of(tables: dict[str, DataFrame]) -> dict[str, str]:
+    return each(tables, lambda _, t: table_digest(t))
+
+
 def export_tables(r: Review) -> dict[str, DataFrame]:
     """Everything a package holds: base and effective tables, thresholds, disabled rules, the four ledgers."""
     done, spark = replay(r), r.spark
@@ -167,18 +179,17 @@ def lock(r: Review, reviewer: str, status: str = "PENDING") -> Snapshot:
     validate_ledgers(r)
     validate_keys(r)
     # locked as they are now: stored once, then hashed, written and compared from there
-    tables = {n: stored(t, f"locked-{n}") for n, t in export_tables(r).items()}
-    digests = {n: table_digest(t) for n, t in tables.items()}
+    tables = each(export_tables(r), lambda n, t: stored(t, f"locked-{n}"))
+    digests = digests_of(tables)
     return Snapshot(r, tables, digests, reviewer, status, now_utc(), identity(r, digests, reviewer, status))
 
 
 def export(s: Snapshot, folder: str, overwrite: bool = False) -> str:
     """Writes the package, verifies it in its staging folder, and publishes it. A snapshot whose content no longer gives
     its id is refused."""
-    require(identity(s.review, {n: table_digest(t) for n, t in s.tables.items()}, s.reviewer, s.status) == s.review_id, "the snapshot has changed since it was locked", IntegrityError)
+    require(identity(s.review, digests_of(s.tables), s.reviewer, s.status) == s.review_id, "the snapshot has changed since it was locked", IntegrityError)
     with published(folder, overwrite) as staged:
-        for name, table in s.tables.items():
-            table.write.parquet(f"{staged}/{name}")
+        each(s.tables, lambda name, table: table.write.parquet(f"{staged}/{name}"))
         meta = {"review_id": s.review_id, "reviewer": s.reviewer, "status": s.status, "created_utc": s.created_utc, "digests": s.digests, "columns": {n: t.dtypes for n, t in s.tables.items()}, "ledgers": {n: list(rows) for n, rows in s.review.ledgers.items()}}
         (staged / "package.json").write_text(canonical(meta) + "\n")
         (staged / "config.json").write_text(canonical(s.review.config.to_dict()) + "\n")
@@ -223,7 +234,7 @@ def _content_checks(spark: SparkSession, folder: Folder, base: Review | None) ->
     tables, meta = read_export(spark, str(folder), verify=False)
     config = Config.from_dict(json.loads((folder / "config.json").read_text()))
     row = lambda name, wrong: {"check": name, "ok": not wrong, "details": ", ".join(wrong)}
-    digests = {n: table_digest(t) for n, t in tables.items()}
+    digests = digests_of(tables)
     ledgers = _ledgers_of(meta["ledgers"])
     stub = sha256({"config": config.digest(), "ledgers": sha256(canonical({n: list(rows) for n, rows in ledgers.items()})), "tables": digests, "reviewer": meta["reviewer"], "status": meta["status"]})
     out = [
