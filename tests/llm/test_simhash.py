@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from cytoloom.llm import simhash
+from cytoloom.llm import common, simhash
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -85,3 +86,12 @@ def test_columns_with_the_names_of_helpers_pass(spark):
     df = spark.createDataFrame([(1, "a b c d", 5, 6, 7, 8, 9), (1, "a b c d", 5, 6, 7, 8, 9), (2, "A b c d", 1, 1, 1, 1, 1)], "doc_id long, text string, _mark int, _keep int, chosen int, times int, mark int")
     [row] = simhash.one_of_each(df).collect()
     assert tuple(row) == (1, "a b c d", 5, 6, 7, 8, 9)
+
+
+def test_rows_of_hot_keys_meet_their_class_once(spark):
+    """A key with a third of the rows is dealt over parts; nothing is lost or doubled."""
+    rows = spark.range(4000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
+    classes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least"))
+    out = common.join_by_class(rows, classes, "key", F.xxhash64("row"))
+    assert sorted(out.columns) == ["key", "least", "row"]
+    assert sorted(tuple(r) for r in out.select("row", "key", "least").collect()) == [(k, 0 if k % 3 == 0 else k, 0 if k % 3 == 0 else k) for k in range(4000)]
