@@ -9,6 +9,10 @@ class InputError(CytoloomError, ValueError):
     """An argument is wrong."""
 
 
+class EmptySelection(InputError):
+    """An action names no cell."""
+
+
 class StructureError(CytoloomError, ValueError):
     """A table lacks what its kind needs."""
 

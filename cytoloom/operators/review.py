@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InputError, LedgerError, StateError, check_text, require
+from ..errors import EmptySelection, InputError, LedgerError, StateError, check_text, require
 from ..functions.canonical import canonical, sha256
 from ..functions.columns import col, in_box
 from ..plans.config import DECISIONS, Config
@@ -202,7 +202,7 @@ class Review:
         edges = self._boxed(box)
         cells = self.prepared.df.where(F.col("image_id") == image)
         found = cells.where(F.col("cell_id") == cell_id).count() if cell_id is not None else cells.where(in_box(F.col("x"), F.col("y"), tuple(edges.values()))).count()
-        require(found, "nothing is selected")
+        require(found, "nothing is selected", EmptySelection)
         return self.append("disposition", image, reviewer, reason, mode="POINT" if cell_id is not None else "BBOX", cell_id=cell_id, disposition=disposition, n_affected_at_creation=found, **edges)
 
     def revert_last(self, reviewer: str, reason: str) -> Review:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cytoloom import errors
+from cytoloom import catalog, catalog_sql, errors
 from cytoloom.functions.canonical import canonical, parse_double, parse_integer, table_digest
 from cytoloom.operators import classify as cl
 from cytoloom.operators import correct, embed, estimators as est, fixed, large, layout, order, review, snapshot, states, structures, views
@@ -633,3 +633,26 @@ def test_stream_of_cuts(spark, tmp_path):
         query.awaitTermination(60)
     out = {r.marker: r.new_estimate for r in spark.read.parquet(str(tmp_path / "state" / "1")).collect()}
     assert out == {"A": 7.0, "B": 8.0}
+
+
+#: Queries that replay one scripted review.
+REVIEWED = ["refinements"]
+
+
+@pytest.fixture(scope="module")
+def far_lines(spark, tmp_path_factory):
+    """Lines whose keys leave the boxes of the review empty."""
+    folder = tmp_path_factory.mktemp("far")
+    keys = {c: F.col(c) + 100_000 for c in ("l_orderkey", "l_partkey", "l_suppkey")}
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumns(keys).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", REVIEWED)
+def test_reviews_of_tables_whose_boxes_are_empty(spark, far_lines, name):
+    duckdb = pytest.importorskip("duckdb")
+    found = catalog.queries()[name](spark, far_lines)
+    with duckdb.connect() as db:
+        db.execute(f"create view lineitem as select * from read_parquet('{far_lines}/lineitem.parquet/*.parquet')")
+        wanted = db.execute(f"select {', '.join(f'{chr(34)}{c}{chr(34)}' for c in found.columns)} from ({catalog_sql.SQL[name]})").fetchall()
+    assert wanted and sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
