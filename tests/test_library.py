@@ -636,7 +636,7 @@ def test_stream_of_cuts(spark, tmp_path):
 
 
 #: Queries that replay one scripted review.
-REVIEWED = ["refinements"]
+REVIEWED = ["refinements", "replay_cells"]
 
 
 @pytest.fixture(scope="module")
