@@ -636,7 +636,7 @@ def test_stream_of_cuts(spark, tmp_path):
 
 
 #: Queries that replay one scripted review.
-REVIEWED = ["refinements", "replay_cells"]
+REVIEWED = ["refinements", "replay_cells", "replay_states"]
 
 
 @pytest.fixture(scope="module")
