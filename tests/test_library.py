@@ -636,7 +636,7 @@ def test_stream_of_cuts(spark, tmp_path):
 
 
 #: Queries that replay one scripted review.
-REVIEWED = ["refinements", "replay_cells", "replay_states"]
+REVIEWED = ["refinements", "replay_cells", "replay_states", "verified_export"]
 
 
 @pytest.fixture(scope="module")
