@@ -11,7 +11,7 @@ in ``n_differing``. Texts are decoded with the library.
 
 Nulls: a null text is the empty text, with no ids. Long texts are worked through whole. The memory holds MEMORY to twice
 as many bytes (as ``weight`` reckons them); segments over LONG characters, as in scripts without blanks, are worked out anew in
-each chunk and not remembered. Repeated rows come out as often as they come in; extra columns pass through ``encode``. An
+each chunk and not remembered. Between tasks of ``encode`` a worker keeps CARRIED bytes at most. Repeated rows come out as often as they come in; extra columns pass through ``encode``. An
 empty table gives no rows.
 """
 
@@ -34,6 +34,8 @@ from ..session import ready
 from .common import fresh
 
 MARK, MEMORY, LONG, CHARS_AT_ONCE = "▁", 192 << 20, 200, 1_000_000
+#: Bytes of segments that ``encode`` leaves in a worker between tasks: the worker stays for the stages of others.
+CARRIED = 32 << 20
 #: Fixed values of the model format.
 BPE, NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 1, 2, 3, 4, 5, 6
 
@@ -213,6 +215,11 @@ class Codec:
             self.memory, self.older, self.held = {}, self.memory, 0
         return out
 
+    def rest(self) -> None:
+        """Forgets all segments if they are more than CARRIED."""
+        if self.older or self.held > CARRIED:
+            self.memory, self.older, self.held = {}, {}, 0
+
 
 _CODECS: dict[bytes, Codec] = {}
 
@@ -245,13 +252,9 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """``docs`` with ids array<int>, n_tokens long, n_differing int and decoded string."""
-    ready(docs.sparkSession)
-    names = fresh(docs, "ids", "n_tokens", "n_differing", "decoded")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
+def encoded(batches: Iterator[pa.RecordBatch], model: bytes, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    own = codec(model)
+    try:
         for batch in batches:
             at = 0
             for chunk in _chunks(_texts(batch.column(text))):
@@ -263,10 +266,18 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
                     [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([int(x[2]) for x in done], pa.int32()), pa.array(own.library.decode(ids), pa.string())],
                     names=[*part.schema.names, *names],
                 )
+    finally:
+        own.rest()
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """``docs`` with ids array<int>, n_tokens long, n_differing int and decoded string."""
+    ready(docs.sparkSession)
+    names = fresh(docs, "ids", "n_tokens", "n_differing", "decoded")
 
     kinds = ["array<int>", "bigint", "int", "string"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)]
-    return docs.mapInArrow(run, ", ".join(fields))
+    return docs.mapInArrow(lambda batches: encoded(batches, model, text, names), ", ".join(fields))
 
 
 def op7_sentencepiece(docs: DataFrame, model: bytes) -> DataFrame:

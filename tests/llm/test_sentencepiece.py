@@ -1,6 +1,8 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -50,6 +52,19 @@ def test_long_segments_are_not_remembered_and_the_memory_counts_bytes(monkeypatc
     assert own.held == sum(codec.weight(s, k) for s, k in own.memory.items())
 
 
+def test_a_task_leaves_little_memory_to_the_stages_after_it(monkeypatch):
+    monkeypatch.setattr(codec, "CARRIED", 20_000, raising=False)
+    batches = [pa.RecordBatch.from_pylist([{"text": t} for t in part]) for part in (texts()[:20], texts(), texts()[:20])]
+    own = codec.codec(MODEL)
+    docs = SimpleNamespace(sparkSession=None, columns=["text"], schema=SimpleNamespace(fields=[]), mapInArrow=lambda run, _: run)
+    monkeypatch.setattr(codec, "ready", lambda _: None)
+    task = codec.encode(docs, MODEL)
+    assert [x["ids"] for b in task(iter(batches)) for x in b.to_pylist()] == [LIBRARY.encode(t) for t in texts()[:20] + texts() + texts()[:20]]
+    assert own.held == len(own.memory) == len(own.older) == 0
+    list(task(iter(batches[:1])))
+    assert 0 < own.held <= 20_000
+
+
 def test_query_and_operator(spark):
     rows = [(k, t, "x", 1) for k, t in enumerate(texts())] + [(900, None, "x", 1), (None, "a", "x", 1), (0, "", "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
