@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import DisabledRules, StateError, require
 from ..functions.columns import all_true, any_true, col, finite, none_true
 from ..plans.config import Config, Rule, Terms
+from ..session import compiled
 from ..storage import small
 from .prepare import Prepared, available, score_digest, support_map, with_support
 from .thresholds import Thresholds, validate_thresholds
@@ -128,7 +129,7 @@ def labelled(base: DataFrame, config: Config, by_image: dict[str, dict[str, floa
     switched = {(r["image_id"], r["rule_id"]) for r in off}
     rows: list[tuple[Any, ...]] = [(i, *(c[m] for m in config.gated), *((i, r.rule_id) not in switched for r in config.hierarchy.rules)) for i, c in by_image.items()]
     schema = ", ".join(["image_id string", *(f"`cut_{m}` double" for m in config.gated), *(f"on_{k} boolean" for k in range(len(config.hierarchy.rules)))])
-    cuts = base.sparkSession.createDataFrame(rows, schema)
+    cuts = compiled(base.sparkSession).createDataFrame(rows, schema)
     return base.join(small(cuts, len(rows)), "image_id").select("*", *call_columns(config)).select("*", *label_columns(config))
 
 
