@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 An agenda holds the adjacent symbol pairs whose union is a piece, best score first, leftmost among equals; the top pair
-is merged and its new neighbours enter, until none is left. Symbols that are no piece become their bytes.
+is merged and its new neighbours enter, until none is left. Symbols that are no piece become their bytes. The agendas of
+many segments are worked off abreast, in arrays: a round takes the top pair of each. Segments over WIDE characters have
+one agenda each, a heap; the two give the same ids.
 
 No piece of such a vocabulary crosses certain places: before a word mark that follows another character, and around a
 line feed that no piece holds. A text is cut there, cuts cannot change the result, and each different segment goes
@@ -20,12 +22,15 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from operator import add, itemgetter
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +41,8 @@ from .common import fresh
 MARK, MEMORY, LONG, CHARS_AT_ONCE = "▁", 192 << 20, 200, 1_000_000
 #: Bytes of segments that ``encode`` leaves in a worker between tasks: the worker stays for the stages of others.
 CARRIED = 32 << 20
+#: Segments up to WIDE characters are worked off abreast, in ABREAST cells (a character each, and two a segment) at a time.
+WIDE, ABREAST = 64, 1 << 16
 #: Fixed values of the model format.
 BPE, NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 1, 2, 3, 4, 5, 6
 
@@ -70,6 +77,45 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
+NO_RANK = 2**31 - 1  # of a pair whose union is no piece
+
+
+class Unions:
+    """The piece that two symbols make, for arrays of pairs. A pair whose place in the first table is taken stands in the next."""
+
+    def __init__(self, pairs: np.ndarray):
+        keys, values = pairs[:, 0] << 32 | pairs[:, 1], pairs[:, 2]
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.uint64, np.uint64]] = []
+        factor = 0x9E3779B97F4A7C15
+        while not self.tables or len(keys):
+            bits = (4 * len(keys) + 15).bit_length()
+            table = np.full(1 << bits, -1), np.full(1 << bits, -1), np.uint64(factor), np.uint64(64 - bits)
+            place = self.places(keys, *table[2:])
+            _, first = np.unique(place, return_index=True)
+            table[0][place[first]], table[1][place[first]] = keys[first], values[first]
+            self.tables.append(table)
+            keys, values = np.delete(keys, first), np.delete(values, first)
+            factor = factor * 0xD1342543DE82EF95 % 2**64
+
+    @staticmethod
+    def places(keys: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+        return (keys.view(np.uint64) * factor >> shift).view(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the unions, -1 where there is none."""
+        return self.looked_up(left << 32 | right, 0)
+
+    def looked_up(self, keys: np.ndarray, k: int) -> np.ndarray:
+        there, values, *hashing = self.tables[k]
+        place = self.places(keys, *hashing)
+        met = there[place]
+        out = np.where(met == keys, values[place], -1)
+        others = np.flatnonzero((met != keys) & (met >= 0))
+        if len(others) and k + 1 < len(self.tables):
+            out[others] = self.looked_up(keys[others], k + 1)
+        return out
+
+
 class Vocabulary:
     """Pieces, scores and settings of a merge-type model."""
 
@@ -103,6 +149,7 @@ class Vocabulary:
         breaks = "" if any("\n" in p for p in self.ids) else "\n"
         self.segments = re.compile(f"{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+" + "|\n" * bool(breaks))
         self.has_breaks = bool(breaks)
+        self.size = n
 
     def segment(self, text: str) -> list[str]:
         return self.segments.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -133,8 +180,11 @@ class Vocabulary:
                 pair = symbols[near] + own
                 if (c := cost(pair)) is not None:
                     heappush(agenda, (c, near, len(pair)))
+        return self.spelled(filter(None, symbols))
+
+    def spelled(self, symbols: Iterable[str]) -> list[int]:
         out = []
-        for symbol in filter(None, symbols):
+        for symbol in symbols:
             found = self.ids.get(symbol)
             if found is not None:
                 out.append(found)
@@ -144,6 +194,82 @@ class Vocabulary:
                 out.append(self.unknown)
         return out
 
+    def encode_all(self, segments: list[str]) -> list[list[int]]:
+        """Ids of each segment."""
+        out: list[list[int]] = [[]] * len(segments)
+        lengths = list(map(len, segments))
+        order = sorted(range(len(segments)), key=lengths.__getitem__)
+        short = bisect_right(order, WIDE, key=lengths.__getitem__)
+        end = short
+        while end:
+            part = order[max(0, end - max(1, ABREAST // (lengths[order[end - 1]] + 2))) : end]
+            end -= len(part)
+            for k, ids in zip(part, self.abreast.encode([segments[k] for k in part]), strict=True):
+                out[k] = ids
+        for k in order[short:]:
+            out[k] = self.encode(segments[k])
+        return out
+
+    @cached_property
+    def abreast(self) -> Abreast:
+        return Abreast(self)
+
+
+class Abreast:
+    """Agendas of many segments in arrays. A symbol is the id of a piece, or ``size`` and the code point of a character that is none."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.size = vocabulary, vocabulary.size
+        self.edge = self.size + 0x110000  # the symbol that joins nothing
+        self.symbols = np.arange(self.size, self.edge, dtype=np.int32)
+        for text, number in vocabulary.ids.items():
+            if len(text) == 1:
+                self.symbols[ord(text)] = number
+        self.numbers = np.arange(self.size).astype(object)
+        self.ranks = np.full(self.size + 1, NO_RANK, np.int32)  # the last is that of id -1
+        self.ranks[[vocabulary.ids[t] for t in vocabulary.costs]] = np.unique(list(vocabulary.costs.values()), return_inverse=True)[1]
+        pairs = [(a, b, vocabulary.ids[t]) for t in vocabulary.costs for k in range(1, len(t)) if (a := self.symbol(t[:k])) >= 0 and (b := self.symbol(t[k:])) >= 0]
+        self.unions = Unions(np.array(pairs, np.int64).reshape(-1, 3))
+
+    def symbol(self, text: str) -> int:
+        return self.vocabulary.ids.get(text, self.size + ord(text) if len(text) == 1 else -1)
+
+    def encode(self, segments: list[str]) -> list[list[int]]:
+        """Ids of segments by increasing length. A row of cells holds a segment, between cells that join nothing."""
+        n, inner = len(segments), len(segments[-1])
+        width, lengths = inner + 2, np.fromiter(map(len, segments), np.int64, n)
+        points = np.frombuffer("".join([s.ljust(inner) for s in segments]).encode("utf-32-le"), np.uint32).reshape(n, inner)
+        cells = np.full((n, width), self.edge)
+        cells[:, 1:-1] = np.where(np.arange(inner) < lengths[:, None], self.symbols[points], self.edge)
+        made = np.full((n, width), -1)
+        made[:, :-1] = self.unions.find(cells[:, :-1].ravel(), cells[:, 1:].ravel()).reshape(n, -1)
+        agendas = self.ranks[made]  # of the pair that begins in a cell
+        symbols, made, ranks = cells.reshape(-1), made.reshape(-1), agendas.reshape(-1)
+        before, after = np.arange(-1, n * width - 1), np.arange(1, n * width + 1)
+        rows = np.arange(n)
+        while True:
+            left = agendas[rows].argmin(1) + rows * width  # the best, leftmost among equals
+            live = ranks[left] < NO_RANK
+            if not live.all():
+                rows, left = rows[live], left[live]
+                if not len(rows):
+                    break
+            own, right, near = made[left], after[left], before[left]
+            far = after[right]
+            symbols[left], symbols[right], ranks[right] = own, self.edge, NO_RANK
+            after[left], before[far] = far, left
+            pairs = np.concatenate((near, left))
+            found = self.unions.find(np.concatenate((symbols[near], own)), np.concatenate((own, symbols[far])))
+            made[pairs], ranks[pairs] = found, self.ranks[found]
+        kept = cells != self.edge
+        ends, flat = np.cumsum(kept.sum(1)).tolist(), cells[kept]
+        strange = flat >= self.size
+        numbers = self.numbers[np.where(strange, 0, flat)].tolist()
+        if strange.any():
+            spelled = {k: self.vocabulary.spelled(chr(flat[k] - self.size)) for k in np.flatnonzero(strange).tolist()}
+            return [[x for k in range(a, b) for x in spelled.get(k) or (numbers[k],)] for a, b in zip([0, *ends], ends)]
+        return [numbers[a:b] for a, b in zip([0, *ends], ends)]
+
 
 IDS, DIGITS = itemgetter(0), itemgetter(1)
 Known = tuple[tuple[int, ...], str] | None  # ids and their digits joined by commas; None where the agenda differs
@@ -167,17 +293,17 @@ class Codec:
         self.older: dict[str, Known] = {}
         self.held = 0  # bytes of self.memory
         self.line = self.library.encode("\n")
+        self.digits = list(map(str, range(self.vocabulary.size))).__getitem__
 
     def work_out(self, segments: list[str]) -> Iterator[tuple[str, Known]]:
         """Ids of segments, each compared with the library."""
         asked = [s[1:].replace(MARK, " ") if s[0] == MARK else "\n" + s for s in segments]
-        for s, theirs in zip(segments, self.library.encode(asked, num_threads=1) if segments else (), strict=True):
-            own = self.vocabulary.encode(s)
+        for s, own, theirs in zip(segments, self.vocabulary.encode_all(segments), self.library.encode(asked, num_threads=1) if segments else (), strict=True):
             if s == MARK:  # the library sees an empty text, which has no ids
                 theirs = own
             elif s[0] != MARK:
                 theirs = theirs[len(self.line) :]
-            yield s, (tuple(own), ",".join(map(str, own))) if own == theirs else None
+            yield s, (tuple(own), ",".join(map(self.digits, own))) if own == theirs else None
 
     def learn(self, segments: set[str]) -> dict[str, Known]:
         """Takes new segments into the memory; those too long for it are returned."""

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -65,6 +66,44 @@ def test_a_task_leaves_little_memory_to_the_stages_after_it(monkeypatch):
     assert 0 < own.held <= 20_000
 
 
+def field(number, value):
+    """A protocol buffer field: text, score (float) or number under 128."""
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return bytes([number << 3, value])
+    return bytes([number << 3 | 2, len(value)]) + value
+
+
+def small_model(rng, octets):
+    """Pieces of few letters, some with equal scores, some of letters that are no pieces."""
+    pieces = {"".join(rng.choices("abc▁", k=1)) for _ in range(3)} | {"▁" * rng.randrange(2) + "".join(rng.choices("abcé", k=rng.randrange(1, 5))) for _ in range(60)}
+    rows = [("<unk>", 0.0, codec.UNKNOWN)] + [(f"<0x{k:02X}>", 0.0, codec.BYTE) for k in range(256) if octets]
+    rows += [(p, -float(rng.randrange(30)), codec.NORMAL) for p in sorted(pieces)]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, score) + field(3, kind)) for p, score, kind in rows)
+    return data + field(2, field(3, codec.BPE)) + field(3, field(4, 0))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_agendas_abreast_are_the_single_ones(monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(codec, "ABREAST", rng.choice([1, 100, 1 << 16]))
+    own = codec.Vocabulary(small_model(rng, seed % 2))
+    segments = ["▁" * rng.randrange(2) + "".join(rng.choices("aaabbcé🙂\0 ", k=rng.randrange(1, 90))) for _ in range(400)] + ["", "▁", "a"]
+    assert own.encode_all(segments) == list(map(own.encode, segments))
+    assert own.encode_all([]) == []
+
+
+def test_only_wide_segments_have_an_agenda_of_their_own(monkeypatch):
+    alone = []
+    single = codec.Vocabulary.encode
+    monkeypatch.setattr(codec.Vocabulary, "encode", lambda self, s: alone.append(s) or single(self, s))
+    own = codec.Codec(MODEL)
+    for text, (ids, _, differing) in zip(texts(), own.encode(texts()), strict=True):
+        assert ids == LIBRARY.encode(text) and not differing
+    assert alone and all(len(s) > codec.WIDE for s in alone)
+
+
 def test_query_and_operator(spark):
     rows = [(k, t, "x", 1) for k, t in enumerate(texts())] + [(900, None, "x", 1), (None, "a", "x", 1), (0, "", "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
