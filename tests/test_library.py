@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytoloom import catalog, catalog_sql, errors
-from cytoloom.functions.canonical import canonical, parse_double, parse_integer, table_digest
+from cytoloom.functions.canonical import canonical, parse_double, parse_integer, sha256, table_digest, typed_rows
 from cytoloom.operators import classify as cl
 from cytoloom.operators import correct, embed, estimators as est, fixed, large, layout, order, review, snapshot, states, structures, views
 from cytoloom.operators import thresholds as th
@@ -656,3 +656,44 @@ def test_reviews_of_tables_whose_boxes_are_empty(spark, far_lines, name):
         db.execute(f"create view lineitem as select * from read_parquet('{far_lines}/lineitem.parquet/*.parquet')")
         wanted = db.execute(f"select {', '.join(f'{chr(34)}{c}{chr(34)}' for c in found.columns)} from ({catalog_sql.SQL[name]})").fetchall()
     assert wanted and sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+
+
+def largest_method(df):
+    """Bytes of the largest method that Spark generates for a plan, joins as planned at first."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(df.select("*")._jdf.queryExecution().executedPlan())
+        return max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_no_method_of_a_replay_or_digest_is_too_large_to_compile(spark):
+    """The JVM interprets methods of more than 8,000 bytes for good: a replay and a package took ten times as long."""
+    r = catalog._review(spark, "/root/testdata/sf0.001")
+    done = review.replay(r)
+    assert largest_method(done.cells) < 8000 and largest_method(done.states) < 8000
+    assert largest_method(typed_rows(r.prepared.df)) < 8000
+
+
+def test_table_digest_is_the_sum_of_row_digests(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("a", 1.5, 1, True), ("é|;", -0.0, None, None), (None, None, 3, False), ("a", 1.5, 1, True)], "t string, d double, n int, b boolean")
+    rows = ["b|boolean|4:true;d|double|3:1.5;n|int|1:1;t|string|1:a;", "b|boolean|-;d|double|3:0.0;n|int|-;t|string|4:é|;;", "b|boolean|5:false;d|double|-;n|int|1:3;t|string|-;"]
+    words = [[int.from_bytes(hashlib.sha256(rows[k].encode()).digest()[i : i + 4]) for i in range(0, 32, 4)] for k in (0, 1, 2, 0)]
+    kinds = [["b", "boolean"], ["d", "double"], ["n", "int"], ["t", "string"]]
+    for table in (df.coalesce(1), df.repartition(7)):
+        assert table_digest(table) == sha256({"columns": kinds, "sums": ["4", *(str(sum(w)) for w in zip(*words, strict=True))]})
+    assert table_digest(df.limit(0)) == sha256({"columns": kinds, "sums": ["0", *["None"] * 8]})
+
+
+def test_a_snapshot_that_has_changed_is_not_exported(spark, tmp_path):
+    s = snapshot.lock(small_review(spark), "reviewer")
+    other = replace(s, tables=s.tables | {"calls": s.tables["calls"].withColumn("call_A", F.lit(True))})
+    for changed in (other, replace(s, reviewer="other"), replace(s, digests=s.digests | {"calls": "0" * 64})):
+        with pytest.raises(errors.IntegrityError, match="has changed since it was locked"):
+            snapshot.export(changed, str(tmp_path / "package"))
+    assert not list(tmp_path.glob("*package*")) and not list(tmp_path.glob(".package*"))
